@@ -1 +1,86 @@
-"""Registered queries (filled in below)."""
+"""Registered builder charts: one per catalog measure, plus filters, top-N,
+grouped and pivoted forms."""
+
+from __future__ import annotations
+
+from upkeep.operators import builder as B
+from upkeep.plans.registry import register, views
+from upkeep.sources.fixtures import AS_OF
+
+D = "DATE '2001-06-30'"
+
+NOTIF_SQL = {
+    "count": "count(*)",
+    "count_with_wo": "cast(sum(CASE WHEN order_no IS NOT NULL AND order_no != '' THEN 1 ELSE 0 END) AS bigint)",
+    "count_no_wo": "cast(sum(CASE WHEN order_no IS NULL OR order_no = '' THEN 1 ELSE 0 END) AS bigint)",
+    "count_overdue": f"cast(sum(CASE WHEN required_end < {D} THEN 1 ELSE 0 END) AS bigint)",
+    "pct_with_wo": "round(100.0 * cast(sum(CASE WHEN order_no IS NOT NULL AND order_no != '' THEN 1 ELSE 0 END) AS double)"
+                   " / cast(nullif(count(*), 0) AS double), 1)",
+}
+WO_SQL = {
+    "count": "count(*)",
+    "sum_plan": "cast(round(sum(total_plan_cost), 0) AS double)",
+    "sum_actual": "cast(round(sum(total_act_cost), 0) AS double)",
+    "avg_plan": "cast(round(avg(total_plan_cost), 0) AS double)",
+    "avg_actual": "cast(round(avg(total_act_cost), 0) AS double)",
+    "cost_overrun": "cast(round(sum(total_act_cost - total_plan_cost), 0) AS double)",
+    "count_overdue": f"cast(sum(CASE WHEN basic_fin_date < {D} AND system_status NOT ILIKE '%TECO%'"
+                     " AND system_status NOT ILIKE '%CLSD%' THEN 1 ELSE 0 END) AS bigint)",
+}
+
+
+def _ungrouped(key, table, x, agg_sql_map, agg, where="", top_n=20, filters=()):
+    sql = (f"SELECT {x}, {agg_sql_map[agg]} AS value FROM {table} {where} GROUP BY {x} "
+           f"ORDER BY value DESC NULLS FIRST, {x} ASC NULLS LAST LIMIT {top_n}")
+
+    @register(key, sql)
+    def q(spark, sf):
+        (df,) = views(spark, sf, table)
+        spec = B.ChartSpec(table=table, x_col=x, agg=agg, filters=tuple(filters), top_n=top_n)
+        return B.build_chart(df, spec, AS_OF)
+    return q
+
+
+for _m in B.MEASURES["notifications"]:
+    _ungrouped(f"builder_notif_{_m}", "notifications", "notif_type", NOTIF_SQL, _m)
+for _m in B.MEASURES["work_orders"]:
+    _ungrouped(f"builder_wo_{_m}", "work_orders", "order_type", WO_SQL, _m)
+
+# Two usable filters plus three that must be skipped (empty value, unknown column, empty column).
+_ungrouped("builder_filtered", "notifications", "main_workctr", NOTIF_SQL, "count",
+           where="WHERE location = 'RU3' AND criticality = 'H'",
+           filters=(B.ChartFilter("location", "RU3"), B.ChartFilter("criticality", "H"),
+                    B.ChartFilter("notif_type", ""), B.ChartFilter("description", "x"),
+                    B.ChartFilter("", "M1")))
+
+_ungrouped("builder_topn", "work_orders", "main_workctr", WO_SQL, "sum_actual", top_n=5)
+
+GROUPED_SQL = """
+SELECT location, criticality, count(*) AS value FROM notifications GROUP BY location, criticality
+ORDER BY location ASC NULLS LAST, value DESC NULLS FIRST, criticality ASC NULLS LAST"""
+
+
+@register("builder_grouped", GROUPED_SQL)
+def q_builder_grouped(spark, sf):
+    (n,) = views(spark, sf, "notifications")
+    return B.build_chart(n, B.ChartSpec("notifications", "location", "count", "criticality"), AS_OF)
+
+
+_SERIES = ["H", "I", "L", "M", "—"]
+
+
+def _cell(s):
+    return (f"CASE WHEN count(CASE WHEN g = '{s}' THEN 1 END) = 0 THEN 0 "
+            f"ELSE max(CASE WHEN g = '{s}' THEN value END) END AS \"{s}\"")
+
+
+@register("builder_pivot", f"""
+SELECT location, {', '.join(_cell(s) for s in _SERIES)}
+FROM (SELECT location, coalesce(criticality, '—') AS g, count(*) AS value
+      FROM notifications GROUP BY location, criticality) t
+GROUP BY location ORDER BY location NULLS LAST""")
+def q_builder_pivot(spark, sf):
+    (n,) = views(spark, sf, "notifications")
+    spec = B.ChartSpec("notifications", "location", "count", "criticality")
+    grouped = B.build_chart(n, spec, AS_OF)
+    return B.pivot_chart(grouped, "location", "criticality")

@@ -1 +1,105 @@
-"""Registered queries (filled in below)."""
+"""Registered snapshot sections (weekly variants where the section exists in
+several packs) and the bad-actor trend."""
+
+from __future__ import annotations
+
+from upkeep.operators import snapshots as S
+from upkeep.plans.registry import register, views
+
+
+def _words(ws):
+    return ", ".join(f"'{w}'" for w in ws)
+
+
+def _latest(table, col):
+    return f"{col} = (SELECT max({col}) FROM {table})"
+
+
+def _previous(table, col):
+    return f"{col} = (SELECT max({col}) FROM {table} WHERE {col} < (SELECT max({col}) FROM {table}))"
+
+
+def _lc(c):
+    return f"lower(coalesce({c}, ''))"
+
+
+def _sql(sec: S.Section, where: str) -> str:
+    order = ", ".join([f"{c} ASC NULLS LAST" for c in sec.order] + ["id"])
+    conds = []
+    if sec.period:
+        conds.append((_latest if sec.which == "latest" else _previous)(sec.table, sec.period))
+    if where:
+        conds.append(f"({where})")
+    w = ("WHERE " + " AND ".join(conds)) if conds else ""
+    lim = f" LIMIT {sec.limit}" if sec.limit is not None else ""
+    return f"SELECT id, {', '.join(sec.columns)} FROM {sec.table} {w} ORDER BY {order}{lim}"
+
+
+WHERE = {
+    "bad_actor_monitoring": f"{_lc('status')} NOT IN ({_words(S.BAD_ACTOR_CLOSED)})",
+    "icu_monitoring": f"{_lc('icu_status')} NOT IN ({_words(S.ICU_CLOSED)})",
+    "paf": f"{_lc('color')} IN ({_words(S.PAF_ALERT_COLOURS)})",
+    "power_stream": f"{_lc('status_operation')} NOT IN ({_words(S.POWER_OK)})",
+    "critical_eqp_utl": "trim(coalesce(highlight_issue, '')) != ''",
+    "monitoring_operasi": "trim(coalesce(limitasi_alert_process, '')) != '' OR (actual IS NOT NULL AND "
+                          "target_sts IS NOT NULL AND actual < target_sts)",
+    "zero_clamp": "tanggal_dilepas IS NULL OR trim(coalesce(tanggal_dilepas, '')) = ''",
+    "readiness_tank": f"{_lc('status_operational')} NOT IN ({_words(S.TANK_OK)})",
+    "readiness_spm": f"{_lc('status_operation')} NOT IN ({_words(S.SPM_OK)})",
+    "atg_monitoring": f"{_lc('status_atg')} NOT IN ({_words(S.ATG_OK)}) OR "
+                      f"{_lc('status_interkoneksi_atg')} NOT IN ({_words(S.ATG_LINK_OK)})",
+}
+JETTY_WEEKLY = (f"{_lc('status_operation')} NOT IN ({_words(S.JETTY_OPERATION_OK)}) OR "
+                f"{_lc('status_tuks')} NOT IN ({_words(S.JETTY_TUKS_OK)})")
+JETTY_MONTHLY = f"{_lc('status_operation')} NOT IN ({_words(S.JETTY_OPERATION_OK)})"
+
+# key -> (cadence, section name, where text)
+KEYS = {
+    "snap_bad_actor": ("weekly", "bad_actor_current", WHERE["bad_actor_monitoring"]),
+    "snap_bad_actor_prev": ("weekly", "bad_actor_prev", ""),
+    "snap_icu": ("weekly", "icu_current", WHERE["icu_monitoring"]),
+    "snap_zero_clamp": ("daily", "zero_clamp", WHERE["zero_clamp"]),
+    "snap_paf": ("weekly", "paf_current", WHERE["paf"]),
+    "snap_paf_prev": ("weekly", "paf_prev", ""),
+    "snap_operations": ("daily", "monitoring_operasi", WHERE["monitoring_operasi"]),
+    "snap_power": ("weekly", "power_utility", WHERE["power_stream"]),
+    "snap_critical_utility": ("daily", "critical_utl", WHERE["critical_eqp_utl"]),
+    "snap_jetty_weekly": ("weekly", "readiness_jetty", JETTY_WEEKLY),
+    "snap_jetty_monthly": ("monthly", "readiness_jetty", JETTY_MONTHLY),
+    "snap_tank": ("weekly", "readiness_tank", WHERE["readiness_tank"]),
+    "snap_spm": ("weekly", "readiness_spm", WHERE["readiness_spm"]),
+    "snap_tank_gauge": ("weekly", "atg", WHERE["atg_monitoring"]),
+    "snap_icu_monthly": ("monthly", "icu_current", WHERE["icu_monitoring"]),
+    "snap_bad_actor_daily": ("daily", "bad_actor", WHERE["bad_actor_monitoring"]),
+}
+
+
+def _reg(key, cadence, name, where):
+    sec = S.SECTIONS[cadence][name]
+
+    @register(key, _sql(sec, where))
+    def q(spark, sf):
+        (t,) = views(spark, sf, sec.table)
+        return sec.build(t)
+    return q
+
+
+for _k, (_c, _n, _w) in KEYS.items():
+    _reg(_k, _c, _n, _w)
+
+
+@register("bad_actor_trend", f"""
+WITH cur AS (SELECT DISTINCT tag_number FROM bad_actor_monitoring
+             WHERE {_latest('bad_actor_monitoring', 'periode')} AND {WHERE['bad_actor_monitoring']}
+               AND tag_number IS NOT NULL),
+     prev AS (SELECT DISTINCT tag_number FROM bad_actor_monitoring
+              WHERE {_previous('bad_actor_monitoring', 'periode')} AND tag_number IS NOT NULL)
+SELECT tag_number, 'recurring' AS trend FROM cur WHERE tag_number IN (SELECT tag_number FROM prev)
+UNION ALL
+SELECT tag_number, 'new' AS trend FROM cur WHERE tag_number NOT IN (SELECT tag_number FROM prev)
+ORDER BY trend, tag_number""")
+def q_bad_actor_trend(spark, sf):
+    (t,) = views(spark, sf, "bad_actor_monitoring")
+    cur = S.snapshot(t, "periode", "latest").filter(S.not_in("status", S.BAD_ACTOR_CLOSED))
+    prev = S.snapshot(t, "periode", "previous")
+    return S.bad_actor_trend(cur, prev)

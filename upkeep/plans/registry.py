@@ -21,6 +21,7 @@ class Registered:
     key: str
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    raw_sql: str | None = None   # the query before fixture views are inlined
 
 
 REGISTRY: dict[str, Registered] = {}
@@ -30,7 +31,7 @@ def register(key: str, sql: str | None = None):
     def deco(fn):
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key}")
-        REGISTRY[key] = Registered(key, fn, with_views(sql) if sql else None)
+        REGISTRY[key] = Registered(key, fn, with_views(sql) if sql else None, sql)
         return fn
     return deco
 

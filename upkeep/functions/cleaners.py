@@ -35,7 +35,7 @@ def clean_date(c: Column, source_type: T.DataType | None = None,
     layout and anything that does not parse (e.g. ``2024-13-40``) is NULL."""
     if isinstance(source_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    return F.try_to_date(strip_ws(c.cast("string")), F.lit(fmt))
+    return F.try_to_date(strip_ws(c.cast("string")), fmt)
 
 
 def clean_number(c: Column, scale: int = 2, precision: int = 18) -> Column:

@@ -317,3 +317,10 @@ def pack_has_data(backlog: DataFrame, stagnant: DataFrame, overdue_wo: DataFrame
     total = F.col("backlog") + F.col("stagnant") + F.col("overdue_wo")
     return sizes.select("backlog", "stagnant", "overdue_wo", total.alias("total"),
                         (total > 0).alias("has_data"))
+
+
+# ---------------------------------------------------------------- F19 status badge token
+def status_token_counts(df: DataFrame) -> DataFrame:
+    """Rows per first status token (lower case), the badge a status shows as."""
+    tok = F.lower(F.split(F.trim(F.col("system_status")), r"\s+").getItem(0))
+    return df.groupBy(tok.alias("token")).agg(F.count(ONE).alias("cnt"))

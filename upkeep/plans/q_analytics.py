@@ -263,3 +263,11 @@ FROM b, s, o""")
 def q_pack_has_data(spark, sf):
     n, w = views(spark, sf, "notifications", "work_orders")
     return A.pack_has_data(W.backlog(n), W.stagnant(w), W.overdue_orders(w, AS_OF))
+
+
+@register("status_token_counts", r"""
+SELECT lower(string_split_regex(trim(system_status), '\s+')[1]) AS token, count(*) AS cnt
+FROM work_orders GROUP BY 1""")
+def q_status_tokens(spark, sf):
+    (w,) = views(spark, sf, "work_orders")
+    return A.status_token_counts(w)

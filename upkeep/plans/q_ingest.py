@@ -1 +1,147 @@
-"""Registered queries (filled in below)."""
+"""Registered ingest queries over all-text exports derived from the fixtures."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from upkeep.functions.cleaners import clean_date, clean_number, clean_string
+from upkeep.plans.registry import register, views
+from upkeep.sources import ingest as I
+from upkeep.sources.exports import LAYOUTS, header_position
+from upkeep.sources.raw_exports import RAW_LAYOUTS, raw_export
+
+BATCH = "B-INGEST"
+STAMP = dt.datetime(2001, 7, 1)
+STAMP_SQL = "TIMESTAMP '2001-07-01 00:00:00'"
+KIND_OF_VIEW = {"notifications": "notification", "work_orders": "work_order", "bom": "bom",
+                "cost_lines": "cji3"}
+SQL_TYPE = {"s": "varchar", "d": "date", "b": "boolean"}
+
+
+def _key_sql(view):
+    return {"notifications": "id", "work_orders": "cast(split_part(id, '-', 2) AS bigint)",
+            "bom": "id", "cost_lines": "id", "asset_status": "id"}[view]
+
+
+def _src_sql(view, src):
+    if src == "key":
+        return _key_sql(view)
+    extra = {"long_text": "CASE WHEN has_long_text THEN 'X' END", "bom_category": "'M'",
+             "wbs_element": "'W-' || project_definition", "cost_element": "'400000'"}
+    return extra.get(src, src)
+
+
+def _spoil_sql(v, k, cls):
+    t = f"cast({v} AS varchar)"
+    if cls == "t":
+        cell = f"CASE WHEN {k} % 11 = 0 THEN '' WHEN {k} % 10 = 0 THEN '  ' || {t} || '  ' ELSE {t} END"
+    elif cls == "n":
+        cell = f"CASE WHEN {k} % 13 = 0 THEN 'n/a' ELSE {t} END"
+    elif cls == "d":
+        cell = f"CASE WHEN {k} % 17 = 0 THEN '2024-13-40' ELSE {t} END"
+    else:
+        cell = t
+    return f"CASE WHEN {k} % 101 = 0 THEN NULL ELSE {cell} END"
+
+
+def raw_sql(view):
+    k = _key_sql(view)
+    cells = [f"{_spoil_sql(_src_sql(view, src), k, cls)} AS c{i}"
+             for i, (_, src, cls) in enumerate(RAW_LAYOUTS[view])]
+    n = len(cells)
+    return (f"SELECT * FROM (SELECT {', '.join(cells)} FROM {view}) r "
+            f"WHERE NOT ({' AND '.join(f'c{i} IS NULL' for i in range(n))})")
+
+
+def _clean_sql(c, k, arg):
+    if k == "s":
+        return f"nullif(trim({c}), '')"
+    if k == "d":
+        return f"try_cast(trim({c}) AS date)"
+    if k == "n":
+        return f"try_cast(try_cast(trim({c}) AS double) AS decimal(18,{arg}))"
+    return f"coalesce(trim({c}) IN ('X', 'x', '1', 'True'), false)"
+
+
+def typed_select(view):
+    kind = KIND_OF_VIEW[view]
+    headers = [h for h, _, _ in RAW_LAYOUTS[view]]
+    cols = []
+    for spec, name, k, arg in LAYOUTS[kind]:
+        pos = header_position(headers, spec)
+        typ = SQL_TYPE.get(k, f"decimal(18,{arg})")
+        cols.append(f"cast(NULL AS {typ}) AS {name}" if pos is None else f"{_clean_sql(f'c{pos}', k, arg)} AS {name}")
+    return f"SELECT {', '.join(cols)}, '{BATCH}' AS upload_batch, {STAMP_SQL} AS uploaded_at FROM ({raw_sql(view)}) raw"
+
+
+def _ingest(view):
+    @register(f"ingest_{view}",
+              typed_select(view))
+    def q(spark, sf):
+        return I.clean_export(raw_export(spark, sf, view), BATCH, STAMP)
+    return q
+
+
+for _v in ("notifications", "work_orders", "bom", "cost_lines"):
+    _ingest(_v)
+
+
+# Cleaners on their own, over the work-order export: text, date and number cells.
+WO_TEXT = [(i, h) for i, (h, _, c) in enumerate(RAW_LAYOUTS["work_orders"]) if c == "t"]
+WO_DATE = [(i, h) for i, (h, _, c) in enumerate(RAW_LAYOUTS["work_orders"]) if c == "d"]
+WO_NUM = [(i, h) for i, (h, _, c) in enumerate(RAW_LAYOUTS["work_orders"]) if c == "n"]
+KEY_POS = len(RAW_LAYOUTS["work_orders"]) - 1
+
+
+def _cleaner_query(key, cells, spark_fn, sql_fn):
+    sql = (f"SELECT c{KEY_POS} AS row_key, " + ", ".join(f"{sql_fn(f'c{i}')} AS v{i}" for i, _ in cells)
+           + f" FROM ({raw_sql('work_orders')}) raw")
+
+    @register(key, sql)
+    def q(spark, sf):
+        ex = raw_export(spark, sf, "work_orders")
+        raw = ex.raw.na.drop(how="all")
+        return raw.select(F.col(f"c{KEY_POS}").alias("row_key"),
+                          *[spark_fn(F.col(f"c{i}")).alias(f"v{i}") for i, _ in cells])
+    return q
+
+
+_cleaner_query("clean_strings", WO_TEXT, clean_string, lambda c: f"nullif(trim({c}), '')")
+_cleaner_query("clean_dates", WO_DATE, clean_date, lambda c: f"try_cast(trim({c}) AS date)")
+_cleaner_query("clean_numbers", WO_NUM, lambda c: clean_number(c, 2),
+               lambda c: f"try_cast(try_cast(trim({c}) AS double) AS decimal(18,2))")
+
+
+def _violations_sql(view):
+    kind = KIND_OF_VIEW[view]
+    limited = [(name, arg) for _, name, k, arg in LAYOUTS[kind] if k == "s" and arg is not None]
+    parts = [f"SELECT '{name}' AS column, {arg} AS max_len, "
+             f"cast(coalesce(sum(CASE WHEN length({name}) > {arg} THEN 1 ELSE 0 END), 0) AS bigint) AS violations "
+             f"FROM t" for name, arg in limited]
+    return f"WITH t AS ({typed_select(view)})\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("length_violations", _violations_sql("work_orders"))
+def q_length_violations(spark, sf):
+    typed = I.clean_export(raw_export(spark, sf, "work_orders"), BATCH, STAMP)
+    return I.length_violations(typed, "work_order")
+
+
+@register("ingest_summary", "\nUNION ALL\n".join(
+    [f"SELECT '{v}_export' AS file, 'ok' AS status, '{KIND_OF_VIEW[v]}' AS kind, count(*) AS rows "
+     f"FROM ({raw_sql(v)}) r" for v in ("notifications", "work_orders", "bom", "cost_lines")]
+    + ["SELECT 'asset_status_export', 'skip', 'unknown', cast(0 AS bigint)"]))
+def q_ingest_summary(spark, sf):
+    exports = [raw_export(spark, sf, v) for v in ("notifications", "work_orders", "bom", "cost_lines",
+                                                   "asset_status")]
+    _, outcomes = I.ingest_exports(exports, BATCH, STAMP)
+    return outcomes
+
+
+@register("delete_batch", """
+SELECT id, upload_batch FROM notifications WHERE upload_batch IS DISTINCT FROM 'B1'""")
+def q_delete_batch(spark, sf):
+    (n,) = views(spark, sf, "notifications")
+    return I.without_batch(n, "B1").select("id", "upload_batch")

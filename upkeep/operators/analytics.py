@@ -22,7 +22,8 @@ from upkeep.functions.status import (
     month_label, not_blank,
 )
 
-ONE = F.lit(1)
+def _one() -> Column:
+    return F.lit(1)
 
 
 def count_if(cond: Column) -> Column:
@@ -37,7 +38,7 @@ def _done(status: Column) -> Column:
 # ---------------------------------------------------------------- A1 / A2 funnel
 def funnel_head(n: DataFrame) -> DataFrame:
     """total notifications, with a (non-blank) order, backlog and conversion %."""
-    agg = n.agg(F.count(ONE).alias("total"),
+    agg = n.agg(F.count(_one()).alias("total"),
                 F.coalesce(count_if(not_blank("order_no")), F.lit(0).cast("bigint")).alias("has_wo"))
     return agg.select(
         "total", "has_wo",
@@ -50,7 +51,7 @@ def funnel_head(n: DataFrame) -> DataFrame:
 def funnel_tail(n: DataFrame, w: DataFrame) -> DataFrame:
     """REL and TECO/CLSD counted over join rows (fan-out kept, overlap allowed)."""
     nk = (n.filter(not_blank("order_no")).groupBy("order_no")
-          .agg(F.count(ONE).alias("n_cnt")))
+          .agg(F.count(_one()).alias("n_cnt")))
     st = F.col("system_status")
     wk = (w.filter(not_blank("order_no")).groupBy("order_no")
           .agg(count_if(has_status(st, "REL")).alias("w_rel"),
@@ -72,9 +73,9 @@ def lead_time(n: DataFrame, w: DataFrame) -> DataFrame:
                    & F.col("criticality").isin(LEAD_CRITICALITIES)
                    & F.col("notif_type").isin(LEAD_TYPES))
           .groupBy("order_no", "notif_type", "criticality", "notif_date")
-          .agg(F.count(ONE).alias("n_cnt")))
+          .agg(F.count(_one()).alias("n_cnt")))
     wk = (w.filter(F.col("created_on").isNotNull() & not_blank("order_no"))
-          .groupBy("order_no", "created_on").agg(F.count(ONE).alias("w_cnt")))
+          .groupBy("order_no", "created_on").agg(F.count(_one()).alias("w_cnt")))
     j = nk.join(wk, (nk.order_no == wk.order_no) & (wk.created_on >= nk.notif_date), "inner")
     weight = F.col("n_cnt") * F.col("w_cnt")
     days = days_between(wk.created_on, nk.notif_date).cast("bigint")
@@ -110,7 +111,7 @@ def overdue_by_wo_status(n: DataFrame, w: DataFrame, as_of=None) -> DataFrame:
     """
     od = n.filter(F.col("required_end") < as_of_date(as_of))
     no_wo = (od.filter(is_blank("order_no")).groupBy("notif_type")
-             .agg(F.count(ONE).alias("cnt")).select("notif_type", F.lit("no_wo").alias("wo_cat"), "cnt"))
+             .agg(F.count(_one()).alias("cnt")).select("notif_type", F.lit("no_wo").alias("wo_cat"), "cnt"))
     cat = _wo_category(F.col("system_status"))
     wk = (w.filter(not_blank("order_no")).groupBy("order_no")
           .agg(*[count_if(cat == c).alias(f"w_{c}") for c in ("crtd", "rel", "teco")]))
@@ -138,13 +139,13 @@ def overdue_matrix(overdue: DataFrame) -> DataFrame:
 def trend_notifications(n: DataFrame, as_of=None, months: int = 6) -> DataFrame:
     """New notifications per month from the first day of (as_of - months+1)."""
     f = n.filter(F.col("notif_date") >= month_floor(as_of, months - 1))
-    return f.groupBy(month_label("notif_date").alias("month")).agg(F.count(ONE).alias("cnt"))
+    return f.groupBy(month_label("notif_date").alias("month")).agg(F.count(_one()).alias("cnt"))
 
 
 def trend_finished(w: DataFrame, as_of=None, months: int = 6) -> DataFrame:
     f = w.filter((F.col("actual_finish") >= month_floor(as_of, months - 1))
                  & _done(F.col("system_status")))
-    return f.groupBy(month_label("actual_finish").alias("month")).agg(F.count(ONE).alias("cnt"))
+    return f.groupBy(month_label("actual_finish").alias("month")).agg(F.count(_one()).alias("cnt"))
 
 
 def trend_merged(notif_trend: DataFrame, done_trend: DataFrame) -> DataFrame:
@@ -200,7 +201,7 @@ def wo_kpi(w: DataFrame) -> DataFrame:
          + count_if(typed & has_status(st, "REL"))
          + count_if(typed & has_status(st, "TECO"))
          + count_if(typed & has_status(st, "CLSD"))).alias("kpi_total_wo"),
-        F.count(ONE).alias("row_count"))
+        F.count(_one()).alias("row_count"))
 
 
 # ---------------------------------------------------------------- A9 aging
@@ -214,7 +215,7 @@ def overdue_open_orders(w: DataFrame, as_of=None) -> DataFrame:
 def wo_aging(w: DataFrame, as_of=None) -> DataFrame:
     days = days_between(as_of_date(as_of), F.col("basic_fin_date"))
     g = (overdue_open_orders(w, as_of).select(aging_bucket(days).alias("bucket"), days.alias("d"))
-         .groupBy("bucket").agg(F.count(ONE).alias("cnt"), F.min("d").alias("_min_days")))
+         .groupBy("bucket").agg(F.count(_one()).alias("cnt"), F.min("d").alias("_min_days")))
     return g.orderBy("_min_days").select("bucket", "cnt")
 
 
@@ -226,7 +227,7 @@ def notification_status_top(n: DataFrame, top: int = 8) -> DataFrame:
     already-limited top-k (at most ``top`` rows, one partition).
     """
     topk = (n.filter(F.col("system_status").isNotNull()).groupBy("system_status")
-            .agg(F.count(ONE).alias("cnt"))
+            .agg(F.count(_one()).alias("cnt"))
             .orderBy(F.desc("cnt"), F.asc("system_status")).limit(top))
     shown = F.sum("cnt").over(Window.partitionBy())
     return (topk.select("system_status", "cnt",
@@ -237,7 +238,7 @@ def notification_status_top(n: DataFrame, top: int = 8) -> DataFrame:
 
 def backlog_by_workcenter(n: DataFrame, top: int = 10) -> DataFrame:
     return (n.filter(is_blank("order_no") & not_blank("main_workctr"))
-            .groupBy(F.col("main_workctr").alias("workctr")).agg(F.count(ONE).alias("cnt"))
+            .groupBy(F.col("main_workctr").alias("workctr")).agg(F.count(_one()).alias("cnt"))
             .orderBy(F.desc("cnt"), F.asc("workctr")).limit(top))
 
 
@@ -246,7 +247,7 @@ def source_summary(n: DataFrame, w: DataFrame, bom: DataFrame, cost: DataFrame)
     nul = F.lit(None).cast("bigint")
 
     def base(df, name, with_pr=nul, with_po=nul):
-        return df.agg(F.lit(name).alias("source"), F.count(ONE).alias("total"),
+        return df.agg(F.lit(name).alias("source"), F.count(_one()).alias("total"),
                       F.max(F.col("uploaded_at").cast("timestamp_ntz")).alias("last_upload"),
                       with_pr.alias("with_pr"), with_po.alias("with_po"))
 
@@ -262,7 +263,7 @@ def wo_summary_by_type(w: DataFrame, as_of=None) -> DataFrame:
     overdue = ((F.col("basic_fin_date") < as_of_date(as_of))
                & lacks_status(st, "TECO") & lacks_status(st, "CLSD"))
     return (w.groupBy("order_type")
-            .agg(F.count(ONE).alias("total"),
+            .agg(F.count(_one()).alias("total"),
                  count_if(has_status(st, "REL") & F.col("actual_finish").isNull()).alias("stagnant"),
                  count_if(has_status(st, "TECO")).alias("teco"),
                  count_if(has_status(st, "CLSD")).alias("closed"),
@@ -272,7 +273,7 @@ def wo_summary_by_type(w: DataFrame, as_of=None) -> DataFrame:
 
 def notification_summary(n: DataFrame) -> DataFrame:
     return (n.groupBy("system_status")
-            .agg(F.count(ONE).alias("total"), count_if(is_blank("order_no")).alias("no_wo"))
+            .agg(F.count(_one()).alias("total"), count_if(is_blank("order_no")).alias("no_wo"))
             .orderBy(F.desc("total"), F.asc_nulls_last("system_status")))
 
 
@@ -286,7 +287,7 @@ def repeated_equipment(n: DataFrame, top: int = 15) -> DataFrame:
     """
     eq = n.filter(not_blank("equipment"))
     topk = (eq.groupBy("equipment")
-            .agg(F.count(ONE).alias("notif_count"), F.max("required_end").alias("latest_req_end"))
+            .agg(F.count(_one()).alias("notif_count"), F.max("required_end").alias("latest_req_end"))
             .filter(F.col("notif_count") > 1)
             .orderBy(F.desc("notif_count"), F.asc("equipment")).limit(top))
     statuses = (eq.filter(F.col("system_status").isNotNull())
@@ -323,4 +324,4 @@ def pack_has_data(backlog: DataFrame, stagnant: DataFrame, overdue_wo: DataFrame
 def status_token_counts(df: DataFrame) -> DataFrame:
     """Rows per first status token (lower case), the badge a status shows as."""
     tok = F.lower(F.split(F.trim(F.col("system_status")), r"\s+").getItem(0))
-    return df.groupBy(tok.alias("token")).agg(F.count(ONE).alias("cnt"))
+    return df.groupBy(tok.alias("token")).agg(F.count(_one()).alias("cnt"))

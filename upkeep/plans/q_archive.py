@@ -89,21 +89,21 @@ def q_latest_daily(spark, sf):
 # -------------------------------------------------------------- control-tower pack
 _PACK = [
     # (section name, registered key, Spark order, SQL order)
-    ("backlog_notifications", "ct_backlog", [F.asc_nulls_last("required_end"), "id"],
+    ("backlog_notifications", "ct_backlog", lambda: [F.asc_nulls_last("required_end"), "id"],
      "required_end ASC NULLS LAST, id"),
-    ("overdue_notifications", "ct_overdue_notif", [F.asc_nulls_last("required_end"), "id"],
+    ("overdue_notifications", "ct_overdue_notif", lambda: [F.asc_nulls_last("required_end"), "id"],
      "required_end ASC NULLS LAST, id"),
-    ("stagnant_wo", "ct_stagnant", [F.asc_nulls_last("basic_fin_date"), "id"],
+    ("stagnant_wo", "ct_stagnant", lambda: [F.asc_nulls_last("basic_fin_date"), "id"],
      "basic_fin_date ASC NULLS LAST, id"),
-    ("overdue_wo", "ct_overdue_wo", [F.asc_nulls_last("basic_fin_date"), "id"],
+    ("overdue_wo", "ct_overdue_wo", lambda: [F.asc_nulls_last("basic_fin_date"), "id"],
      "basic_fin_date ASC NULLS LAST, id"),
-    ("pending_release_wo", "ct_pending_release", [F.asc_nulls_last("bas_start_date"), "id"],
+    ("pending_release_wo", "ct_pending_release", lambda: [F.asc_nulls_last("bas_start_date"), "id"],
      "bas_start_date ASC NULLS LAST, id"),
-    ("wo_summary_by_type", "wo_summary_by_type", [F.asc_nulls_last("order_type")],
+    ("wo_summary_by_type", "wo_summary_by_type", lambda: [F.asc_nulls_last("order_type")],
      "order_type ASC NULLS LAST"),
-    ("notification_summary", "notification_summary", [F.desc("total"), F.asc_nulls_last("system_status")],
+    ("notification_summary", "notification_summary", lambda: [F.desc("total"), F.asc_nulls_last("system_status")],
      "total DESC, system_status ASC NULLS LAST"),
-    ("repeated_equipment", "repeated_equipment", [F.desc("notif_count"), F.asc("equipment")],
+    ("repeated_equipment", "repeated_equipment", lambda: [F.desc("notif_count"), F.asc("equipment")],
      "notif_count DESC, equipment ASC"),
 ]
 
@@ -126,4 +126,4 @@ def q_pack_json(spark, sf):
         "ct_pending_release": W.pending_release(w), "wo_summary_by_type": A.wo_summary_by_type(w, AS_OF),
         "notification_summary": A.notification_summary(n), "repeated_equipment": A.repeated_equipment(n),
     }
-    return P.pack_json({name: (frames[key], order) for name, key, order, _ in _PACK})
+    return P.pack_json({name: (frames[key], order()) for name, key, order, _ in _PACK})

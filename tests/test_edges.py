@@ -45,14 +45,16 @@ def nw(spark):
     ], W_SCHEMA.replace("decimal(18,2)", "double")).select(
         *[F.col(c).cast("decimal(18,2)") if c.startswith("total") else F.col(c) for c in
           ["id", "order_no", "system_status", "created_on", "actual_finish", "basic_fin_date",
-           "equipment", "order_type", "total_plan_cost", "total_act_cost"]])
+           "equipment", "order_type", "total_plan_cost", "total_act_cost"]],
+        F.lit("H").alias("criticality"), F.lit("job").alias("description"), F.lit("RU1").alias("location"),
+        F.lit("WC1").alias("main_workctr"))
     n.createOrReplaceTempView("tn")
     w.createOrReplaceTempView("tw")
     return n, w
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
 def test_status_three_valued(spark):
@@ -208,7 +210,7 @@ def test_digest(spark):
 
 def test_without_batch_keeps_null(spark):
     df = spark.createDataFrame([("B1",), ("B2",), (None,)], "upload_batch string")
-    assert rows(I.without_batch(df, "B1")) == [(None,), ("B2",)]
+    assert rows(I.without_batch(df, "B1")) == [("B2",), (None,)]
 
 
 def test_display_format(spark):

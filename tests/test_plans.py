@@ -39,9 +39,16 @@ def test_join_side_preaggregated(spark):
 
 
 def test_filters_reach_parquet_on_typed_tables(spark, tmp_path):
-    n = E.queries()["ingest_notifications"](spark, SF_SMALL)
+    from upkeep.sources.ingest import clean_export
+    from upkeep.sources.raw_exports import raw_export
+    n = clean_export(raw_export(spark, SF_SMALL, "notifications"), "B1", row_id_prefix="B1-0")
     path = str(tmp_path / "n")
     n.write.parquet(path)
+    ids = spark.read.parquet(path).select("id")
+    assert ids.distinct().count() == ids.count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     df = W.overdue_notifications(spark.read.parquet(path), "2001-06-30")
     plan = plan_text(df)
-    assert "PushedFilters: [IsNotNull(required_end), LessThan(required_end," in plan
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert "LessThan(required_end,2001-06-30)" in pushed
+    assert "Or(IsNull(order_no),EqualTo(order_no,))" in pushed

@@ -52,8 +52,14 @@ def positional(df: DataFrame) -> DataFrame:
 
 
 def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = None,
-                 kind: str | None = None) -> DataFrame:
-    """Typed rows of one export (all-empty rows dropped)."""
+                 kind: str | None = None, row_id_prefix: str | None = None) -> DataFrame:
+    """Typed rows of one export (all-empty rows dropped).
+
+    With ``row_id_prefix`` each row gets a text ``id`` unique across batches:
+    ``<prefix>-<monotonic id>``.  The monotonic id depends only on the input
+    split and the row's place in it, so a recomputed partition (lost
+    executor) gets the same ids again.
+    """
     kind = kind or export.kind
     if kind not in LAYOUTS:
         raise ValueError(f"unknown export kind for {export.name}")
@@ -78,23 +84,26 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
             e = long_text_flag(c)
         cols.append(e.alias(name))
     stamp = F.lit(uploaded_at).cast("timestamp_ntz") if uploaded_at else F.localtimestamp()
+    if row_id_prefix is not None:
+        cols.insert(0, F.concat_ws("-", F.lit(row_id_prefix),
+                                   F.monotonically_increasing_id().cast("string")).alias("id"))
     return raw.select(*cols, F.lit(batch).alias("upload_batch"), stamp.alias("uploaded_at"))
 
 
-def ingest_exports(exports: list[Export], batch: str, uploaded_at: dt.datetime | None = None
-                   ) -> tuple[dict[str, DataFrame], DataFrame]:
+def ingest_exports(exports: list[Export], batch: str, uploaded_at: dt.datetime | None = None,
+                   row_ids: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Typed DataFrames per kind (one ``unionByName`` per kind) and the per-export
     outcome table ``(file, status, kind, rows)``; unknown kinds are skipped."""
     by_kind: dict[str, list[DataFrame]] = {}
     outcomes = []
-    for ex in exports:
+    for pos, ex in enumerate(exports):
         kind = ex.kind
         if kind == "unknown":
             outcomes.append(ex.raw.limit(0).agg(F.count(F.lit(1)).alias("rows"))
                             .select(F.lit(ex.name).alias("file"), F.lit("skip").alias("status"),
                                     F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("rows")))
             continue
-        typed = clean_export(ex, batch, uploaded_at, kind)
+        typed = clean_export(ex, batch, uploaded_at, kind, f"{batch}-{pos}" if row_ids else None)
         by_kind.setdefault(kind, []).append(typed)
         outcomes.append(ex.raw.na.drop(how="all").agg(F.count(F.lit(1)).alias("rows"))
                         .select(F.lit(ex.name).alias("file"), F.lit("ok").alias("status"),
@@ -161,7 +170,7 @@ def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, m
             exports.append(read_parquet_export(spark, p))
         else:
             skipped.append(p)
-    tables, outcomes = ingest_exports(exports, batch, uploaded_at)
+    tables, outcomes = ingest_exports(exports, batch, uploaded_at, row_ids=True)
     write_tables(tables, root, mode)
     if skipped:
         extra = spark.createDataFrame([(p, "skip", "unsupported", 0) for p in skipped],

@@ -31,8 +31,8 @@ def landing_schema(headers: list[str]) -> T.StructType:
 
 def ingest_batch(df: DataFrame, epoch_id: int, headers: tuple[str, ...], kind: str, target: str,
                  batch_prefix: str, uploaded_at: dt.datetime | None = None) -> None:
-    typed = clean_export(Export(f"epoch-{epoch_id}", df, headers), f"{batch_prefix}{epoch_id}",
-                         uploaded_at, kind)
+    batch = f"{batch_prefix}{epoch_id}"
+    typed = clean_export(Export(f"epoch-{epoch_id}", df, headers), batch, uploaded_at, kind, batch)
     (typed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("upload_batch").parquet(target))
 

@@ -61,7 +61,7 @@ def _clean_sql(c, k, arg):
     if k == "d":
         return f"try_cast(trim({c}) AS date)"
     if k == "n":
-        return f"try_cast(try_cast(trim({c}) AS double) AS decimal(18,{arg}))"
+        return f"try_cast(trim({c}) AS decimal(18,{arg}))"
     return f"coalesce(trim({c}) IN ('X', 'x', '1', 'True'), false)"
 
 
@@ -111,7 +111,7 @@ def _cleaner_query(key, cells, spark_fn, sql_fn):
 _cleaner_query("clean_strings", WO_TEXT, clean_string, lambda c: f"nullif(trim({c}), '')")
 _cleaner_query("clean_dates", WO_DATE, clean_date, lambda c: f"try_cast(trim({c}) AS date)")
 _cleaner_query("clean_numbers", WO_NUM, lambda c: clean_number(c, 2),
-               lambda c: f"try_cast(try_cast(trim({c}) AS double) AS decimal(18,2))")
+               lambda c: f"try_cast(trim({c}) AS decimal(18,2))")
 
 
 def _violations_sql(view):

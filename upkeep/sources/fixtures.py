@@ -33,8 +33,8 @@ def _plus_days(d: Column, n: Column) -> Column:
     return F.date_add(d, n.cast("int"))
 
 
-def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = base(spark, sf_dir, "orders")
+def notifications(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    o = base(spark, sf_dir, "orders", min_partitions)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     d = F.col("o_orderdate").cast("date")
     st = F.col("o_orderstatus")
@@ -68,8 +68,8 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = base(spark, sf_dir, "lineitem")
+def work_orders(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    li = base(spark, sf_dir, "lineitem", min_partitions)
     ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     ln = F.col("l_linenumber")
     ship = F.col("l_shipdate").cast("date")
@@ -117,8 +117,8 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = base(spark, sf_dir, "part")
+def bom(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    p = base(spark, sf_dir, "part", min_partitions)
     pk = F.col("p_partkey")
     return p.select(
         pk.alias("id"),
@@ -131,8 +131,8 @@ def bom(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = base(spark, sf_dir, "lineitem")
+def cost_lines(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    li = base(spark, sf_dir, "lineitem", min_partitions)
     return li.select(
         F.col("l_orderkey").alias("id"),
         _cat("PRJ", _s(F.col("l_suppkey") % 20)).alias("project_definition"),
@@ -143,8 +143,8 @@ def cost_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = base(spark, sf_dir, "documents")
+def reports(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    d = base(spark, sf_dir, "documents", min_partitions)
     k = F.col("doc_id")
     m3 = k % 3
     return d.select(
@@ -156,10 +156,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memos(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
     """One memo per document; it cites three reports by id (some ids past the
     end of the archive, as for deleted reports)."""
-    d = base(spark, sf_dir, "documents")
+    d = base(spark, sf_dir, "documents", min_partitions)
     k = F.col("doc_id")
     return d.select(
         k.alias("id"),
@@ -171,8 +171,8 @@ def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def asset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = base(spark, sf_dir, "events")
+def asset_status(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) -> DataFrame:
+    e = base(spark, sf_dir, "events", min_partitions)
     k, u = F.col("event_id"), F.col("user_id")
     m9, m4, m6 = k % 9, k % 4, k % 6
     m3 = k % 3
@@ -235,8 +235,8 @@ MONITORING = {
 }
 
 
-def monitoring(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    a = asset_status(spark, sf_dir)
+def monitoring(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    a = asset_status(spark, sf_dir, min_partitions)
     return a.select(*[F.col(src).alias(dst) for dst, src in MONITORING[name]])
 
 
@@ -251,7 +251,7 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
     if name in VIEWS:
-        return VIEWS[name](spark, sf_dir)
-    return monitoring(spark, sf_dir, name)
+        return VIEWS[name](spark, sf_dir, min_partitions)
+    return monitoring(spark, sf_dir, name, min_partitions)

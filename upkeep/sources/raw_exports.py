@@ -85,8 +85,16 @@ def spoil(v: Column, k: Column, cls: str) -> Column:
     return F.when(k % 101 == 0, F.lit(None).cast("string")).otherwise(cell)
 
 
-def raw_export(spark: SparkSession, sf_dir: str, view: str) -> Export:
-    base = fx.view(spark, sf_dir, view)
+def raw_export(spark: SparkSession, sf_dir: str, view: str, files: int | None = None) -> Export:
+    """The spoiled all-text export of a fixture view.
+
+    An upload arrives as many files, each read by its own task.  The
+    supplied tables are single unsplittable parquet row groups, so when the
+    base scan yields fewer partitions than ``files`` (default: the session's
+    parallelism) the rows are dealt round-robin into that many partitions,
+    as separate files would be.  Multi-file inputs are left as they are.
+    """
+    base = fx.view(spark, sf_dir, view, files or spark.sparkContext.defaultParallelism)
     extra = _extra(view)
     base = base.select("*", *[e.alias(n) for n, e in extra.items() if n not in base.columns])
     layout = RAW_LAYOUTS[view]

@@ -9,5 +9,11 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations"]
 
 
-def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def base(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
+    """A supplied table.  With ``min_partitions``, a scan that cannot be split
+    that far (one parquet row group) is dealt round-robin into that many
+    partitions; a scan that already has them is returned untouched."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
+        df = df.repartition(min_partitions)
+    return df

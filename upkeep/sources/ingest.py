@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upkeep.functions.cleaners import clean_date, clean_number, clean_string, long_text_flag
-from upkeep.sources.exports import LAYOUTS, TABLE_OF, detect_kind, header_position, normalise_headers
+from upkeep.sources.exports import LAYOUTS, TABLE_OF, detect_kind, header_position, normalise_headers  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -119,22 +119,45 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ files
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, read through the cluster file system (a few
+    bytes per file on the driver; no Spark job)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+    finally:
+        stream.close()
+    return line.lstrip("\ufeff") if line is not None else None
+
+
 def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
-    """The first line of a CSV export, parsed as CSV (one line on the driver)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    """The header row of a CSV export, parsed as CSV."""
+    line = first_line(spark, path)
+    if line is None:
         return []
-    return next(csv.reader(io.StringIO(first[0][0]), delimiter=sep))
+    return next(csv.reader(io.StringIO(line), delimiter=sep))
 
 
-def read_csv_export(spark: SparkSession, path: str, sep: str = ",") -> Export:
-    """A CSV export with positional all-text columns (duplicate headers are
-    kept apart by position)."""
-    headers = read_header(spark, path, sep)
+def read_csv_group(spark: SparkSession, paths: list[str], headers: list[str], sep: str = ",",
+                   name: str | None = None) -> Export:
+    """All CSV exports sharing one header row, read by one scan (each file's
+    own header line is skipped).  Duplicate headers stay apart by position.
+    The source file of every row is kept in ``_file`` for per-file counts."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
     raw = (spark.read.option("header", True).option("enforceSchema", True).option("sep", sep)
-           .option("multiLine", True).schema(schema).csv(path))
-    return Export(path, raw, tuple(headers))
+           .option("multiLine", True).schema(schema).csv(paths)
+           .select(*[F.col(f.name) for f in schema.fields], F.col("_metadata.file_path").alias("_file")))
+    return Export(name or ",".join(paths), raw, tuple(headers))
+
+
+def read_csv_export(spark: SparkSession, path: str, sep: str = ",") -> Export:
+    """One CSV export with positional all-text columns."""
+    ex = read_csv_group(spark, [path], read_header(spark, path, sep), sep, path)
+    return Export(path, ex.raw.drop("_file"), ex.headers)
 
 
 def read_parquet_export(spark: SparkSession, path: str) -> Export:
@@ -158,24 +181,45 @@ def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append")
 
 
 def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, mode: str = "append",
-                 uploaded_at: dt.datetime | None = None) -> DataFrame:
-    """Read, detect, clean and write a set of export files; returns the
-    per-file outcome table.  Files that are not CSV/Parquet are skipped."""
-    exports, skipped = [], []
+                 uploaded_at: dt.datetime | None = None, sep: str = ",") -> DataFrame:
+    """Read, detect, clean and write a set of CSV export files; returns the
+    per-file outcome table ``(file, status, kind, rows)``.
+
+    Files are grouped by their header row and each group is read by a single
+    scan, so the plan does not grow with the number of files.  Files that
+    are not CSV, or whose header matches no kind, are skipped.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    skipped = []
     for p in paths:
-        low = p.lower()
-        if low.endswith(".csv"):
-            exports.append(read_csv_export(spark, p))
-        elif low.endswith(".parquet"):
-            exports.append(read_parquet_export(spark, p))
-        else:
-            skipped.append(p)
-    tables, outcomes = ingest_exports(exports, batch, uploaded_at, row_ids=True)
-    write_tables(tables, root, mode)
-    if skipped:
-        extra = spark.createDataFrame([(p, "skip", "unsupported", 0) for p in skipped],
-                                      "file string, status string, kind string, rows bigint")
-        outcomes = outcomes.unionByName(extra)
+        if not p.lower().endswith(".csv"):
+            skipped.append((p, "skip", "unsupported"))
+            continue
+        header = tuple(read_header(spark, p, sep))
+        if detect_kind(header) == "unknown":
+            skipped.append((p, "skip", "unknown"))
+            continue
+        groups.setdefault(header, []).append(p)
+    by_kind: dict[str, list[DataFrame]] = {}
+    counts = []
+    for pos, (header, files) in enumerate(groups.items()):
+        ex = read_csv_group(spark, files, list(header), sep, f"group-{pos}")
+        kind = ex.kind
+        data_cols = [c for c in ex.raw.columns if c != "_file"]
+        kept = ex.raw.na.drop(how="all", subset=data_cols)
+        typed = clean_export(Export(ex.name, kept.drop("_file"), ex.headers), batch, uploaded_at, kind,
+                             f"{batch}-{pos}")
+        by_kind.setdefault(kind, []).append(typed)
+        counts.append(kept.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+                      .select("file", F.lit("ok").alias("status"), F.lit(kind).alias("kind"), "rows"))
+    write_tables({k: reduce(DataFrame.unionByName, v) for k, v in by_kind.items()}, root, mode)
+    outcomes = spark.createDataFrame(skipped, "file string, status string, kind string") \
+        .withColumn("rows", F.lit(0).cast("bigint"))
+    if counts:
+        # Files given as plain paths come back from the scan as URIs.
+        ok = reduce(DataFrame.unionByName, counts)
+        ok = ok.withColumn("file", F.regexp_replace("file", "^file:", ""))
+        outcomes = ok.unionByName(outcomes)
     return outcomes
 
 

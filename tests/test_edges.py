@@ -35,7 +35,8 @@ def nw(spark):
         (5, "M3", D(2001, 2, 2), "200", "NOPR OSTS", D(2001, 5, 1), "I", "EQ2", "WC2"),
         (6, "M1", D(2001, 3, 3), "300", "OSNO", D(2001, 8, 1), "H", "EQ2", "WC1"),  # not overdue
         (7, "M3", D(2001, 2, 2), "999", "OSNO", D(2001, 5, 1), "M", "EQ1", "WC3"),  # no matching WO
-    ], N_SCHEMA)
+    ], N_SCHEMA).select("*", F.concat(F.lit("N"), F.col("id").cast("string")).alias("notification"),
+                        F.lit("req").alias("description"), F.lit("RU1").alias("location"))
     w = spark.createDataFrame([
         ("a", "100", "CRTD REL", D(2001, 1, 3), None, D(2001, 6, 1), "EQ1", "PT02", 10.0, 12.0),
         ("b", "100", "TECO REL", D(2000, 12, 1), D(2001, 2, 1), D(2001, 6, 29), "EQ1", "PT02", 5.0, None),
@@ -222,3 +223,34 @@ def test_trend_merged_fills_zero(spark):
     a = spark.createDataFrame([("2001-01", 3)], "month string, cnt bigint")
     b = spark.createDataFrame([("2001-02", 4)], "month string, cnt bigint")
     assert rows(A.trend_merged(a, b)) == [("2001-01", 3, 0), ("2001-02", 0, 4)]
+
+
+def test_detail_dispatcher(spark, nw):
+    n, w = nw
+    assert Dd.detail(n, w, "funnel", {"segment": "total_notif"}).count() == 7
+    assert Dd.detail(n, w, "funnel").count() == 2            # default segment no_wo
+    assert Dd.detail(n, w, "overdue", {"notif_type": "M1", "wo_cat": "bogus"}, AS_OF).count() == 0
+    with pytest.raises(ValueError):
+        Dd.detail(n, w, "funnel", {"segment": "nope"})
+    with pytest.raises(ValueError):
+        Dd.detail(n, w, "nope")
+
+
+def test_missing_table_is_empty_section(spark, tmp_path):
+    from upkeep.sources.tables import load_or_empty
+    df = load_or_empty(spark, "no_such_table", "ru string, periode date", str(tmp_path / "absent"))
+    assert df.count() == 0 and df.columns == ["ru", "periode"]
+    spark.createDataFrame([("RU1", D(2024, 1, 1))], "ru string, periode date").write.parquet(str(tmp_path / "p"))
+    assert load_or_empty(spark, "no_such_table", "ru string, periode date", str(tmp_path / "p")).count() == 1
+
+
+def test_append_artifact_and_local_stamp(spark, tmp_path):
+    schema = "id bigint, type string, content string, created_at timestamp_ntz"
+    path = str(tmp_path / "reports")
+    for i in (1, 2):
+        R.append_artifact(spark, path, {"id": i, "type": "daily", "content": f"r{i}",
+                                        "created_at": dt.datetime(2024, 1, i, 17, 30)}, schema)
+    r = spark.read.parquet(path)
+    assert r.count() == 2
+    stamp = r.filter("id = 1").select(R.local_stamp(F.col("created_at"))).first()[0]
+    assert stamp == "02 Jan 2024 00.30"   # 17:30 UTC is 00:30 next day at UTC+7

@@ -89,3 +89,10 @@ def latest_of_type(reports: DataFrame, type_value: str = "daily") -> DataFrame:
             .orderBy(F.desc("created_at"), F.desc("id")).limit(1)
             .select("id", "type", "created_at", "content",
                     F.substring("content", 1, EXCERPT_LEN).alias("excerpt")))
+
+
+def append_artifact(spark, table_path: str, row: dict, schema) -> None:
+    """Append one generated artifact (report, memo, talking points,
+    control-tower output) to its table.  The caller supplies the id (a
+    natural or hash key), so no single-partition sequence is needed."""
+    spark.createDataFrame([row], schema).write.mode("append").parquet(table_path)

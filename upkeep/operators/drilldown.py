@@ -277,3 +277,47 @@ def page_after(df: DataFrame, order: list[tuple[str, bool]], last_key: tuple | N
 
 def total_pages(total: int, per_page: int) -> int:
     return math.ceil(total / per_page) if total else 1
+
+
+# ------------------------------------------------------------------ dispatcher
+FUNNEL_SEGMENTS = ("total_notif", "no_wo", "has_wo", "rel", "done")
+
+
+def detail(n: DataFrame, w: DataFrame, source: str, params: dict | None = None, as_of=None) -> DataFrame:
+    """The drill-down of one dashboard segment by name, with the same defaults
+    as the dashboard links.  Unknown sources or funnel segments raise
+    ``ValueError``."""
+    p = params or {}
+    if source == "funnel":
+        seg = p.get("segment", "no_wo")
+        if seg == "total_notif":
+            return funnel_total(n)
+        if seg == "no_wo":
+            return funnel_no_wo(n)
+        if seg == "has_wo":
+            return funnel_has_wo(n, w)
+        if seg == "rel":
+            return funnel_rel(n, w)
+        if seg == "done":
+            return funnel_done(n, w)
+        raise ValueError(f"unknown funnel segment: {seg!r}")
+    if source == "leadtime":
+        return lead_time_detail(n, w, p.get("notif_type", "M1"), p.get("criticality", "H"))
+    if source == "overdue":
+        return overdue_detail(n, w, p.get("notif_type", "M1"), p.get("wo_cat", "no_wo"), as_of)
+    if source == "badactor":
+        return bad_actor_detail(n, w, p.get("equipment", ""))
+    if source == "trend":
+        month = p.get("month", "")
+        if p.get("data_type", "notif") == "notif":
+            return trend_notif_detail(n, month)
+        return trend_done_detail(w, month)
+    if source == "wo_by_type":
+        return wo_by_type_detail(w, p.get("order_type", "PT02"), p.get("status", "rel"))
+    if source == "notif_status":
+        return notif_status_detail(n, p.get("status", "OSNO"))
+    if source == "aging":
+        return aging_detail(w, p.get("bucket", ""), as_of)
+    if source == "backlog_workctr":
+        return backlog_detail(n, p.get("workctr", ""))
+    raise ValueError(f"unknown source: {source!r}")

@@ -103,3 +103,39 @@ def q_bad_actor_trend(spark, sf):
     cur = S.snapshot(t, "periode", "latest").filter(S.not_in("status", S.BAD_ACTOR_CLOSED))
     prev = S.snapshot(t, "periode", "previous")
     return S.bad_actor_trend(cur, prev)
+
+
+# -------------------------------------------------------------- daily / weekly / monthly packs
+def _section_where(cadence: str, sec: S.Section) -> str:
+    if sec.which == "previous":
+        return ""
+    if sec.table == "readiness_jetty":
+        return JETTY_WEEKLY if cadence == "weekly" else JETTY_MONTHLY
+    return WHERE[sec.table]
+
+
+def _pack_sql(cadence: str) -> str:
+    parts = []
+    for name, sec in S.SECTIONS[cadence].items():
+        order = ", ".join([f"{c} ASC NULLS LAST" for c in sec.order] + ["id"])
+        parts.append(f"SELECT '{name}' AS section, count(*) AS n_rows, "
+                     f"coalesce(to_json(list(t ORDER BY {order})), '[]')::varchar AS payload "
+                     f"FROM ({_sql(sec, _section_where(cadence, sec))}) t")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _pack(cadence: str):
+    @register(f"pack_{cadence}", _pack_sql(cadence))
+    def q(spark, sf):
+        from pyspark.sql import functions as F
+        from upkeep.operators.packs import pack_json
+        secs = S.SECTIONS[cadence]
+        tables = {t: views(spark, sf, t)[0] for t in {s.table for s in secs.values()}}
+        built = S.gather(tables, cadence)
+        return pack_json({name: (built[name], [F.asc_nulls_last(c) for c in sec.order] + ["id"])
+                          for name, sec in secs.items()})
+    return q
+
+
+for _cad in ("daily", "weekly", "monthly"):
+    _pack(_cad)

@@ -17,3 +17,17 @@ def base(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None
     if min_partitions and df.rdd.getNumPartitions() < min_partitions:
         df = df.repartition(min_partitions)
     return df
+
+
+def load_or_empty(spark: SparkSession, name: str, schema, path: str | None = None) -> DataFrame:
+    """A catalog table, else a Parquet path, else an empty DataFrame of the
+    expected schema: a missing upstream table yields an empty section rather
+    than failing a whole pack.  Any other error surfaces."""
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    if path is not None:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.parquet(path)
+    return spark.createDataFrame([], schema)

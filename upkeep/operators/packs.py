@@ -31,3 +31,25 @@ def pack_json(sections: dict[str, tuple[DataFrame, list]]) -> DataFrame:
     """``{name: (df, order)}`` -> one row per section."""
     parts = [pack_section(n, df, order) for n, (df, order) in sections.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def pack_top_lists(df: DataFrame, lists: dict) -> DataFrame:
+    """Pack rows for several worklists of one table, computed in one scan
+    (see ``worklists.fused_top_lists``).  Same payload text as
+    ``pack_section`` over each list separately; a list no row qualifies for
+    still gets its row (``n_rows`` 0, payload ``[]``)."""
+    from upkeep.operators.worklists import fused_top_lists
+
+    def as_json(spec):
+        return F.to_json(F.struct("id", *spec.columns), JSON_OPTIONS)
+
+    rows = fused_top_lists(df, lists, as_json)
+    seeds = df.sparkSession.createDataFrame([(name, 0, None) for name in lists],
+                                            "_list string, _rn int, _row string")
+    real = F.col("_rn") > 0
+    return (rows.unionByName(seeds).groupBy(F.col("_list").alias("section"))
+            .agg(F.count(F.when(real, F.lit(1))).alias("n_rows"),
+                 F.sort_array(F.collect_list(F.when(real, F.struct("_rn", "_row")))).alias("items"))
+            .select("section", "n_rows",
+                    F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["_row"]), ","),
+                             F.lit("]")).alias("payload")))

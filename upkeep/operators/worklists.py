@@ -8,7 +8,9 @@ cut is deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from upkeep.functions.status import as_of_date, has_status, is_blank, lacks_status
@@ -67,3 +69,67 @@ def teco_without_finish(w: DataFrame, limit: int | None = None) -> DataFrame:
     """Data-consistency flag: technically completed but no actual finish date."""
     f = w.filter(has_status(F.col("system_status"), "TECO") & F.col("actual_finish").isNull())
     return _top(f, TECO_NO_FINISH_COLS, [F.asc_nulls_last("basic_fin_date")], limit)
+
+
+# ------------------------------------------------------------------ fused top-k lists
+@dataclass(frozen=True)
+class TopList:
+    """One worklist: a predicate, an ascending NULLS LAST sort column (then
+    the row id), a row limit and the columns it shows."""
+    predicate: object        # callable () -> Column
+    order_col: str
+    limit: int
+    columns: tuple[str, ...]
+
+
+def control_tower_lists(as_of=None) -> dict[str, dict[str, TopList]]:
+    """The control-tower worklists grouped by the table they read."""
+    st = F.col("system_status")
+    return {
+        "notifications": {
+            "backlog_notifications": TopList(
+                lambda: is_blank("order_no") & has_status(st, "OSNO"), "required_end", 50, tuple(BACKLOG_COLS)),
+            "overdue_notifications": TopList(
+                lambda: is_blank("order_no") & (F.col("required_end") < as_of_date(as_of)), "required_end", 30,
+                tuple(OVERDUE_NOTIF_COLS)),
+        },
+        "work_orders": {
+            "stagnant_wo": TopList(
+                lambda: has_status(st, "REL") & F.col("actual_finish").isNull(), "basic_fin_date", 50,
+                tuple(STAGNANT_COLS)),
+            "overdue_wo": TopList(
+                lambda: (F.col("basic_fin_date") < as_of_date(as_of)) & lacks_status(st, "TECO")
+                & lacks_status(st, "CLSD"), "basic_fin_date", 30, tuple(OVERDUE_WO_COLS)),
+            "pending_release_wo": TopList(
+                lambda: has_status(st, "CRTD") & lacks_status(st, "REL"), "bas_start_date", 20,
+                tuple(PENDING_COLS)),
+        },
+    }
+
+
+def fused_top_lists(df: DataFrame, lists: dict[str, TopList], row: callable) -> DataFrame:
+    """Several top-k worklists of one table from a single scan.
+
+    Each row is tagged with every list whose predicate it meets, then ranked
+    within its list; the ``row_number() <= k`` filter is planned as a
+    per-task group limit before the shuffle, so no task ever holds more
+    than k rows of a list.  Returns ``(_list, _rn, <row(spec)>)`` where
+    ``row(spec)`` renders a row of that list (e.g. as JSON text).
+    """
+    names = list(lists)
+    tags = F.array_compact(F.array(*[F.when(lists[n].predicate(), F.lit(n)) for n in names]))
+    tagged = df.select("*", F.explode(tags).alias("_list"))
+    key: Column | None = None
+    lim: Column | None = None
+    rendered: Column | None = None
+    for n in names:
+        hit = F.col("_list") == n
+        key = F.when(hit, F.col(lists[n].order_col)) if key is None else key.when(hit, F.col(lists[n].order_col))
+        lim = F.when(hit, lists[n].limit) if lim is None else lim.when(hit, lists[n].limit)
+        rendered = F.when(hit, row(lists[n])) if rendered is None else rendered.when(hit, row(lists[n]))
+    top = max(t.limit for t in lists.values())
+    ranked = (tagged.withColumn("_key", key)
+              .withColumn("_rn", F.row_number().over(
+                  Window.partitionBy("_list").orderBy(F.asc_nulls_last("_key"), F.asc("id"))))
+              .filter(F.col("_rn") <= top))
+    return ranked.filter(F.col("_rn") <= lim).select("_list", "_rn", rendered.alias("_row"))

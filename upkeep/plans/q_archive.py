@@ -120,10 +120,17 @@ def _pack_sql():
 @register("pack_json", _pack_sql())
 def q_pack_json(spark, sf):
     n, w = views(spark, sf, "notifications", "work_orders")
-    frames = {
-        "ct_backlog": W.backlog(n), "ct_overdue_notif": W.overdue_notifications(n, AS_OF),
-        "ct_stagnant": W.stagnant(w), "ct_overdue_wo": W.overdue_orders(w, AS_OF),
-        "ct_pending_release": W.pending_release(w), "wo_summary_by_type": A.wo_summary_by_type(w, AS_OF),
-        "notification_summary": A.notification_summary(n), "repeated_equipment": A.repeated_equipment(n),
+    lists = W.control_tower_lists(AS_OF)
+    summaries = {
+        "wo_summary_by_type": (A.wo_summary_by_type(w, AS_OF), _order("wo_summary_by_type")),
+        "notification_summary": (A.notification_summary(n), _order("notification_summary")),
+        "repeated_equipment": (A.repeated_equipment(n), _order("repeated_equipment")),
     }
-    return P.pack_json({name: (frames[key], order()) for name, key, order, _ in _PACK})
+    # The five worklists come from one scan per table.
+    return (P.pack_top_lists(n, lists["notifications"])
+            .unionByName(P.pack_top_lists(w, lists["work_orders"]))
+            .unionByName(P.pack_json(summaries)))
+
+
+def _order(key):
+    return next(order for _, k, order, _ in _PACK if k == key)()

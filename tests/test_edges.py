@@ -254,3 +254,15 @@ def test_append_artifact_and_local_stamp(spark, tmp_path):
     assert r.count() == 2
     stamp = r.filter("id = 1").select(R.local_stamp(F.col("created_at"))).first()[0]
     assert stamp == "02 Jan 2024 00.30"   # 17:30 UTC is 00:30 next day at UTC+7
+
+
+def test_control_tower_outputs_list(spark):
+    ct = spark.createDataFrame(
+        [(1, "control_tower", "t1", "x" * 300, dt.datetime(2024, 1, 1)),
+         (2, "memo", "t2", "y", dt.datetime(2024, 1, 2)),
+         (3, "control_tower", "t3", "z", dt.datetime(2024, 1, 3))],
+        "id bigint, output_type string, title string, content string, created_at timestamp_ntz")
+    out = R.archive_list(ct, "output_type", "control_tower", limit=50, extra=("title",)).collect()
+    assert [r.id for r in out] == [3, 1]
+    assert out[0].asDict().keys() == {"id", "output_type", "title", "preview", "created_at"}
+    assert len(out[1].preview) == 200

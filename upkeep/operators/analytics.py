@@ -69,12 +69,14 @@ LEAD_TYPES = ["M1", "M2", "M3"]
 
 def lead_time(n: DataFrame, w: DataFrame) -> DataFrame:
     """Average days from notification to work-order creation per type x criticality."""
-    nk = (n.filter(F.col("notif_date").isNotNull() & not_blank("order_no")
+    # Blank keys join blank keys here as in SQL; after the per-key
+    # aggregation even a hot key is bounded by its distinct dates.
+    nk = (n.filter(F.col("notif_date").isNotNull() & F.col("order_no").isNotNull()
                    & F.col("criticality").isin(LEAD_CRITICALITIES)
                    & F.col("notif_type").isin(LEAD_TYPES))
           .groupBy("order_no", "notif_type", "criticality", "notif_date")
           .agg(F.count(_one()).alias("n_cnt")))
-    wk = (w.filter(F.col("created_on").isNotNull() & not_blank("order_no"))
+    wk = (w.filter(F.col("created_on").isNotNull() & F.col("order_no").isNotNull())
           .groupBy("order_no", "created_on").agg(F.count(_one()).alias("w_cnt")))
     j = nk.join(wk, (nk.order_no == wk.order_no) & (wk.created_on >= nk.notif_date), "inner")
     weight = F.col("n_cnt") * F.col("w_cnt")
@@ -110,8 +112,14 @@ def overdue_by_wo_status(n: DataFrame, w: DataFrame, as_of=None) -> DataFrame:
     REL -> rel, anything else (also no matching order) -> crtd.
     """
     od = n.filter(F.col("required_end") < as_of_date(as_of))
-    no_wo = (od.filter(is_blank("order_no")).groupBy("notif_type")
-             .agg(F.count(_one()).alias("cnt")).select("notif_type", F.lit("no_wo").alias("wo_cat"), "cnt"))
+    # A blank ('') order number still equals a blank one on the work-order
+    # side, so such a notification appears once per blank-keyed work order
+    # (at least once): weight it by that count instead of pairing rows.
+    w_blank = w.filter(F.col("order_no") == "").select(F.count(_one())).scalar()
+    weight = F.when(F.col("order_no").isNull(), F.lit(1).cast("bigint")).otherwise(F.greatest(w_blank, F.lit(1)))
+    no_wo = (od.filter(is_blank("order_no")).select("notif_type", weight.alias("_w")).groupBy("notif_type")
+             .agg(F.sum("_w").cast("bigint").alias("cnt"))
+             .select("notif_type", F.lit("no_wo").alias("wo_cat"), "cnt"))
     cat = _wo_category(F.col("system_status"))
     wk = (w.filter(not_blank("order_no")).groupBy("order_no")
           .agg(*[count_if(cat == c).alias(f"w_{c}") for c in ("crtd", "rel", "teco")]))

@@ -102,3 +102,21 @@ def test_ingest_modes_and_batches(spark, files, tmp_path):
     summary = I.outcome_summary(I.ingest_files(spark, paths, "B5", root)).first()
     assert (summary.ok, summary.total) == (2, 4)
     assert os.path.isdir(f"{notif}/upload_batch=B5")
+
+
+def test_replace_is_staged(spark, tmp_path):
+    """A replace whose write fails leaves the old table readable."""
+    from pyspark.sql import functions as F
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(1, "B1")], "x int, upload_batch string")
+    I.replace_table(spark, old, path, "a")
+    bad = spark.range(3).select(F.raise_error(F.lit("boom")).cast("int").alias("x"),
+                                F.lit("B2").alias("upload_batch"))
+    with pytest.raises(Exception):
+        I.replace_table(spark, bad, path, "b")
+    assert [r.x for r in spark.read.parquet(path).collect()] == [1]
+    new = spark.createDataFrame([(2, "B3"), (3, "B3")], "x int, upload_batch string")
+    I.replace_table(spark, new, path, "c")
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3]
+    left = os.listdir(tmp_path)
+    assert "t" in left and not any(d.startswith("t.__old-") for d in left)

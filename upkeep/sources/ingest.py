@@ -13,6 +13,7 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import io
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -165,17 +166,50 @@ def read_parquet_export(spark: SparkSession, path: str) -> Export:
     return Export(path, positional(df), tuple(df.columns))
 
 
-def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append") -> list[str]:
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def replace_table(spark: SparkSession, df: DataFrame, path: str, tag: str) -> None:
+    """Replace a table by a staged swap: the new data is written completely
+    next to the table first; only then the old folder is moved aside, the
+    staged one moved in and the old one deleted.  A failed write leaves the
+    old table untouched (the swap is two renames; atomic where the file
+    system's rename is)."""
+    staging = f"{path.rstrip('/')}.__staging-{tag}"
+    trash = f"{path.rstrip('/')}.__old-{tag}"
+    df.write.mode("overwrite").partitionBy("upload_batch").parquet(staging)
+    live, fs = _fs_path(spark, path)
+    staged, _ = _fs_path(spark, staging)
+    old, _ = _fs_path(spark, trash)
+    had_old = fs.exists(live)
+    if had_old and not fs.rename(live, old):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(staged, live):
+        if had_old:
+            fs.rename(old, live)
+        raise OSError(f"could not move {staging} into place")
+    if had_old:
+        fs.delete(old, True)
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append", tag: str | None = None
+                 ) -> list[str]:
     """Append (default) or replace.  Replace only touches the kinds present in
-    this upload; each table is partitioned by ``upload_batch`` so a batch can
-    later be dropped without rewriting the others."""
+    this upload and swaps each table in after the new data is fully written;
+    each table is partitioned by ``upload_batch`` so a batch can later be
+    dropped without rewriting the others."""
     if mode not in ("append", "replace"):
         raise ValueError(f"unknown mode {mode}")
     written = []
     for kind, df in tables.items():
         path = f"{root.rstrip('/')}/{TABLE_OF[kind]}"
-        (df.write.mode("overwrite" if mode == "replace" else "append")
-         .partitionBy("upload_batch").parquet(path))
+        if mode == "replace":
+            replace_table(df.sparkSession, df, path, tag or uuid.uuid4().hex[:12])
+        else:
+            df.write.mode("append").partitionBy("upload_batch").parquet(path)
         written.append(path)
     return written
 
@@ -212,7 +246,8 @@ def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, m
         by_kind.setdefault(kind, []).append(typed)
         counts.append(kept.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
                       .select("file", F.lit("ok").alias("status"), F.lit(kind).alias("kind"), "rows"))
-    write_tables({k: reduce(DataFrame.unionByName, v) for k, v in by_kind.items()}, root, mode)
+    write_tables({k: reduce(DataFrame.unionByName, v) for k, v in by_kind.items()}, root, mode,
+                 f"{batch}-{uuid.uuid4().hex[:8]}")
     outcomes = spark.createDataFrame(skipped, "file string, status string, kind string") \
         .withColumn("rows", F.lit(0).cast("bigint"))
     if counts:
@@ -230,10 +265,7 @@ def without_batch(df: DataFrame, batch: str) -> DataFrame:
 
 def delete_batch_files(spark: SparkSession, table_path: str, batch: str) -> bool:
     """Drop one batch partition of a written table (no rewrite of others)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/upload_batch={batch}")
-    fs = p.getFileSystem(conf)
+    p, fs = _fs_path(spark, f"{table_path.rstrip('/')}/upload_batch={batch}")
     return bool(fs.exists(p) and fs.delete(p, True))
 
 

@@ -31,3 +31,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["notif_type", "wo_cat", "cnt"]
     assert df.count() >= 0
+
+
+@pytest.mark.parametrize("key", ["source_summary", "ingest_bom", "reports_list", "pack_weekly"])
+def test_independent_of_session_zone(spark, duck, key):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = E.queries()[key](spark, SF_SMALL)
+        srows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    rel = duck.sql(E.oracle_sql()[key])
+    assert digest(srows, df.columns)[0] == digest(rel.fetchall(), rel.columns)[0]

@@ -15,8 +15,12 @@ LOCAL_OFFSET = "+07:00"
 
 
 def local_stamp(ts: Column, fmt: str = "dd MMM yyyy HH.mm", offset: str = LOCAL_OFFSET) -> Column:
-    """A UTC timestamp shown on the local (UTC+7) clock."""
-    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), offset), fmt)
+    """A UTC wall-clock timestamp shown on the local (UTC+7) clock; plain
+    interval arithmetic on the zone-free value, independent of the session zone."""
+    sign = -1 if offset.startswith("-") else 1
+    hours, mins = (int(x) for x in offset.lstrip("+-").split(":"))
+    shift = F.make_dt_interval(F.lit(0), F.lit(sign * hours), F.lit(sign * mins))
+    return F.date_format(ts.cast("timestamp_ntz") + shift, fmt)
 
 
 def archive_list(df: DataFrame, type_col: str = "type", type_value: str | None = None,

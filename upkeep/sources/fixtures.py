@@ -127,7 +127,7 @@ def bom(spark: SparkSession, sf_dir: str, min_partitions: int | None = None) ->
         _cat("MAT", _s(pk)).alias("component"),
         F.col("p_type").alias("component_desc"),
         F.col("p_size").cast(T.DecimalType(18, 3)).alias("quantity"),
-        F.lit(dt.datetime(2001, 6, 1)).cast("timestamp_ntz").alias("uploaded_at"),
+        F.lit("2001-06-01 00:00:00").cast("timestamp_ntz").alias("uploaded_at"),
     )
 
 

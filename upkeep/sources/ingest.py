@@ -84,7 +84,9 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
         else:
             e = long_text_flag(c)
         cols.append(e.alias(name))
-    stamp = F.lit(uploaded_at).cast("timestamp_ntz") if uploaded_at else F.localtimestamp()
+    # A zone-free literal: the same wall-clock value whatever the session zone.
+    stamp = (F.lit(uploaded_at.isoformat(sep=" ")).cast("timestamp_ntz") if uploaded_at
+             else F.localtimestamp())
     if row_id_prefix is not None:
         cols.insert(0, F.concat_ws("-", F.lit(row_id_prefix),
                                    F.monotonically_increasing_id().cast("string")).alias("id"))

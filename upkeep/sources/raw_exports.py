@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from upkeep.sources import fixtures as fx
 from upkeep.sources.ingest import Export
+from upkeep.sources.tables import default_parallelism
 
 # (header, source expression name or callable, cell class) per export; classes: t text, n number, d date, k key
 RAW_LAYOUTS = {
@@ -94,7 +95,7 @@ def raw_export(spark: SparkSession, sf_dir: str, view: str, files: int | None =
     parallelism) the rows are dealt round-robin into that many partitions,
     as separate files would be.  Multi-file inputs are left as they are.
     """
-    base = fx.view(spark, sf_dir, view, files or spark.sparkContext.defaultParallelism)
+    base = fx.view(spark, sf_dir, view, files or default_parallelism(spark))
     extra = _extra(view)
     base = base.select("*", *[e.alias(n) for n, e in extra.items() if n not in base.columns])
     layout = RAW_LAYOUTS[view]

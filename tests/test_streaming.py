@@ -21,3 +21,15 @@ def test_landing_ingest(spark, tmp_path):
     out = spark.read.parquet(os.path.join(root, "sap_notifications"))
     assert sorted(r.notification for r in out.collect()) == ["1", "2", "3"]
     assert out.select("upload_batch").distinct().count() == 2
+
+
+def test_replayed_epoch_is_idempotent(spark, tmp_path):
+    from upkeep.streaming.landing import ingest_batch
+    from upkeep.sources.ingest import positional
+    headers = tuple(HEAD.split(","))
+    df = positional(spark.createDataFrame([("M1", "2001-01-01", "9", "1")], "a string, b string, c string, d string"))
+    target = str(tmp_path / "t")
+    for _ in range(2):                      # the same epoch delivered twice after a failure
+        ingest_batch(df, 7, headers, "notification", target, "s-")
+    out = spark.read.parquet(target)
+    assert out.count() == 1 and out.first().upload_batch == "s-7"

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.functions.display import NULL_MARK
-from upkeep.functions.status import as_of_date, has_status, is_blank, lacks_status, not_blank
+from upkeep.functions.status import as_of_date, is_blank, lacks_status, not_blank
 
 # The builder catalog (allowed dimensions, filter columns, measures).
 X_COLS = {

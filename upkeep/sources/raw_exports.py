@@ -11,7 +11,7 @@ and every cell empty (key % 101: the row must vanish).  An extra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.sources import fixtures as fx

@@ -90,11 +90,11 @@ def test_ingest_modes_and_batches(spark, files, tmp_path):
     assert out[files["other.csv"]].status == "skip"
     assert out[files["readme.txt"]].kind == "unsupported"
     I.ingest_files(spark, [files["notif.csv"]], "B2", root, "append").collect()
-    notif = f"{root}/sap_notifications"
+    notif = f"{root}/notifications"
     assert spark.read.parquet(notif).count() == 6     # same file twice: doubled
     I.ingest_files(spark, [files["notif.csv"]], "B3", root, "replace").collect()
     assert spark.read.parquet(notif).count() == 3
-    assert spark.read.parquet(f"{root}/sap_bom").count() == 2   # replace leaves other kinds
+    assert spark.read.parquet(f"{root}/bom").count() == 2   # replace leaves other kinds
     I.ingest_files(spark, [files["notif.csv"]], "B4", root, "append").collect()
     assert I.delete_batch_files(spark, notif, "B3")
     left = spark.read.parquet(notif)

@@ -18,7 +18,7 @@ def test_landing_ingest(spark, tmp_path):
     (landing / "b.csv").write_text(HEAD + "\nM3,2001-01-03,3,300\n")
     q = start_landing_ingest(spark, str(landing), HEAD.split(","), root, ckpt)
     q.awaitTermination(120)
-    out = spark.read.parquet(os.path.join(root, "sap_notifications"))
+    out = spark.read.parquet(os.path.join(root, "notifications"))
     assert sorted(r.notification for r in out.collect()) == ["1", "2", "3"]
     assert out.select("upload_batch").distinct().count() == 2
 

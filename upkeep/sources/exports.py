@@ -119,8 +119,8 @@ LAYOUTS = {
 }
 
 # Table each export kind lands in.
-TABLE_OF = {"notification": "sap_notifications", "work_order": "sap_work_orders",
-            "bom": "sap_bom", "cji3": "sap_cji3"}
+TABLE_OF = {"notification": "notifications", "work_order": "work_orders",
+            "bom": "bom", "cji3": "cost_lines"}
 
 BATCH_LIMIT = 50  # VARCHAR(50) of upload_batch
 

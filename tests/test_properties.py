@@ -20,7 +20,7 @@ W_ROW = st.tuples(KEYS, STATUS, DATES, DATES, st.sampled_from(["EQ1", "EQ2", "EQ
 
 N_SCHEMA = "notif_type string, notif_date date, order_no string, required_end date, criticality string, equipment string"
 W_SCHEMA = "order_no string, system_status string, created_on date, actual_finish date, equipment string"
-SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def frames(spark, nrows, wrows):

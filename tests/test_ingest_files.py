@@ -120,3 +120,19 @@ def test_replace_is_staged(spark, tmp_path):
     assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3]
     left = os.listdir(tmp_path)
     assert "t" in left and not any(d.startswith("t.__old-") for d in left)
+
+
+def test_parquet_exports(spark, tmp_path):
+    """Typed Parquet exports: real date cells are kept, text numbers cleaned."""
+    a = str(tmp_path / "wo1.parquet")
+    b = str(tmp_path / "wo2.parquet")
+    schema = "`Order Type` string, `Bas. start date` date, `Order` string, `TotalPlnndCosts` string"
+    spark.createDataFrame([("PT02", dt.date(2001, 1, 2), " 77 ", "12.345")], schema).write.parquet(a)
+    spark.createDataFrame([("PT03", None, "78", "n/a"), (None, None, None, None)], schema).write.parquet(b)
+    root = str(tmp_path / "lake")
+    out = {os.path.basename(r.file.rstrip("/")): r for r in
+           I.ingest_files(spark, [a, b], "P1", root).collect()}
+    assert sum(r.rows for r in out.values()) == 2
+    rows = {r.order_no: r for r in spark.read.parquet(f"{root}/work_orders").collect()}
+    assert rows["77"].bas_start_date == dt.date(2001, 1, 2) and str(rows["77"].total_plan_cost) == "12.35"
+    assert rows["78"].total_plan_cost is None and rows["78"].order_type == "PT03"

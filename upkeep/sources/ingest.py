@@ -216,30 +216,47 @@ def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append",
     return written
 
 
+def read_parquet_group(spark: SparkSession, paths: list[str], name: str | None = None) -> Export:
+    """Parquet exports sharing one column layout, read by one scan; column
+    names are the header row, typed cells (dates, numbers) keep their type."""
+    df = spark.read.parquet(*paths)
+    headers = tuple(df.columns)
+    raw = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(headers)],
+                    F.col("_metadata.file_path").alias("_file"))
+    return Export(name or ",".join(paths), raw, headers)
+
+
 def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, mode: str = "append",
                  uploaded_at: dt.datetime | None = None, sep: str = ",") -> DataFrame:
-    """Read, detect, clean and write a set of CSV export files; returns the
-    per-file outcome table ``(file, status, kind, rows)``.
+    """Read, detect, clean and write a set of CSV or Parquet export files;
+    returns the per-file outcome table ``(file, status, kind, rows)``.
 
-    Files are grouped by their header row and each group is read by a single
-    scan, so the plan does not grow with the number of files.  Files that
-    are not CSV, or whose header matches no kind, are skipped.
+    Files are grouped by format and header row and each group is read by a
+    single scan, so the plan does not grow with the number of files.  Other
+    files, and files whose header matches no kind, are skipped.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
     skipped = []
     for p in paths:
-        if not p.lower().endswith(".csv"):
+        low = p.lower()
+        if low.endswith(".csv"):
+            fmt, header = "csv", tuple(read_header(spark, p, sep))
+        elif low.endswith(".parquet"):
+            fmt, header = "parquet", tuple(spark.read.parquet(p).columns)
+        else:
             skipped.append((p, "skip", "unsupported"))
             continue
-        header = tuple(read_header(spark, p, sep))
         if detect_kind(header) == "unknown":
             skipped.append((p, "skip", "unknown"))
             continue
-        groups.setdefault(header, []).append(p)
+        groups.setdefault((fmt, header), []).append(p)
     by_kind: dict[str, list[DataFrame]] = {}
     counts = []
-    for pos, (header, files) in enumerate(groups.items()):
-        ex = read_csv_group(spark, files, list(header), sep, f"group-{pos}")
+    for pos, ((fmt, header), files) in enumerate(groups.items()):
+        if fmt == "csv":
+            ex = read_csv_group(spark, files, list(header), sep, f"group-{pos}")
+        else:
+            ex = read_parquet_group(spark, files, f"group-{pos}")
         kind = ex.kind
         data_cols = [c for c in ex.raw.columns if c != "_file"]
         kept = ex.raw.na.drop(how="all", subset=data_cols)

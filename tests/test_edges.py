@@ -266,3 +266,13 @@ def test_control_tower_outputs_list(spark):
     assert [r.id for r in out] == [3, 1]
     assert out[0].asDict().keys() == {"id", "output_type", "title", "preview", "created_at"}
     assert len(out[1].preview) == 200
+
+
+def test_long_text_flag_cells(spark):
+    from upkeep.functions.cleaners import long_text_flag
+    from pyspark.sql import types as T
+    txt = spark.createDataFrame([(" X ",), ("True",), ("no",), (None,), ("1",)], "c string")
+    assert [r[0] for r in txt.select(long_text_flag(F.col("c"))).collect()] == [True, True, False, False, True]
+    b = spark.createDataFrame([(True,), (False,), (None,)], "c boolean")
+    got = [r[0] for r in b.select(long_text_flag(F.col("c"), T.BooleanType())).collect()]
+    assert got == [True, False, False]

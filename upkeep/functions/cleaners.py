@@ -54,6 +54,9 @@ def clean_number(c: Column, scale: int = 2, precision: int = 18) -> Column:
     return strip_ws(c.cast("string")).try_cast(T.DecimalType(precision, scale))
 
 
-def long_text_flag(c: Column) -> Column:
-    """True when the trimmed cell is one of the long-text markers."""
+def long_text_flag(c: Column, source_type: T.DataType | None = None) -> Column:
+    """True when the trimmed cell is one of the long-text markers (a typed
+    boolean cell counts as its own value)."""
+    if isinstance(source_type, T.BooleanType):
+        return F.coalesce(c, F.lit(False))
     return F.coalesce(strip_ws(c.cast("string")).isin(LONG_TEXT_TRUE), F.lit(False))

@@ -82,7 +82,7 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
         elif k == "n":
             e = clean_number(c, arg)
         else:
-            e = long_text_flag(c)
+            e = long_text_flag(c, src_type)
         cols.append(e.alias(name))
     # A zone-free literal: the same wall-clock value whatever the session zone.
     stamp = (F.lit(uploaded_at.isoformat(sep=" ")).cast("timestamp_ntz") if uploaded_at

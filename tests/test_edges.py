@@ -276,3 +276,12 @@ def test_long_text_flag_cells(spark):
     b = spark.createDataFrame([(True,), (False,), (None,)], "c boolean")
     got = [r[0] for r in b.select(long_text_flag(F.col("c"), T.BooleanType())).collect()]
     assert got == [True, False, False]
+
+
+def test_filter_values_catalog(spark, nw):
+    n, _ = nw
+    assert [r.value for r in B.filter_values(n, "notifications", "main_workctr").collect()] == ["WC1", "WC2", "WC3"]
+    with pytest.raises(ValueError):
+        B.filter_values(n, "notifications", "description")
+    with pytest.raises(ValueError):
+        B.filter_values(n, "nope", "main_workctr")

@@ -164,3 +164,14 @@ def pivot_chart(grouped: DataFrame, x_col: str, group_col: str,
     cells = [F.when(F.coalesce(F.col(f"`{s}_n`"), F.lit(0)) == 0, F.lit(0).cast(grouped.schema["value"].dataType))
               .otherwise(F.col(f"`{s}_v`")).alias(s) for s in labels]
     return wide.select(x_col, *cells).orderBy(F.asc_nulls_last(x_col))
+
+
+def filter_values(df: DataFrame, table: str, column: str, limit: int = 200) -> DataFrame:
+    """Distinct non-blank values of a catalog filter column, sorted, first 200
+    (the filter drop-down).  Unknown tables or columns raise ``ValueError``."""
+    from upkeep.operators.analytics import filter_values as distinct_values
+    if table not in FILTER_COLS:
+        raise ValueError(f"invalid table: {table}")
+    if column not in FILTER_COLS[table]:
+        raise ValueError(f"invalid column: {column}")
+    return distinct_values(df, column, limit)

@@ -245,8 +245,9 @@ def q_repeated_equipment(spark, sf):
 SELECT DISTINCT main_workctr AS value FROM notifications
 WHERE main_workctr IS NOT NULL AND main_workctr != '' ORDER BY value LIMIT 200""")
 def q_filter_values(spark, sf):
+    from upkeep.operators.builder import filter_values
     (n,) = views(spark, sf, "notifications")
-    return A.filter_values(n, "main_workctr")
+    return filter_values(n, "notifications", "main_workctr")
 
 
 @register("pack_has_data", f"""

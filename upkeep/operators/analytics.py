@@ -62,6 +62,23 @@ def funnel_tail(n: DataFrame, w: DataFrame) -> DataFrame:
                  F.coalesce(F.sum(F.col("n_cnt") * F.col("w_done")), z).cast("bigint").alias("done"))
 
 
+def funnel(n: DataFrame, w: DataFrame) -> DataFrame:
+    """The four funnel stages with each stage's share of all notifications
+    (rounded percent, 0 when there are none).  The join-row counts come in as
+    scalar subqueries, so the one-row results are combined without a join."""
+    tail = funnel_tail(n, w)
+    head = funnel_head(n)
+    total = F.col("total")
+
+    def pct(c: Column) -> Column:
+        return F.when(total > 0, F.round(c * 100.0 / total)).otherwise(F.lit(0.0)).cast("bigint")
+
+    return (head.select("total", "has_wo", tail.select("rel").scalar().alias("rel"),
+                        tail.select("done").scalar().alias("done"))
+            .select("total", "has_wo", "rel", "done", pct(F.col("has_wo")).alias("has_wo_pct"),
+                    pct(F.col("rel")).alias("rel_pct"), pct(F.col("done")).alias("done_pct")))
+
+
 # ---------------------------------------------------------------- A3 lead time
 LEAD_CRITICALITIES = ["H", "M", "L"]
 LEAD_TYPES = ["M1", "M2", "M3"]

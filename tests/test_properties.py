@@ -94,3 +94,21 @@ def test_pivot_totals_equal_tall(spark, nrows):
     wide = B.pivot_chart(tall, "notif_type", "criticality")
     total_wide = sum(sum(v for k, v in r.asDict().items() if k != "notif_type") for r in wide.collect())
     assert total_wide == sum(r.value for r in tall.collect()) == len(nrows)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 3)), min_size=1, max_size=40, unique=True),
+       st.integers(1, 4))
+def test_keyset_paging_equals_offset_paging(spark, keys, page_no):
+    from upkeep.operators import drilldown as Dd
+    df = spark.createDataFrame(keys, "a int, b int")
+    order = [("a", False), ("b", True)]
+    ordered = df.orderBy(df.a.desc(), df.b.asc())
+    pages = [[tuple(r) for r in Dd.page(ordered, p, 10).collect()] for p in range(1, page_no + 1)]
+    last, walked = None, []
+    for _ in range(page_no):
+        rows = [tuple(r) for r in Dd.page_after(df, order, last, 10).collect()]
+        walked.append(rows)
+        if rows:
+            last = rows[-1]
+    assert walked == pages

@@ -129,17 +129,20 @@ def overdue_by_wo_status(n: DataFrame, w: DataFrame, as_of=None) -> DataFrame:
     REL -> rel, anything else (also no matching order) -> crtd.
     """
     od = n.filter(F.col("required_end") < as_of_date(as_of))
+    cat = _wo_category(F.col("system_status"))
+    wk = (w.filter(F.col("order_no").isNotNull()).groupBy("order_no")
+          .agg(*[count_if(cat == c).alias(f"w_{c}") for c in ("crtd", "rel", "teco")],
+               F.count(_one()).alias("w_rows")))
     # A blank ('') order number still equals a blank one on the work-order
     # side, so such a notification appears once per blank-keyed work order
-    # (at least once): weight it by that count instead of pairing rows.
-    w_blank = w.filter(F.col("order_no") == "").select(F.count(_one())).scalar()
-    weight = F.when(F.col("order_no").isNull(), F.lit(1).cast("bigint")).otherwise(F.greatest(w_blank, F.lit(1)))
+    # (at least once): weight it by that count instead of pairing rows.  The
+    # count is read from the per-key aggregate above (its '' group).
+    w_blank = wk.filter(F.col("order_no") == "").agg(F.sum("w_rows")).scalar()
+    weight = (F.when(F.col("order_no").isNull(), F.lit(1).cast("bigint"))
+              .otherwise(F.greatest(F.coalesce(w_blank, F.lit(0).cast("bigint")), F.lit(1).cast("bigint"))))
     no_wo = (od.filter(is_blank("order_no")).select("notif_type", weight.alias("_w")).groupBy("notif_type")
              .agg(F.sum("_w").cast("bigint").alias("cnt"))
              .select("notif_type", F.lit("no_wo").alias("wo_cat"), "cnt"))
-    cat = _wo_category(F.col("system_status"))
-    wk = (w.filter(not_blank("order_no")).groupBy("order_no")
-          .agg(*[count_if(cat == c).alias(f"w_{c}") for c in ("crtd", "rel", "teco")]))
     keyed = od.filter(not_blank("order_no")).select("notif_type", "order_no")
     j = keyed.join(wk, "order_no", "left")
     matched = F.col("w_crtd").isNotNull()

@@ -156,6 +156,14 @@ def pivot_chart(grouped: DataFrame, x_col: str, group_col: str,
     A missing (x, series) combination is 0; a cell whose aggregate is NULL
     stays NULL.  Rows follow the grouped order (x ascending, NULL last).
     """
+    if series is None:
+        # The labels need one pass over the grouped result and the pivot
+        # another: checkpoint the (small: x-by-series cells) grouped result
+        # once in the shared checkpoint folder instead of aggregating the
+        # source table twice.
+        from upkeep.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(grouped.sparkSession)
+        grouped = grouped.checkpoint(eager=True)
     labels = series if series is not None else series_labels(grouped, group_col)
     tall = grouped.select(x_col, F.coalesce(F.col(group_col).cast("string"), F.lit(NULL_MARK)).alias("_g"),
                           "value")

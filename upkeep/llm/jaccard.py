@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import shared_table, slices
+from upkeep.llm.common import map_arrow, shared_table, ship, slices
 from upkeep.llm.components import connected_components
 from upkeep.llm.words import U64, mix, run_hashes, word_hashes
 
@@ -217,7 +217,7 @@ def join_classes(docs: DataFrame) -> DataFrame:
     documents at likeness 0.8 or more.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sigs = shared_table(docs.mapInArrow(_signatures, "doc_id bigint, set_key binary, n_shingles bigint, sig binary"),
+    sigs = shared_table(map_arrow(docs, _signatures, "doc_id bigint, set_key binary, n_shingles bigint, sig binary"),
                         "signatures")
     usable = sigs.where("doc_id is not null and set_key is not null")
     classes = shared_table(

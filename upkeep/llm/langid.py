@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import slices
+from upkeep.llm.common import map_arrow, slices
 
 UND = "und"
 WINDOW = 96
@@ -272,8 +272,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     kind = dict(docs.select(key).dtypes)[key]
-    return docs.select(key, "text", letters.alias("letters")).mapInArrow(
-        run, f"`{key}` {kind}, lang_pred string, score double")
+    return map_arrow(
+        docs.select(key, "text", letters.alias("letters")), run, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -300,4 +300,5 @@ def accepted(docs: DataFrame, min_score: float, model: Model | None = None) -> D
                 good = document_probs(model, part).max(axis=1) >= min_score if model.langs else np.zeros(hi - lo, bool)
                 yield rows.slice(lo, hi - lo).filter(pa.array(good & np.array([len(x) > 0 for x in part])))
 
-    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, docs.schema)
+    marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return map_arrow(marked, run, docs.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import hash_sample, slices
+from upkeep.llm.common import hash_sample, map_arrow, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 K = len(KINDS) + 1
@@ -305,8 +305,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
                      pa.array([bytes(graph.gold)], pa.binary())], ["features", "edges", "gold"])
 
     usable = (F.length("text") <= sample_chars) & F.col("text").rlike("[0-9@]")
-    rows = (hash_sample(docs.select("doc_id", "text"), sample_docs, salt=10).where(usable).select("text")
-            .mapInArrow(nodes, "features binary, edges binary, gold binary").collect())
+    sample = hash_sample(docs.select("doc_id", "text"), sample_docs, salt=10).where(usable).select("text")
+    rows = map_arrow(sample, nodes, "features binary, edges binary, gold binary").collect()
     rows = sorted((bytes(r.features), bytes(r.edges), bytes(r.gold)) for r in rows)
     features, edges, gold, n = [], [], [], 0
     for f, e, g in rows:
@@ -343,7 +343,7 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     pa.array([_structs(a) for _, a in found], _SPANS)], ["doc_id", "base", "added"])
 
     spans = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, base {spans}, added {spans}")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id bigint, base {spans}, added {spans}")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -381,6 +381,6 @@ def mask_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     cols[count] = pa.array([None if x is None else len(x) for x in new], cols[count].type)
                 yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 

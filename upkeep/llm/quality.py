@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import SLICE_BYTES, shared_table, slices
+from upkeep.llm.common import SLICE_BYTES, map_arrow, shared_table, slices
 from upkeep.llm.words import run_hashes, word_hashes
 
 WINDOW = 8
@@ -137,11 +137,9 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     removed lines are matched to documents by a join that adaptive execution
     broadcasts or splits by measured size.
     """
-    rows = shared_table(
-        docs.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), "text",
-                    F.xxhash64("text").alias("text_key"))
-            .mapInArrow(_rules, _RULES)
-            .withColumn("row", F.monotonically_increasing_id()), "quality")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"),
+                        "text", F.xxhash64("text").alias("text_key"))
+    rows = shared_table(map_arrow(texts, _rules, _RULES).withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = rows.select("row", "source", F.explode("lines").alias("x")).select("row", "source", "x.*")
     hosts = (rows.select("source", "text_key").distinct().groupBy("source")
                  .agg(F.count("*").alias("n_texts")))

@@ -119,6 +119,10 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  "n_repeat_words", "lines"])
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def base_failed() -> Column:
     return ((F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
@@ -128,7 +132,7 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
             min_left_percent: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Rule figures and verdict of every row of ``docs`` (``doc_id, source, text``).
 
-    Returns ``doc_id, source, text_key`` (the xxhash64 of the text), ``n_words,
+    Returns ``doc_id, source, text_key`` (a 64-bit hash of the text), ``n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
     base_failed, kept``, one row per row.
     The figures and line hashes of each text are made in one pass and staged
@@ -138,7 +142,7 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     broadcasts or splits by measured size.
     """
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"),
-                        "text", F.xxhash64("text").alias("text_key"))
+                        "text", text_key().alias("text_key"))
     rows = shared_table(map_arrow(texts, _rules, _RULES).withColumn("row", F.monotonically_increasing_id()), "quality")
     lines = rows.select("row", "source", F.explode("lines").alias("x")).select("row", "source", "x.*")
     hosts = (rows.select("source", "text_key").distinct().groupBy("source")
@@ -168,5 +172,5 @@ def accepted(docs: DataFrame, **limits: float) -> DataFrame:
                     F.col("text_key").alias("__llm_key")).distinct())
     same = (F.col("doc_id").cast("bigint").eqNullSafe(F.col("__llm_id"))
             & (F.coalesce("source", F.lit(NO_SOURCE)) == F.col("__llm_source"))
-            & (F.xxhash64("text") == F.col("__llm_key")))
+            & (text_key() == F.col("__llm_key")))
     return docs.join(kept, same, "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from upkeep.llm import bpe, html_text, jaccard, langid, licenses, packing, parsing, pii, quality, secret_scan
 from upkeep.llm.common import load
+from upkeep.llm.oracles import ORACLES
 
 
 def spans_text(spans: Column) -> Column:
@@ -108,9 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

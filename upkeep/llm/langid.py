@@ -212,7 +212,7 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     first = [np.zeros_like(a) for a in model.arrays()]
     second = [np.zeros_like(a) for a in model.arrays()]
     n = 0
-    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(x)))
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(x) // BATCH))) if epochs else 0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         rate = RATE * (1 - epoch / epochs)

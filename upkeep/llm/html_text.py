@@ -80,6 +80,7 @@ _TAG = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_JOINTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -103,6 +104,7 @@ def _bad_holder(tag: str, attributes: str, in_article: bool) -> bool:
     for m in _NAMES.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         words = set(_SPLIT.split(_CAMEL.sub("-", value).lower()))
+        words.update(_JOINTS.sub("", w) for w in value.lower().split())
         if m[1].lower() == "role":
             if words & BAD_ROLES:
                 return True

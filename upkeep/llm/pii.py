@@ -35,6 +35,7 @@ from upkeep.llm.common import hash_sample, map_arrow, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 K = len(KINDS) + 1
+UNKNOWN = K
 SAMPLE_DOCS = 6000
 SAMPLE_CHARS = 20_000
 ROUNDS = 8
@@ -107,6 +108,15 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def unsure_spans(text: str) -> list[tuple[int, int]]:
+    """Matches that the patterns drop because they run into further digits: what
+    they hold may well be personal data, so its tokens get no training label."""
+    out = [m.span() for m in _CARD.finditer(text) if len(_DIGITS.sub("", m[0])) > 19]
+    if "+" in text:
+        out += [m.span() for m in _PHONE.finditer(text) if len(_DIGITS.sub("", m[0])) > 15]
+    return sorted(out)
+
+
 def tokens(text: str) -> list[tuple[int, int]]:
     """Start and end of every white-space delimited token with a digit or ``@``."""
     out, done, n = [], 0, len(text)
@@ -132,26 +142,24 @@ class Graph:
 
     def __init__(self) -> None:
         self.features: list[list[int]] = []
-        self.gold: list[int] = []
+        self.gold: list[int] = []           # UNKNOWN: not for training
         self.spans: list[tuple[int, int, int]] = []     # document, core start, core end
         self.edges: list[tuple[int, int, int]] = []     # node, node, type: chain, same, similar
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
-        seen: list[dict[str, int]] = [{}, {}]
-        previous_end, b = -2, 0
+        cores: list[str] = []
+        unsure = unsure_spans(text)
+        first, previous_end, b = len(self.features), -2, 0
         for start, end in tokens(text):
             word = text[start:end]
+            core, s = word, start
             if len(word) <= 256:
                 head, tail = _EDGE.search(word), _REAR.search(word)
-                core = word[head.start():tail.end()] if head and tail and head.start() < tail.end() else word
-                s = start + (head.start() if core is not word and head else 0)
-            else:
-                core, s = word, start
+                if head and tail and head.start() < tail.end():
+                    core, s = word[head.start():tail.end()], start + head.start()
             e = s + len(core)
-            node = len(self.features)
             beside = previous_end >= 0 and text[previous_end:start].strip(" \t\n\x0b\x0c\r") == ""
-            digits = _DIGITS.sub("", core)
-            self.features.append(self._describe(core, digits, beside, text[max(0, s - 1):s] == "+"))
+            self.features.append(self._describe(core, _DIGITS.sub("", core), beside, text[max(0, s - 1):s] == "+"))
             while b < len(base) and base[b][2] <= s:
                 b += 1
             gold = 0
@@ -159,18 +167,40 @@ class Graph:
                 if x[0] < e and x[2] > s and 2 * (min(e, x[2]) - max(s, x[0])) >= e - s:
                     gold = x[1] + 1
                     break
+            if not gold and any(x < e and y > s for x, y in unsure):
+                gold = UNKNOWN
             self.gold.append(gold)
             self.spans.append((doc, s, e))
             if beside:
+                node = first + len(cores)
                 self.features[node - 1][FEATURES.index("after_node")] = 1
                 self.edges.append((node - 1, node, 0))
-            alike = core.rpartition("@")[2] if "@" in core else digits if len(digits) >= LEAST_DIGITS else ""
-            for kind, key in ((0, core.lower() if len(digits) >= 4 or "@" in core else ""), (1, alike.lower())):
-                if key:
-                    if (last := seen[kind].get(key)) is not None and not (kind and seen[0].get(core.lower()) == last):
-                        self.edges.append((last, node, kind + 1))
-                    seen[kind][key] = node
+            cores.append(core.lower())
             previous_end = end
+        self._skip(first, cores)
+
+    def _skip(self, first: int, cores: list[str]) -> None:
+        """Edges to the next token with the same characters, or else with the
+        same digits or mail domain.  Short numbers count with a neighbour."""
+        same: dict[str, int] = {}
+        similar: dict[str, int] = {}
+        before, after = FEATURES.index("before_node"), FEATURES.index("after_node")
+        for i, core in enumerate(cores):
+            node, digits = first + i, _DIGITS.sub("", core)
+            key = core
+            if len(digits) < 4 and "@" not in core:
+                key = (f"{core} {cores[i + 1]}" if self.features[node][after] else
+                       f"{cores[i - 1]} {core} " if self.features[node][before] else "")
+            alike = core.rpartition("@")[2] if "@" in core else digits if len(digits) >= LEAST_DIGITS else ""
+            last = same.get(key) if key else None
+            if last is not None:
+                self.edges.append((last, node, 1))
+            elif alike and alike in similar:
+                self.edges.append((similar[alike], node, 2))
+            if key:
+                same[key] = node
+            if alike:
+                similar[alike] = node
 
     @staticmethod
     def _describe(core: str, digits: str, beside: bool, after_plus: bool) -> list[int]:
@@ -223,23 +253,26 @@ def train(features: np.ndarray, edges: np.ndarray, gold: np.ndarray) -> tuple[np
     weight, pair = np.zeros((len(FEATURES), K)), PRIOR.copy()
     if not len(features):
         return weight, pair
-    want = np.eye(K)[gold]
+    sure = gold < K
+    want = np.eye(K)[np.where(sure, gold, 0)]
+    both = sure[edges[:, 0]] & sure[edges[:, 1]]
+    kind = edges[both, 2]
     seen = np.zeros_like(pair)
-    np.add.at(seen, (edges[:, 2], gold[edges[:, 0]], gold[edges[:, 1]]), 1)
-    per_type = np.maximum(np.bincount(edges[:, 2], minlength=3), 1)[:, None, None]
+    np.add.at(seen, (kind, gold[edges[both, 0]], gold[edges[both, 1]]), 1)
+    per_type = np.maximum(np.bincount(kind, minlength=3), 1)[:, None, None]
     # Each label counts by the root of its frequency, so that rare kinds are learned.
-    share = np.maximum(np.bincount(gold, minlength=K), 1) / len(gold)
-    scale = (1 / np.sqrt(share))[gold]
-    scale /= scale.mean()
+    share = np.maximum(np.bincount(gold[sure], minlength=K), 1) / len(gold)
+    scale = np.where(sure, (1 / np.sqrt(share))[np.where(sure, gold, 0)], 0)
+    scale /= max(scale.mean(), 1e-9)
     speed_w, speed_p = np.full_like(weight, 1e-6), np.full_like(pair, 1e-6)
     for _ in range(STEPS):
         prob, a, b = propagate(features @ weight, edges, pair, 4)
         grad = features.T @ ((want - prob) * scale[:, None]) / len(features) - DECAY * weight
-        joint = a[:, :, None] + b[:, None, :] + pair[edges[:, 2]]
+        joint = (a[:, :, None] + b[:, None, :] + pair[edges[:, 2]])[both]
         joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
         joint /= joint.sum(axis=(1, 2), keepdims=True)
         expected = np.zeros_like(pair)
-        np.add.at(expected, edges[:, 2], joint)
+        np.add.at(expected, kind, joint)
         grad_p = (seen - expected) / per_type - DECAY * (pair - PRIOR)
         grad_p[1:] = (grad_p[1:] + grad_p[1:].transpose(0, 2, 1)) / 2
         speed_w += grad**2

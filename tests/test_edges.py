@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from upkeep.functions.buckets import bucket_predicate
+from tests import model
+from upkeep.functions.buckets import bucket_dates
 from upkeep.functions.display import display_format
 from upkeep.functions.status import has_status, lacks_status
 from upkeep.operators import analytics as A
@@ -65,47 +66,18 @@ def test_status_three_valued(spark):
     assert df.agg(A.count_if(has_status(F.col("s"), "TECO"))).first()[0] == 1
 
 
-def test_funnel_tail_equals_row_join(spark, nw):
+def test_joins_equal_model(nw):
     n, w = nw
-    lit = spark.sql("""SELECT sum(CASE WHEN w.system_status ILIKE '%REL%' THEN 1 ELSE 0 END),
-                              sum(CASE WHEN w.system_status ILIKE '%TECO%' OR w.system_status ILIKE '%CLSD%'
-                                  THEN 1 ELSE 0 END)
-                       FROM tn n JOIN tw w ON n.order_no = w.order_no
-                       WHERE n.order_no IS NOT NULL AND n.order_no != ''""").first()
-    got = A.funnel_tail(n, w).first()
-    assert (got.rel, got.done) == (lit[0], lit[1]) == (4, 3)
+    ns, ws = ([r.asDict() for r in df.collect()] for df in nw)
+    assert rows(A.funnel_tail(n, w)) == model.funnel_tail(ns, ws)
+    assert sorted(rows(A.overdue_by_wo_status(n, w, AS_OF))) == sorted(model.overdue(ns, ws, AS_OF))
+    assert sorted(rows(A.lead_time(n, w))) == sorted(model.lead_time(ns, ws))
 
 
-def test_overdue_equals_row_join(spark, nw):
+def test_bad_actors_equals_model(nw):
     n, w = nw
-    lit = spark.sql("""SELECT n.notif_type, CASE WHEN n.order_no IS NULL OR n.order_no = '' THEN 'no_wo'
-                          WHEN w.system_status ILIKE '%TECO%' OR w.system_status ILIKE '%CLSD%' THEN 'teco'
-                          WHEN w.system_status ILIKE '%REL%' THEN 'rel' ELSE 'crtd' END AS c, count(*)
-                       FROM tn n LEFT JOIN tw w ON n.order_no = w.order_no
-                       WHERE n.required_end < DATE '2001-06-30' GROUP BY 1, 2""")
-    assert rows(A.overdue_by_wo_status(n, w, AS_OF)) == rows(lit)
-
-
-def test_lead_time_equals_row_join(spark, nw):
-    n, w = nw
-    lit = spark.sql("""SELECT n.notif_type, n.criticality,
-                          cast(round(avg(datediff(w.created_on, n.notif_date))) AS int), count(*)
-                       FROM tn n JOIN tw w ON n.order_no = w.order_no
-                       WHERE n.notif_date IS NOT NULL AND w.created_on IS NOT NULL
-                         AND w.created_on >= n.notif_date AND n.criticality IN ('H','M','L')
-                         AND n.notif_type IN ('M1','M2','M3') GROUP BY 1, 2""")
-    assert rows(A.lead_time(n, w)) == rows(lit)
-
-
-def test_bad_actors_equals_literal_many_to_many(spark, nw):
-    n, w = nw
-    lit = spark.sql("""SELECT n.equipment, count(DISTINCT n.id),
-                          count(DISTINCT CASE WHEN w.system_status ILIKE '%REL%' AND w.actual_finish IS NULL
-                                THEN w.id END)
-                       FROM tn n LEFT JOIN tw w ON n.equipment = w.equipment
-                       WHERE n.equipment IS NOT NULL AND n.equipment != ''
-                       GROUP BY n.equipment HAVING count(DISTINCT n.id) >= 2""")
-    assert rows(A.bad_actors(n, w, min_notifs=2)) == rows(lit)
+    ns, ws = ([r.asDict() for r in df.collect()] for df in nw)
+    assert rows(A.bad_actors(n, w, min_notifs=2)) == model.bad_actors(ns, ws, 2, 10)
 
 
 def test_repeated_equipment_status_list(nw):
@@ -122,7 +94,9 @@ def test_aging_buckets_and_drill(spark, nw):
     assert rows(A.wo_aging(w, AS_OF)) == [("8-30 hari", 2)]
     assert Dd.aging_detail(w, "8-30 hari", AS_OF).count() == 2
     assert Dd.aging_detail(w, "weird", AS_OF).count() == 0   # unknown label -> >180
-    assert rows(w.select(bucket_predicate("1-7", F.lit(3)).alias("p")).limit(1)) == [(True,)]
+    dates = w.select(*[bucket_dates(label, F.lit(D(2001, 6, 27)), F.lit(D(2001, 6, 30))).alias(label)
+                       for label in ("1-7 hari", "8-30 hari", ">180 hari")]).limit(1)
+    assert rows(dates) == [(True, False, False)]
 
 
 def test_builder_validation_and_filters(spark, nw):
@@ -148,7 +122,8 @@ def test_pivot_missing_zero_but_null_kept(spark, nw):
     _, w = nw
     spec = B.ChartSpec("work_orders", "order_type", "sum_plan", "system_status")
     g = B.build_chart(w, spec)
-    p = B.pivot_chart(g, "order_type", "system_status")
+    p = B.pivot_chart(g, "order_type", "system_status",
+                      sorted({r.system_status or "—" for r in g.collect()}))
     cols = p.columns
     assert cols[0] == "order_type" and cols[-1] == "—"      # NULL series shown as dash, sorted last
     r = {x.order_type: x.asDict() for x in p.collect()}
@@ -215,8 +190,9 @@ def test_without_batch_keeps_null(spark):
 
 
 def test_display_format(spark):
-    df = spark.createDataFrame([(1, 2.345, D(2001, 1, 2), None)], "a bigint, b double, c date, d string")
-    assert tuple(display_format(df).first()) == ("1", "2.35", "2001-01-02", "—")
+    df = spark.createDataFrame([(1, 2.345, D(2001, 1, 2), None, True)],
+                               "a bigint, b double, c date, d string, e boolean")
+    assert tuple(display_format(df).first()) == ("1.0", "2.35", "2001-01-02", "—", "1.0")
 
 
 def test_trend_merged_fills_zero(spark):

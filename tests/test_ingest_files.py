@@ -84,6 +84,8 @@ def test_bom_duplicate_headers(spark, files):
 
 def test_ingest_modes_and_batches(spark, files, tmp_path):
     root = str(tmp_path / "lake")
+    with open(files["notif.csv"], "w") as f:
+        f.write(NOTIF_CSV.replace("M3-TOO-LONG-TYPE", "M3"))
     paths = [files["notif.csv"], files["bom.csv"], files["other.csv"], files["readme.txt"]]
     out = {r.file: r for r in I.ingest_files(spark, paths, "B1", root, "append").collect()}
     assert out[files["notif.csv"]].status == "ok" and out[files["notif.csv"]].rows == 3
@@ -136,3 +138,30 @@ def test_parquet_exports(spark, tmp_path):
     rows = {r.order_no: r for r in spark.read.parquet(f"{root}/work_orders").collect()}
     assert rows["77"].bas_start_date == dt.date(2001, 1, 2) and str(rows["77"].total_plan_cost) == "12.35"
     assert rows["78"].total_plan_cost is None and rows["78"].order_type == "PT03"
+
+
+def test_outcomes_of_odd_files(spark, tmp_path):
+    """Blanks in names, header-only, empty, missing, corrupt and over-long files:
+    each has its outcome under the path as given, and the good ones are loaded."""
+    good = NOTIF_CSV.replace("M3-TOO-LONG-TYPE", "M3")
+    bodies = {"sp ace%é.csv": good, "head.csv": good.split("\n")[0] + "\n", "empty.csv": "", "long.csv": NOTIF_CSV,
+              "bad.parquet": "no parquet", "other.csv": UNKNOWN_CSV, "note.txt": "x"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body)
+    paths = [str(tmp_path / name) for name in [*bodies, "missing.csv"]]
+    out = {os.path.basename(r.file): (r.status, r.kind, r.rows) for r in
+           I.ingest_files(spark, paths, "B1", str(tmp_path / "lake")).collect()}
+    assert out.pop("bad.parquet")[0] == "error"
+    assert out == {"sp ace%é.csv": ("ok", "notification", 3), "head.csv": ("ok", "notification", 0),
+                   "empty.csv": ("skip", "empty", 0), "long.csv": ("error", "notification", 0),
+                   "other.csv": ("skip", "unknown", 0), "note.txt": ("skip", "unsupported", 0),
+                   "missing.csv": ("error", "missing", 0)}
+    assert spark.read.parquet(str(tmp_path / "lake" / "notifications")).count() == 3
+
+
+def test_delete_all_batches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "B1"), (2, "B 2")], "x int, upload_batch string").write.partitionBy("upload_batch").parquet(path)
+    assert I.delete_batch_files(spark, path, "B 2") and [r.x for r in spark.read.parquet(path).collect()] == [1]
+    assert I.delete_batch_files(spark, path, "ALL") and not any(d.startswith("upload") for d in os.listdir(path))
+    assert not I.delete_batch_files(spark, path, "ALL") and I.without_batch(spark.range(3), "ALL").count() == 0

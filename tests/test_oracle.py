@@ -3,14 +3,15 @@
 import pytest
 
 import __spark_entry__ as E
+from upkeep.plans import registry
 from tests.conftest import SF_SMALL
 from tools.check_oracle import digest, stype
 
-KEYS = sorted(E.queries())
+KEYS = sorted(registry.queries())
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())
 
 
 @pytest.mark.parametrize("key", KEYS)

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from upkeep.plans import registry
 from tests.conftest import SF_SMALL
 from upkeep.operators import worklists as W
 
-KEYS = sorted(E.queries())
+KEYS = sorted(registry.queries())
 FORBIDDEN = ["BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"]
 
 

@@ -24,13 +24,14 @@ def aging_bucket(days: Column, buckets=AGING_BUCKETS, rest: str = AGING_REST) ->
     return expr.otherwise(F.lit(rest))
 
 
-def bucket_predicate(label: str, days: Column, buckets=AGING_BUCKETS) -> Column:
-    """Drill-down predicate for a bucket label.
+def bucket_dates(label: str, date: Column, as_of: Column, buckets=AGING_BUCKETS) -> Column:
+    """Drill-down predicate for a bucket label, as a range of dates before
+    ``as_of`` so that both bounds reach the scan.
 
     A label is recognised by containing a range text ("1-7", ...); anything
     unrecognised selects the open-ended rest (days > last upper bound).
     """
     for _, lo, hi in buckets:
         if f"{lo}-{hi}" in (label or ""):
-            return days.between(lo, hi)
-    return days > F.lit(buckets[-1][2])
+            return (date >= F.date_sub(as_of, hi)) & (date <= F.date_sub(as_of, lo))
+    return date < F.date_sub(as_of, buckets[-1][2])

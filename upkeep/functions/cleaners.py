@@ -17,6 +17,9 @@ LONG_TEXT_TRUE = ["X", "x", "1", "True"]
 # Fixed value: the date layout of text date cells in tabular exports.
 EXPORT_DATE_FORMAT = "yyyy-MM-dd"
 
+# The shape of such a cell; a time of day may follow the date.
+ISO_CELL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+
 # Every character Python's ``str.strip()`` removes (all Unicode whitespace;
 # the highest is U+3000), derived from the rule rather than listed.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
@@ -41,9 +44,9 @@ def clean_date(c: Column, source_type: T.DataType | None = None,
         return c.cast("date")
     text = strip_ws(c.cast("string"))
     if fmt == EXPORT_DATE_FORMAT:
-        # ISO dates (optionally followed by a time part): the plain cast
-        # parser, several times faster than a pattern formatter.
-        return text.try_cast("date")
+        # The whole cell must be an ISO date, with a time part or without; the
+        # plain cast alone would also take "2024", "2024-5" or trailing text.
+        return F.when(text.rlike(ISO_CELL), F.substring(text, 1, 10).try_cast("date"))
     return F.try_to_date(text, fmt)
 
 

@@ -1,5 +1,9 @@
 """Terminal display step: every column to text, NULL shown as a dash.
 
+Integers and booleans show as numbers with a decimal place, as the original
+formatter's conversion to floating point did; other numbers keep two places.
+All cells become text.
+
 Kept out of the operators: it is applied to a (small, already limited)
 result just before it is handed to a renderer.
 """
@@ -26,12 +30,12 @@ def display_format(df: DataFrame) -> DataFrame:
             s = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             s = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-        elif isinstance(t, _INTEGRAL):
-            s = c.cast("string")
+        elif isinstance(t, _INTEGRAL):      # numbers show a decimal place: 3 -> 3.0
+            s = F.concat(c.cast("string"), F.lit(".0"))
         elif isinstance(t, _FRACTIONAL):
             s = F.round(c.cast(T.DecimalType(38, 6)), 2).cast(T.DecimalType(38, 2)).cast("string")
-        elif isinstance(t, T.BooleanType):
-            s = c.cast("string")
+        elif isinstance(t, T.BooleanType):  # as numbers: 1.0 and 0.0
+            s = F.when(c, "1.0").when(~c, "0.0")
         else:
             s = c.cast("string")
         cols.append(F.coalesce(s, F.lit(NULL_MARK)).alias(f.name))

@@ -76,6 +76,17 @@ def month_label(c) -> Column:
     return F.date_format(_c(c), "yyyy-MM")
 
 
+def in_month(c, month: str) -> Column:
+    """Whether a date lies in month ``YYYY-MM``: a half-open range, which
+    reaches the scan as a filter.  Text that is no month matches nothing."""
+    try:
+        first = _dt.date.fromisoformat(f"{month}-01")
+    except ValueError:
+        return F.lit(False)
+    nxt = (first.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
+    return (_c(c) >= F.lit(first)) & (_c(c) < F.lit(nxt))
+
+
 def month_floor(as_of, months_back: int) -> Column:
     """``DATE_TRUNC('month', as_of - INTERVAL 'n months')`` as a DATE."""
     return F.trunc(F.add_months(as_of_date(as_of), -months_back), "MM")

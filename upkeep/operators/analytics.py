@@ -53,7 +53,7 @@ def funnel_tail(n: DataFrame, w: DataFrame) -> DataFrame:
     nk = (n.filter(not_blank("order_no")).groupBy("order_no")
           .agg(F.count(_one()).alias("n_cnt")))
     st = F.col("system_status")
-    wk = (w.filter(not_blank("order_no")).groupBy("order_no")
+    wk = (w.filter(not_blank("order_no") & (has_status(st, "REL") | _done(st))).groupBy("order_no")
           .agg(count_if(has_status(st, "REL")).alias("w_rel"),
                count_if(_done(st)).alias("w_done")))
     j = nk.join(wk, "order_no", "inner")
@@ -80,29 +80,45 @@ def funnel(n: DataFrame, w: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A3 lead time
+# The segments of the lead-time chart.
 LEAD_CRITICALITIES = ["H", "M", "L"]
 LEAD_TYPES = ["M1", "M2", "M3"]
 
 
 def lead_time(n: DataFrame, w: DataFrame) -> DataFrame:
-    """Average days from notification to work-order creation per type x criticality."""
-    # Blank keys join blank keys here as in SQL; after the per-key
-    # aggregation even a hot key is bounded by its distinct dates.
-    nk = (n.filter(F.col("notif_date").isNotNull() & F.col("order_no").isNotNull()
-                   & F.col("criticality").isin(LEAD_CRITICALITIES)
-                   & F.col("notif_type").isin(LEAD_TYPES))
-          .groupBy("order_no", "notif_type", "criticality", "notif_date")
-          .agg(F.count(_one()).alias("n_cnt")))
-    wk = (w.filter(F.col("created_on").isNotNull() & F.col("order_no").isNotNull())
-          .groupBy("order_no", "created_on").agg(F.count(_one()).alias("w_cnt")))
-    j = nk.join(wk, (nk.order_no == wk.order_no) & (wk.created_on >= nk.notif_date), "inner")
-    weight = F.col("n_cnt") * F.col("w_cnt")
-    days = days_between(wk.created_on, nk.notif_date).cast("bigint")
-    g = (j.groupBy("notif_type", "criticality")
-         .agg(F.sum(days * weight).alias("_sum_days"), F.sum(weight).alias("cnt")))
-    avg = F.col("_sum_days").cast(T.DecimalType(38, 0)) / F.col("cnt").cast(T.DecimalType(38, 0))
+    """Average days from notification to work-order creation per type x criticality.
+
+    Both sides are aggregated per (key, date) and laid on one time line per
+    key.  Going back from the newest date, running sums give every
+    notification date the number of work orders created on or after it and
+    the sum of their day numbers, so a key costs its distinct dates and no
+    pair of dates is built.
+    """
+    # Blank keys join blank keys here as in SQL.
+    day = F.lit(0).cast("bigint")
+    side = {"n": (n.filter(F.col("notif_date").isNotNull() & F.col("order_no").isNotNull()
+                           & F.col("criticality").isin(LEAD_CRITICALITIES) & F.col("notif_type").isin(LEAD_TYPES))
+                  .groupBy("order_no", F.col("notif_date").alias("date"), "notif_type", "criticality")
+                  .agg(F.count(_one()).alias("n_cnt"))
+                  .select("order_no", "date", F.lit(1).alias("side"), "notif_type", "criticality", "n_cnt",
+                          day.alias("w_cnt"))),
+            "w": (w.filter(F.col("created_on").isNotNull() & F.col("order_no").isNotNull())
+                  .groupBy("order_no", F.col("created_on").alias("date"))
+                  .agg(F.count(_one()).alias("w_cnt"))
+                  .select("order_no", "date", F.lit(0).alias("side"), F.lit(None).cast("string").alias("notif_type"),
+                          F.lit(None).cast("string").alias("criticality"), day.alias("n_cnt"), "w_cnt"))}
+    line = side["n"].unionByName(side["w"]).withColumn("day", F.unix_date("date").cast("bigint"))
+    since = (Window.partitionBy("order_no").orderBy(F.desc("date"), "side")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wide = T.DecimalType(38, 0)
+    pairs = (line.withColumn("later", F.sum("w_cnt").over(since))
+             .withColumn("later_days", F.sum(F.col("w_cnt") * F.col("day")).over(since))
+             .filter((F.col("side") == 1) & (F.col("later") > 0)))
+    g = (pairs.groupBy("notif_type", "criticality")
+         .agg(F.sum((F.col("n_cnt") * (F.col("later_days") - F.col("later") * F.col("day"))).cast(wide)).alias("days"),
+              F.sum(F.col("n_cnt") * F.col("later")).alias("cnt")))
     return g.select("notif_type", "criticality",
-                    F.round(avg, 0).cast("int").alias("avg_days"),
+                    F.round(F.col("days").cast(wide) / F.col("cnt").cast(wide), 0).cast("int").alias("avg_days"),
                     F.col("cnt").cast("bigint").alias("cnt"))
 
 
@@ -128,33 +144,26 @@ def overdue_by_wo_status(n: DataFrame, w: DataFrame, as_of=None) -> DataFrame:
     Category precedence per join row: blank order -> no_wo, TECO/CLSD -> teco,
     REL -> rel, anything else (also no matching order) -> crtd.
     """
-    od = n.filter(F.col("required_end") < as_of_date(as_of))
     cat = _wo_category(F.col("system_status"))
+    kinds = ("crtd", "rel", "teco")
+    # One row per (type, key) meets one row per key: the join carries no
+    # duplicates of a hot key, and each table is read once.
+    od = (n.filter(F.col("required_end") < as_of_date(as_of)).groupBy("notif_type", "order_no")
+          .agg(F.count(_one()).alias("n_cnt")))
     wk = (w.filter(F.col("order_no").isNotNull()).groupBy("order_no")
-          .agg(*[count_if(cat == c).alias(f"w_{c}") for c in ("crtd", "rel", "teco")],
-               F.count(_one()).alias("w_rows")))
-    # A blank ('') order number still equals a blank one on the work-order
-    # side, so such a notification appears once per blank-keyed work order
-    # (at least once): weight it by that count instead of pairing rows.  The
-    # count is read from the per-key aggregate above (its '' group).
-    w_blank = wk.filter(F.col("order_no") == "").agg(F.sum("w_rows")).scalar()
-    weight = (F.when(F.col("order_no").isNull(), F.lit(1).cast("bigint"))
-              .otherwise(F.greatest(F.coalesce(w_blank, F.lit(0).cast("bigint")), F.lit(1).cast("bigint"))))
-    no_wo = (od.filter(is_blank("order_no")).select("notif_type", weight.alias("_w")).groupBy("notif_type")
-             .agg(F.sum("_w").cast("bigint").alias("cnt"))
-             .select("notif_type", F.lit("no_wo").alias("wo_cat"), "cnt"))
-    keyed = od.filter(not_blank("order_no")).select("notif_type", "order_no")
-    j = keyed.join(wk, "order_no", "left")
-    matched = F.col("w_crtd").isNotNull()
-    per_type = j.groupBy("notif_type").agg(
-        F.sum(F.when(matched, F.col("w_crtd")).otherwise(1)).alias("crtd"),
-        F.sum(F.coalesce(F.col("w_rel"), F.lit(0))).alias("rel"),
-        F.sum(F.coalesce(F.col("w_teco"), F.lit(0))).alias("teco"))
-    tall = per_type.select(
-        "notif_type",
-        F.inline(F.array(*[F.struct(F.lit(c).alias("wo_cat"), F.col(c).cast("bigint").alias("cnt"))
-                           for c in ("crtd", "rel", "teco")])))
-    return no_wo.unionByName(tall.filter(F.col("cnt") > 0))
+          .agg(*[count_if(cat == c).alias(f"w_{c}") for c in kinds], F.count(_one()).alias("w_rows")))
+    j = od.join(wk, "order_no", "left")
+    blank, cnt = is_blank("order_no"), F.col("n_cnt")
+    # A blank ('') order number equals the blank ones of the work orders and
+    # then appears once for each of them; a NULL one matches nothing.
+    weights = {"no_wo": F.when(blank, cnt * F.coalesce("w_rows", F.lit(1)))}
+    for c in kinds:
+        none = F.lit(1 if c == "crtd" else 0)
+        weights[c] = F.when(~blank, cnt * F.coalesce(F.col(f"w_{c}"), none))
+    per_type = j.groupBy("notif_type").agg(*[F.sum(x).cast("bigint").alias(c) for c, x in weights.items()])
+    tall = per_type.select("notif_type", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("wo_cat"), F.col(c).alias("cnt")) for c in WO_CATEGORIES])))
+    return tall.filter(F.col("cnt") > 0)
 
 
 def overdue_matrix(overdue: DataFrame) -> DataFrame:
@@ -190,18 +199,18 @@ def bad_actors(n: DataFrame, w: DataFrame, min_notifs: int = 3, top: int = 10) -
     """Equipment with the most notifications (>= min_notifs), top-k, plus the
     number of distinct stagnant work orders (REL, no actual finish) on it.
 
-    The many-to-many equipment join is replaced by per-side distinct counts:
-    the top-k is decided on the notification side alone, and only the k
+    The many-to-many equipment join is replaced by per-side counts (``id`` is
+    the row key of both tables, so rows are distinct): the top-k is decided on the notification side alone, and only the k
     winning equipments (a bounded list) are matched against work orders.
     """
     nk = (n.filter(not_blank("equipment")).groupBy("equipment")
-          .agg(F.countDistinct("id").alias("notif_cnt"))
+          .agg(F.count(_one()).alias("notif_cnt"))
           .filter(F.col("notif_cnt") >= min_notifs)
           .orderBy(F.desc("notif_cnt"), F.asc("equipment")).limit(top))
     st = F.col("system_status")
     stagnant = (w.filter(has_status(st, "REL") & F.col("actual_finish").isNull())
                 .join(F.broadcast(nk.select("equipment")), "equipment", "left_semi")
-                .groupBy("equipment").agg(F.countDistinct("id").alias("stagnant_wo")))
+                .groupBy("equipment").agg(F.count(_one()).alias("stagnant_wo")))
     return (nk.join(stagnant, "equipment", "left")
             .select("equipment", F.col("notif_cnt").cast("bigint").alias("notif_cnt"),
                     F.coalesce("stagnant_wo", F.lit(0)).cast("bigint").alias("stagnant_wo"))
@@ -309,23 +318,19 @@ def repeated_equipment(n: DataFrame, top: int = 15) -> DataFrame:
     """Equipment with more than one notification: count, distinct statuses
     (sorted, comma separated), latest required end; top-k by count.
 
-    Counts are decided first; the status list is built only for the k
-    winners from a distinct (equipment, status) set, so no group ever
-    carries more than its distinct statuses.
+    One scan: rows are first counted per (equipment, status), then per
+    equipment, so a group never carries more than its distinct statuses.
     """
-    eq = n.filter(not_blank("equipment"))
-    topk = (eq.groupBy("equipment")
-            .agg(F.count(_one()).alias("notif_count"), F.max("required_end").alias("latest_req_end"))
+    per_status = (n.filter(not_blank("equipment")).groupBy("equipment", "system_status")
+                  .agg(F.count(_one()).alias("cnt"), F.max("required_end").alias("last")))
+    return (per_status.groupBy("equipment")
+            .agg(F.sum("cnt").cast("bigint").alias("notif_count"),
+                 F.sort_array(F.collect_list("system_status")).alias("all"),
+                 F.max("last").alias("latest_req_end"))
             .filter(F.col("notif_count") > 1)
-            .orderBy(F.desc("notif_count"), F.asc("equipment")).limit(top))
-    statuses = (eq.filter(F.col("system_status").isNotNull())
-                .join(F.broadcast(topk.select("equipment")), "equipment", "left_semi")
-                .select("equipment", "system_status").distinct()
-                .groupBy("equipment")
-                .agg(F.array_join(F.sort_array(F.collect_list("system_status")), ", ").alias("statuses")))
-    return (topk.join(statuses, "equipment", "left")
-            .select("equipment", F.col("notif_count").cast("bigint").alias("notif_count"),
-                    "statuses", "latest_req_end")
+            .orderBy(F.desc("notif_count"), F.asc("equipment")).limit(top)
+            .select("equipment", "notif_count",
+                    F.when(F.size("all") > 0, F.array_join("all", ", ")).alias("statuses"), "latest_req_end")
             .orderBy(F.desc("notif_count"), F.asc("equipment")))
 
 

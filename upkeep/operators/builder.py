@@ -37,7 +37,6 @@ MEASURES = {
 }
 DEFAULT_TOP_N = 20
 MAX_TOP_N = 50
-MAX_SERIES = 1000
 
 
 def _count_if(cond: Column) -> Column:
@@ -137,41 +136,47 @@ def build_chart(df: DataFrame, spec: ChartSpec, as_of=None) -> DataFrame:
             .orderBy(F.desc_nulls_first("value"), F.asc_nulls_last(x)).limit(spec.top_n))
 
 
-def series_labels(grouped: DataFrame, group_col: str, max_series: int = MAX_SERIES) -> list[str]:
-    """Distinct series labels (NULL shown as the dash), sorted as text.
+def pivot_long(grouped: DataFrame, x_col: str, group_col: str) -> DataFrame:
+    """Dense long form ``(x, series, value)`` of a grouped chart, lazily and for
+    any number of series: every x with every series, a missing combination as
+    0, a NULL aggregate as NULL, a NULL series as the dash.
 
-    A bounded driver read: the chart legend; refuses more than ``max_series``.
+    The x values and the series are lists of distinct labels; the matrix of
+    both is the result's own size.  Each x carries the list of series, which
+    is aggregated once and joined on a constant key.
     """
-    lab = grouped.select(F.coalesce(F.col(group_col).cast("string"), F.lit(NULL_MARK)).alias("g"))
-    vals = [r["g"] for r in lab.distinct().limit(max_series + 1).collect()]
-    if len(vals) > max_series:
-        raise ValueError(f"more than {max_series} series in {group_col}")
-    return sorted(vals)
-
-
-def pivot_chart(grouped: DataFrame, x_col: str, group_col: str,
-                series: list[str] | None = None) -> DataFrame:
-    """Dense x-by-series matrix of a grouped chart.
+    cells = grouped.select(F.col(x_col).alias("x"), F.coalesce(F.col(group_col).cast("string"), F.lit(NULL_MARK))
+                           .alias("series"), "value")
+    names = cells.agg(F.sort_array(F.collect_set("series")).alias("names"))
+    dense = (cells.select("x").distinct().withColumn("series", F.explode(names.scalar())))
+    have = cells.groupBy("x", "series").agg(F.first("value").alias("value"), F.lit(1).alias("there"))
+    kind = grouped.schema["value"].dataType
+    d, h = dense.alias("d"), have.alias("h")
+    return (d.join(h, F.col("d.x").eqNullSafe(F.col("h.x")) & (F.col("d.series") == F.col("h.series")), "left")
+            .select(F.col("d.x").alias(x_col), F.col("d.series").alias("series"),
+                    F.when(F.col("there").isNull(), F.lit(0).cast(kind)).otherwise(F.col("value")).alias("value"))
+            .orderBy(F.asc_nulls_last(x_col), "series"))
+
+
+def pivot_chart(grouped: DataFrame, x_col: str, group_col: str, series: list[str]) -> DataFrame:
+    """Dense x-by-series matrix of a grouped chart for the given series (the
+    chart's legend; any number).  For series that are not known beforehand
+    there is ``pivot_long``.
 
     A missing (x, series) combination is 0; a cell whose aggregate is NULL
     stays NULL.  Rows follow the grouped order (x ascending, NULL last).
     """
-    if series is None:
-        # The labels need one pass over the grouped result and the pivot
-        # another: checkpoint the (small: x-by-series cells) grouped result
-        # once in the shared checkpoint folder instead of aggregating the
-        # source table twice.
-        from upkeep.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(grouped.sparkSession)
-        grouped = grouped.checkpoint(eager=True)
-    labels = series if series is not None else series_labels(grouped, group_col)
     tall = grouped.select(x_col, F.coalesce(F.col(group_col).cast("string"), F.lit(NULL_MARK)).alias("_g"),
                           "value")
-    wide = tall.groupBy(x_col).pivot("_g", labels).agg(F.first("value").alias("v"),
-                                                        F.count(F.lit(1)).alias("n"))
-    cells = [F.when(F.coalesce(F.col(f"`{s}_n`"), F.lit(0)) == 0, F.lit(0).cast(grouped.schema["value"].dataType))
-              .otherwise(F.col(f"`{s}_v`")).alias(s) for s in labels]
-    return wide.select(x_col, *cells).orderBy(F.asc_nulls_last(x_col))
+    kind = grouped.schema["value"].dataType
+    cells = []
+    for i, s in enumerate(series):
+        hit = F.col("_g") == F.lit(s)
+        cells += [F.max(F.when(hit, F.col("value"))).alias(f"v{i}"), F.count(F.when(hit, 1)).alias(f"n{i}")]
+    wide = tall.groupBy(x_col).agg(F.lit(0).alias("_"), *cells)
+    return (wide.select(x_col, *[F.when(F.col(f"n{i}") == 0, F.lit(0).cast(kind)).otherwise(F.col(f"v{i}")).alias(s)
+                                 for i, s in enumerate(series)])
+            .orderBy(F.asc_nulls_last(x_col)))
 
 
 def filter_values(df: DataFrame, table: str, column: str, limit: int = 200) -> DataFrame:

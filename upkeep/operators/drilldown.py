@@ -13,13 +13,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.functions.buckets import bucket_predicate
+from upkeep.functions.buckets import bucket_dates
 from upkeep.functions.status import (
-    as_of_date, days_between, has_status, is_blank, lacks_status, month_label, not_blank, preview,
+    as_of_date, days_between, has_status, is_blank, in_month, lacks_status, not_blank, preview,
 )
 
 DESC_LEN = 80
 
+# The columns of the drill-down tables.
 N9 = ["notification", "notif_type", "system_status", "criticality", "description", "equipment",
       "location", "required_end", "order_no"]
 W10 = ["order_no", "order_type", "system_status", "criticality", "description", "equipment",
@@ -49,7 +50,8 @@ def _keyed(n: DataFrame, w: DataFrame, how: str) -> tuple[DataFrame, DataFrame,
     not shuffled against anything).
     """
     wn = w.filter(not_blank("order_no")).alias("w")
-    na = n.alias("n")
+    # Descriptions are cut before the join, so that only what is shown is shuffled.
+    na = (n.withColumn("description", _desc(n["description"])) if "description" in n.columns else n).alias("n")
     return na.join(wn, F.col("n.order_no") == F.col("w.order_no"), how), na, wn
 
 
@@ -176,12 +178,12 @@ TREND_N_COLS = ["notification", "notif_type", "system_status", "criticality", "d
 
 
 def trend_notif_detail(n: DataFrame, month: str) -> DataFrame:
-    f = n.filter(month_label("notif_date") == month)
+    f = n.filter(in_month("notif_date", month))
     return f.select(*_proj(f, TREND_N_COLS), "id").orderBy(F.desc_nulls_last("notif_date"), "id")
 
 
 def trend_done_detail(w: DataFrame, month: str) -> DataFrame:
-    f = w.filter((month_label("actual_finish") == month) & _done(F.col("system_status")))
+    f = w.filter(in_month("actual_finish", month) & _done(F.col("system_status")))
     return f.select(*_proj(f, W10), "id").orderBy(F.desc_nulls_last("actual_finish"), "id")
 
 
@@ -215,7 +217,8 @@ def aging_detail(w: DataFrame, bucket: str, as_of=None) -> DataFrame:
     st = F.col("system_status")
     days = days_between(as_of_date(as_of), F.col("basic_fin_date"))
     f = w.filter((F.col("basic_fin_date") < as_of_date(as_of)) & lacks_status(st, "TECO")
-                 & lacks_status(st, "CLSD") & bucket_predicate(bucket, days))
+                 & lacks_status(st, "CLSD")
+                 & bucket_dates(bucket, F.col("basic_fin_date"), as_of_date(as_of)))
     return (f.select(*_proj(f, AGING_COLS), days.alias("days_overdue"), "total_act_cost",
                      "main_workctr", "id")
             .orderBy(F.desc("days_overdue"), "id"))
@@ -254,24 +257,45 @@ def page_info(df: DataFrame, per_page: int = 25) -> DataFrame:
                          .otherwise(1).cast("bigint").alias("total_pages"))
 
 
+# The total order of each drill-down, ``(column, ascending)``, NULLs last in
+# either direction: what ``page_after`` needs to go on from a row.
+ORDERS: dict[str, list[tuple[str, bool]]] = {
+    "funnel_total": [("required_end", True), ("id", True)],
+    "funnel_no_wo": [("required_end", True), ("id", True)],
+    "funnel_has_wo": [("required_end", True), ("id", True), ("wo_id", True)],
+    "funnel_rel": [("basic_fin_date", True), ("id", True), ("wo_id", True)],
+    "funnel_done": [("actual_finish", False), ("id", True), ("wo_id", True)],
+    "lead_time": [("lead_days", False), ("id", True), ("wo_id", True)],
+    "overdue": [("required_end", True), ("id", True), ("wo_id", True)],
+    "bad_actor": [("required_end", True), ("id", True), ("wo_id", True)],
+    "trend_notif": [("notif_date", False), ("id", True)],
+    "trend_done": [("actual_finish", False), ("id", True)],
+    "wo_by_type": [("basic_fin_date", True), ("id", True)],
+    "notif_status": [("required_end", True), ("id", True)],
+    "aging": [("days_overdue", False), ("id", True)],
+    "backlog": [("required_end", True), ("id", True)],
+}
+
+
 def page_after(df: DataFrame, order: list[tuple[str, bool]], last_key: tuple | None,
                per_page: int = 25) -> DataFrame:
     """Key-set paging: rows strictly after ``last_key`` in the ``order``
-    (column, ascending) sort, ``per_page`` of them.  Each page is a
-    filtered top-k, so its cost does not grow with the page number.
-    Sort columns must be non-null (use the row key last)."""
+    (column, ascending; NULLs last), ``per_page`` of them.  Each page is a
+    filtered top-k, so its cost does not grow with the page number.  The
+    columns together must identify a row."""
     _, per_page = clamp_paging(1, per_page)
     f = df
     if last_key is not None:
-        cond = None
-        eq_prefix = F.lit(True)
+        after, same = F.lit(False), F.lit(True)
         for (c, asc), v in zip(order, last_key):
-            step = (F.col(c) > F.lit(v)) if asc else (F.col(c) < F.lit(v))
-            term = eq_prefix & step
-            cond = term if cond is None else (cond | term)
-            eq_prefix = eq_prefix & (F.col(c) == F.lit(v))
-        f = df.filter(cond)
-    sort = [F.asc(c) if a else F.desc(c) for c, a in order]
+            if v is None:       # only NULLs stand there, and nothing after them
+                same = same & F.col(c).isNull()
+                continue
+            beyond = (F.col(c) > F.lit(v)) if asc else (F.col(c) < F.lit(v))
+            after = after | (same & (beyond | F.col(c).isNull()))
+            same = same & (F.col(c) == F.lit(v))
+        f = df.filter(after)
+    sort = [F.asc_nulls_last(c) if a else F.desc_nulls_last(c) for c, a in order]
     return f.orderBy(*sort).limit(per_page)
 
 

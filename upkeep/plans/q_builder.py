@@ -83,4 +83,17 @@ def q_builder_pivot(spark, sf):
     (n,) = views(spark, sf, "notifications")
     spec = B.ChartSpec("notifications", "location", "count", "criticality")
     grouped = B.build_chart(n, spec, AS_OF)
-    return B.pivot_chart(grouped, "location", "criticality")
+    return B.pivot_chart(grouped, "location", "criticality", _SERIES)
+
+
+@register("builder_pivot_long", """
+WITH cell AS (SELECT location, coalesce(criticality, '—') AS series, count(*) AS n
+              FROM notifications GROUP BY ALL),
+     label AS (SELECT DISTINCT series FROM cell), place AS (SELECT DISTINCT location FROM cell)
+SELECT p.location, l.series, coalesce(c.n, 0) AS value
+FROM place p CROSS JOIN label l
+LEFT JOIN cell c ON c.location IS NOT DISTINCT FROM p.location AND c.series = l.series""")
+def q_builder_pivot_long(spark, sf):
+    (n,) = views(spark, sf, "notifications")
+    spec = B.ChartSpec("notifications", "location", "count", "criticality")
+    return B.pivot_long(B.build_chart(n, spec, AS_OF), "location", "criticality")

@@ -40,7 +40,9 @@ def _spoil_sql(v, k, cls):
     elif cls == "n":
         cell = f"CASE WHEN {k} % 13 = 0 THEN 'n/a' ELSE {t} END"
     elif cls == "d":
-        cell = f"CASE WHEN {k} % 17 = 0 THEN '2024-13-40' ELSE {t} END"
+        cell = (f"CASE WHEN {k} % 17 = 0 THEN '2024-13-40' WHEN {k} % 19 = 0 THEN '2024-5' "
+                f"WHEN {k} % 23 = 0 THEN {t} || ' junk' WHEN {k} % 29 = 0 THEN '2024' "
+                f"WHEN {k} % 31 = 0 THEN {t} || ' 10:30:00' ELSE {t} END")
     else:
         cell = t
     return f"CASE WHEN {k} % 101 = 0 THEN NULL ELSE {cell} END"
@@ -55,11 +57,16 @@ def raw_sql(view):
             f"WHERE NOT ({' AND '.join(f'c{i} IS NULL' for i in range(n))})")
 
 
+def _date_sql(c):
+    """A day, or a day and a time of day; nothing shorter and nothing else."""
+    return f"cast(coalesce(try_strptime(trim({c}), '%Y-%m-%d'), try_strptime(trim({c}), '%Y-%m-%d %H:%M:%S')) AS date)"
+
+
 def _clean_sql(c, k, arg):
     if k == "s":
         return f"nullif(trim({c}), '')"
     if k == "d":
-        return f"try_cast(trim({c}) AS date)"
+        return _date_sql(c)
     if k == "n":
         return f"try_cast(trim({c}) AS decimal(18,{arg}))"
     return f"coalesce(trim({c}) IN ('X', 'x', '1', 'True'), false)"
@@ -109,7 +116,7 @@ def _cleaner_query(key, cells, spark_fn, sql_fn):
 
 
 _cleaner_query("clean_strings", WO_TEXT, clean_string, lambda c: f"nullif(trim({c}), '')")
-_cleaner_query("clean_dates", WO_DATE, clean_date, lambda c: f"try_cast(trim({c}) AS date)")
+_cleaner_query("clean_dates", WO_DATE, clean_date, _date_sql)
 _cleaner_query("clean_numbers", WO_NUM, lambda c: clean_number(c, 2),
                lambda c: f"try_cast(trim({c}) AS decimal(18,2))")
 
@@ -141,7 +148,7 @@ def q_ingest_summary(spark, sf):
 
 
 @register("delete_batch", """
-SELECT id, upload_batch FROM notifications WHERE upload_batch IS DISTINCT FROM 'B1'""")
+SELECT * FROM notifications WHERE upload_batch IS NULL OR upload_batch <> 'B1'""")
 def q_delete_batch(spark, sf):
     (n,) = views(spark, sf, "notifications")
-    return I.without_batch(n, "B1").select("id", "upload_batch")
+    return I.without_batch(n, "B1")

@@ -4,8 +4,8 @@ An export is a DataFrame of raw text cells with positional column names plus
 its header row.  The layout of its kind maps header names to typed columns
 through the cleaners; missing headers give NULL columns, unknown headers are
 ignored, rows with every cell empty are dropped.  Reading, mapping and
-writing are all distributed; only header rows (one line per file) are read
-on the driver.
+writing are all distributed; the driver sees one header line and one
+outcome row per file.
 """
 
 from __future__ import annotations
@@ -13,17 +13,25 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import io
+import re
 import uuid
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from upkeep.session import ensure_checkpoint_dir
 from upkeep.functions.cleaners import clean_date, clean_number, clean_string, long_text_flag
 from upkeep.sources.exports import LAYOUTS, TABLE_OF, detect_kind, header_position, normalise_headers  # noqa: F401
 
+FILE = "_file"              # the source file of a row, where an export has one
+HEADER_CHARS = 65_536       # a longer first line is no header
+
 
 @dataclass(frozen=True)
 class Export:
@@ -65,7 +73,7 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
     if kind not in LAYOUTS:
         raise ValueError(f"unknown export kind for {export.name}")
     headers = normalise_headers(export.headers)
-    raw = export.raw.na.drop(how="all")
+    raw = export.raw.na.drop(how="all", subset=[c for c in export.raw.columns if c != FILE])
     types = dict(raw.dtypes)
     cols = []
     for spec, name, k, arg in LAYOUTS[kind]:
@@ -90,13 +98,23 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
     if row_id_prefix is not None:
         cols.insert(0, F.concat_ws("-", F.lit(row_id_prefix),
                                    F.monotonically_increasing_id().cast("string")).alias("id"))
+    if FILE in raw.columns:
+        cols.append(F.col(FILE))
     return raw.select(*cols, F.lit(batch).alias("upload_batch"), stamp.alias("uploaded_at"))
 
 
+def over_long(kind: str) -> Column:
+    """Whether some text value of a typed row exceeds its column's limit."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.length(name) > arg, F.lit(False)) for _, name, k, arg in
+                                       LAYOUTS[kind] if k == "s" and arg is not None], F.lit(False))
+
+
 def ingest_exports(exports: list[Export], batch: str, uploaded_at: dt.datetime | None = None,
                    row_ids: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
     """Typed DataFrames per kind (one ``unionByName`` per kind) and the per-export
-    outcome table ``(file, status, kind, rows)``; unknown kinds are skipped."""
+    outcome table ``(file, status, kind, rows)``; unknown kinds are skipped, and
+    an export with a value over its column's limit is an error as a whole: none
+    of its rows are loaded."""
     by_kind: dict[str, list[DataFrame]] = {}
     outcomes = []
     for pos, ex in enumerate(exports):
@@ -107,10 +125,11 @@ def ingest_exports(exports: list[Export], batch: str, uploaded_at: dt.datetime |
                                     F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("rows")))
             continue
         typed = clean_export(ex, batch, uploaded_at, kind, f"{batch}-{pos}" if row_ids else None)
-        by_kind.setdefault(kind, []).append(typed)
-        outcomes.append(ex.raw.na.drop(how="all").agg(F.count(F.lit(1)).alias("rows"))
-                        .select(F.lit(ex.name).alias("file"), F.lit("ok").alias("status"),
-                                F.lit(kind).alias("kind"), "rows"))
+        checked = typed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(over_long(kind)), F.lit(False)).alias("bad"))
+        by_kind.setdefault(kind, []).append(typed.filter(~checked.select("bad").scalar()))
+        outcomes.append(checked.select(
+            F.lit(ex.name).alias("file"), F.when(F.col("bad"), "error").otherwise("ok").alias("status"),
+            F.lit(kind).alias("kind"), F.when(F.col("bad"), 0).otherwise(F.col("n")).cast("bigint").alias("rows")))
     tables = {k: reduce(DataFrame.unionByName, v) for k, v in by_kind.items()}
     return tables, reduce(DataFrame.unionByName, outcomes)
 
@@ -122,19 +141,29 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ files
+def uri_key(uri: str) -> str:
+    """One spelling of a file's URI, however many slashes follow the scheme."""
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", uri)
+
+
+def file_uri(spark: SparkSession, path: str) -> str:
+    """The URI under which Spark reports a path (escaped, with its scheme)."""
+    p, fs = _fs_path(spark, path)
+    return uri_key(fs.makeQualified(p).toUri().toString())
+
+
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of every file, read by one distributed scan; by URI.
+    Empty files have none, and a line over ``HEADER_CHARS`` is cut there."""
+    lines = (spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0)
+             .select(F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().alias("at"),
+                     F.substring("value", 1, HEADER_CHARS).alias("line"))
+             .groupBy("uri").agg(F.min_by("line", "at").alias("line")))
+    return {uri_key(r["uri"]): r["line"].lstrip("\ufeff").rstrip("\r") for r in lines.collect()}
+
+
 def first_line(spark: SparkSession, path: str) -> str | None:
-    """The first line of a file, read through the cluster file system (a few
-    bytes per file on the driver; no Spark job)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    return line.lstrip("\ufeff") if line is not None else None
+    return first_lines(spark, [path]).get(file_uri(spark, path))
 
 
 def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
@@ -142,17 +171,23 @@ def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     line = first_line(spark, path)
     if line is None:
         return []
-    return next(csv.reader(io.StringIO(line), delimiter=sep))
+    return parse_header(line, sep)
+
+
+def parse_header(line: str, sep: str = ",") -> list[str]:
+    return next(csv.reader(io.StringIO(line), delimiter=sep), [])
 
 
 def read_csv_group(spark: SparkSession, paths: list[str], headers: list[str], sep: str = ",",
-                   name: str | None = None) -> Export:
+                   name: str | None = None, multi_line: bool = True) -> Export:
     """All CSV exports sharing one header row, read by one scan (each file's
     own header line is skipped).  Duplicate headers stay apart by position.
-    The source file of every row is kept in ``_file`` for per-file counts."""
+    The source file of every row is kept in ``_file``.  With ``multi_line``
+    cells may hold line breaks, and a file is then read by one task; without,
+    large files are split."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(headers))])
     raw = (spark.read.option("header", True).option("enforceSchema", True).option("sep", sep)
-           .option("multiLine", True).schema(schema).csv(paths)
+           .option("multiLine", multi_line).schema(schema).csv(paths)
            .select(*[F.col(f.name) for f in schema.fields], F.col("_metadata.file_path").alias("_file")))
     return Export(name or ",".join(paths), raw, tuple(headers))
 
@@ -174,27 +209,17 @@ def _fs_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str, tag: str) -> None:
-    """Replace a table by a staged swap: the new data is written completely
-    next to the table first; only then the old folder is moved aside, the
-    staged one moved in and the old one deleted.  A failed write leaves the
-    old table untouched (the swap is two renames; atomic where the file
-    system's rename is)."""
-    staging = f"{path.rstrip('/')}.__staging-{tag}"
-    trash = f"{path.rstrip('/')}.__old-{tag}"
-    df.write.mode("overwrite").partitionBy("upload_batch").parquet(staging)
-    live, fs = _fs_path(spark, path)
-    staged, _ = _fs_path(spark, staging)
-    old, _ = _fs_path(spark, trash)
-    had_old = fs.exists(live)
-    if had_old and not fs.rename(live, old):
-        raise OSError(f"could not move {path} aside")
-    if not fs.rename(staged, live):
-        if had_old:
-            fs.rename(old, live)
-        raise OSError(f"could not move {staging} into place")
-    if had_old:
-        fs.delete(old, True)
+def replace_table(spark: SparkSession, df: DataFrame, path: str, tag: str = "") -> None:
+    """Replace a table: the new batches are written as partitions of their own
+    first, and only when that has succeeded the other partitions are deleted.
+    Nothing is renamed; a crash in between leaves old and new rows, never none."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_batch").parquet(path)
+    new = {r[0] for r in df.select("upload_batch").distinct().collect()}
+    table, fs = _fs_path(spark, path)
+    for status in fs.listStatus(table):
+        name = status.getPath().getName()
+        if name.startswith("upload_batch=") and unquote(name.split("=", 1)[1]) not in new:
+            fs.delete(status.getPath(), True)
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append", tag: str | None = None
@@ -227,65 +252,107 @@ def read_parquet_group(spark: SparkSession, paths: list[str], name: str | None =
 
 
 def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, mode: str = "append",
-                 uploaded_at: dt.datetime | None = None, sep: str = ",") -> DataFrame:
+                 uploaded_at: dt.datetime | None = None, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Read, detect, clean and write a set of CSV or Parquet export files;
-    returns the per-file outcome table ``(file, status, kind, rows)``.
-
-    Files are grouped by format and header row and each group is read by a
-    single scan, so the plan does not grow with the number of files.  Other
-    files, and files whose header matches no kind, are skipped.
+    returns the per-file outcome table ``(file, status, kind, rows)`` with the
+    paths as given.
+
+    CSV headers come from one distributed scan, Parquet headers from the
+    files' footers.  Files are grouped by format and header row and each group
+    is read by one scan, so the plan does not grow with the number of files.
+    The typed rows are staged in the shared folder, where they are counted
+    and checked per file; the sources are not read again.
+
+    ``ok``: loaded, also with no rows (a header alone).  ``skip``: another kind
+    of file, no header, or a header of no known kind.  ``error``: the file
+    cannot be read, or a value exceeds its column's limit; none of its rows
+    are loaded.  The other files are not affected.
     """
+    uris = {p: file_uri(spark, p) for p in paths}
+    outcome: dict[str, tuple[str, str, int]] = {}
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    skipped = []
+    texts = []
     for p in paths:
-        low = p.lower()
-        if low.endswith(".csv"):
-            fmt, header = "csv", tuple(read_header(spark, p, sep))
-        elif low.endswith(".parquet"):
-            fmt, header = "parquet", tuple(spark.read.parquet(p).columns)
+        f, fs = _fs_path(spark, p)
+        if not p.lower().endswith((".csv", ".parquet")):
+            outcome[p] = ("skip", "unsupported", 0)
+        elif not fs.exists(f):
+            outcome[p] = ("error", "missing", 0)
+        elif p.lower().endswith(".csv"):
+            texts.append(p)
         else:
-            skipped.append((p, "skip", "unsupported"))
-            continue
-        if detect_kind(header) == "unknown":
-            skipped.append((p, "skip", "unknown"))
-            continue
-        groups.setdefault((fmt, header), []).append(p)
-    by_kind: dict[str, list[DataFrame]] = {}
-    counts = []
+            try:
+                groups.setdefault(("parquet", tuple(spark.read.parquet(p).columns)), []).append(p)
+            except (AnalysisException, Py4JError) as e:
+                outcome[p] = ("error", type(e).__name__, 0)
+    lines = first_lines(spark, texts) if texts else {}
+    for p in texts:
+        line = lines.get(uris[p], "")
+        groups.setdefault(("csv", tuple(parse_header(line, sep)) if line.strip() else ()), []).append(p)
+    staged: dict[str, list[DataFrame]] = {}
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
     for pos, ((fmt, header), files) in enumerate(groups.items()):
+        kind = detect_kind(header)
+        for p in files:
+            outcome[p] = ("skip", "unknown" if header else "empty", 0) if kind == "unknown" else ("ok", kind, 0)
+        if kind == "unknown":
+            continue
         if fmt == "csv":
-            ex = read_csv_group(spark, files, list(header), sep, f"group-{pos}")
+            ex = read_csv_group(spark, files, list(header), sep, f"group-{pos}", multi_line)
         else:
             ex = read_parquet_group(spark, files, f"group-{pos}")
-        kind = ex.kind
-        data_cols = [c for c in ex.raw.columns if c != "_file"]
-        kept = ex.raw.na.drop(how="all", subset=data_cols)
-        typed = clean_export(Export(ex.name, kept.drop("_file"), ex.headers), batch, uploaded_at, kind,
-                             f"{batch}-{pos}")
-        by_kind.setdefault(kind, []).append(typed)
-        counts.append(kept.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-                      .select("file", F.lit("ok").alias("status"), F.lit(kind).alias("kind"), "rows"))
-    write_tables({k: reduce(DataFrame.unionByName, v) for k, v in by_kind.items()}, root, mode,
-                 f"{batch}-{uuid.uuid4().hex[:8]}")
-    outcomes = spark.createDataFrame(skipped, "file string, status string, kind string") \
-        .withColumn("rows", F.lit(0).cast("bigint"))
-    if counts:
-        # Files given as plain paths come back from the scan as URIs.
-        ok = reduce(DataFrame.unionByName, counts)
-        ok = ok.withColumn("file", F.regexp_replace("file", "^file:", ""))
-        outcomes = ok.unionByName(outcomes)
-    return outcomes
+        typed = clean_export(ex, batch, uploaded_at, kind, f"{batch}-{pos}").withColumn("_bad", over_long(kind))
+        typed.write.parquet(f"{folder}/{pos}")
+        staged.setdefault(kind, []).append(spark.read.schema(typed.schema).parquet(f"{folder}/{pos}"))
+    tables = {k: reduce(DataFrame.unionByName, v) for k, v in staged.items()}
+    by_uri = {u: p for p, u in uris.items()}
+    # One row per file reaches the driver, as the list of paths came from there.
+    rejected = []
+    for df in tables.values():
+        for r in df.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"), F.max("_bad").alias("bad")).collect():
+            uri = uri_key(r[FILE])
+            p = by_uri.get(uri) or by_uri[next(u for u in _parents(uri) if u in by_uri)]
+            status, kind, n = outcome[p]
+            outcome[p] = ("error", kind, 0) if r["bad"] or status == "error" else ("ok", kind, n + r["n"])
+            if r["bad"]:
+                rejected.append(p)
+    good = {k: _without_files(df, [uris[p] for p in rejected]).drop(FILE, "_bad") for k, df in tables.items()}
+    write_tables(good, root, mode, batch)
+    return spark.createDataFrame([(p, *outcome[p]) for p in paths], "file string, status string, kind string, rows bigint")
+
+
+def _parents(uri: str) -> list[str]:
+    parts = uri.split("/")
+    return ["/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1)]
+
+
+def _without_files(df: DataFrame, uris: list[str]) -> DataFrame:
+    """Rows of other files than ``uris`` (files, or folders of part files)."""
+    if not uris:
+        return df
+    bad = df.sparkSession.createDataFrame([(u,) for u in uris], "bad string")
+    key = F.regexp_replace(FILE, r"^([A-Za-z][A-Za-z0-9+.\-]*):/+", "$1:/")
+    return (df.join(bad, key == F.col("bad"), "left_anti")
+            .join(bad, F.regexp_replace(key, "/[^/]*$", "") == F.col("bad"), "left_anti"))
 
 
 def without_batch(df: DataFrame, batch: str) -> DataFrame:
-    """Rows of every other upload batch (NULL batches are kept)."""
+    """Rows of every other upload batch (NULL batches are kept); no rows for
+    ``"ALL"``."""
+    if batch == "ALL":
+        return df.limit(0)
     return df.filter(~F.col("upload_batch").eqNullSafe(F.lit(batch)))
 
 
 def delete_batch_files(spark: SparkSession, table_path: str, batch: str) -> bool:
-    """Drop one batch partition of a written table (no rewrite of others)."""
-    p, fs = _fs_path(spark, f"{table_path.rstrip('/')}/upload_batch={batch}")
-    return bool(fs.exists(p) and fs.delete(p, True))
+    """Drop one batch partition of a written table (no rewrite of others), or
+    with ``"ALL"`` every one."""
+    table, fs = _fs_path(spark, table_path)
+    if not fs.exists(table):
+        return False
+    found = [s.getPath() for s in fs.listStatus(table) if s.getPath().getName().startswith("upload_batch=")]
+    dropped = [fs.delete(p, True) for p in found if batch == "ALL" or unquote(p.getName().split("=", 1)[1]) == batch]
+    return any(dropped)
 
 
 def length_violations(df: DataFrame, kind: str) -> DataFrame:

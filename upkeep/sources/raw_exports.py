@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from upkeep.sources import fixtures as fx
 from upkeep.sources.ingest import Export
-from upkeep.sources.tables import default_parallelism
 
 # (header, source expression name or callable, cell class) per export; classes: t text, n number, d date, k key
 RAW_LAYOUTS = {
@@ -80,22 +79,17 @@ def spoil(v: Column, k: Column, cls: str) -> Column:
     elif cls == "n":
         cell = F.when(k % 13 == 0, F.lit("n/a")).otherwise(text)
     elif cls == "d":
-        cell = F.when(k % 17 == 0, F.lit("2024-13-40")).otherwise(text)
+        cell = (F.when(k % 17 == 0, F.lit("2024-13-40")).when(k % 19 == 0, F.lit("2024-5"))
+                .when(k % 23 == 0, F.concat(text, F.lit(" junk"))).when(k % 29 == 0, F.lit("2024"))
+                .when(k % 31 == 0, F.concat(text, F.lit(" 10:30:00"))).otherwise(text))
     else:
         cell = text
     return F.when(k % 101 == 0, F.lit(None).cast("string")).otherwise(cell)
 
 
-def raw_export(spark: SparkSession, sf_dir: str, view: str, files: int | None = None) -> Export:
-    """The spoiled all-text export of a fixture view.
-
-    An upload arrives as many files, each read by its own task.  The
-    supplied tables are single unsplittable parquet row groups, so when the
-    base scan yields fewer partitions than ``files`` (default: the session's
-    parallelism) the rows are dealt round-robin into that many partitions,
-    as separate files would be.  Multi-file inputs are left as they are.
-    """
-    base = fx.view(spark, sf_dir, view, files or default_parallelism(spark))
+def raw_export(spark: SparkSession, sf_dir: str, view: str) -> Export:
+    """The spoiled all-text export of a fixture view."""
+    base = fx.view(spark, sf_dir, view)
     extra = _extra(view)
     base = base.select("*", *[e.alias(n) for n, e in extra.items() if n not in base.columns])
     layout = RAW_LAYOUTS[view]

@@ -9,32 +9,9 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "conversations"]
 
 
-def base(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
-    """A supplied table.  With ``min_partitions``, a scan that cannot be split
-    that far (one parquet row group) is dealt round-robin into that many
-    partitions; a scan that already has them is returned untouched."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if min_partitions:
-        parts = scan_partitions(df)
-        if parts is not None and parts < min_partitions:
-            df = df.repartition(min_partitions)
-    return df
-
-
-def scan_partitions(df: DataFrame) -> int | None:
-    """Number of input partitions of a plan, when the session exposes it
-    (planning only, no job); None on sessions without the RDD API."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect
-        return None
-
-
-def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect
-        return fallback
+def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def load_or_empty(spark: SparkSession, name: str, schema, path: str | None = None) -> DataFrame:

@@ -261,3 +261,20 @@ def test_filter_values_catalog(spark, nw):
         B.filter_values(n, "notifications", "description")
     with pytest.raises(ValueError):
         B.filter_values(n, "nope", "main_workctr")
+
+
+def test_pack_of_a_missing_table_has_an_empty_section(spark):
+    from upkeep.operators.packs import pack_json
+    secs = S.SECTIONS["daily"]
+    built = S.gather({}, "daily", spark)
+    out = pack_json({name: (built[name], [F.asc_nulls_last(c) for c in sec.order] + ["id"])
+                     for name, sec in secs.items()}).collect()
+    assert sorted(r.section for r in out) == sorted(secs) and all((r.n_rows, r.payload) == (0, "[]") for r in out)
+
+
+def test_months_are_half_open_ranges(spark):
+    from upkeep.functions.status import in_month
+    days = [D(2001, 1, 31), D(2001, 2, 1), D(2001, 2, 28), D(2001, 3, 1), None]
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    assert [r.d for r in df.filter(in_month("d", "2001-02")).collect()] == days[1:3]
+    assert df.filter(in_month("d", "2001-12")).count() == df.filter(in_month("d", "nonsense")).count() == 0

@@ -87,6 +87,19 @@ def report_digest(memos: DataFrame, reports: DataFrame) -> DataFrame:
                     F.array_join(F.transform("parts", lambda p: p["piece"]), DIGEST_SEPARATOR).alias("digest"))
 
 
+def digest_by_ids(reports: DataFrame, ids: list[int]) -> DataFrame:
+    """One row: the digest of chosen reports, newest first.  Ids without a
+    report drop out, repeated ids count once; the list given bounds the text."""
+    wanted = sorted(set(ids))
+    r = reports.filter(F.col("id").cast("bigint").isin(wanted)) if wanted else reports.limit(0)
+    piece = F.concat(digest_label(F.col("type"), F.col("created_at")), F.lit("\n"), F.col("content"))
+    parts = r.agg(F.sort_array(F.collect_list(F.struct(
+        F.col("created_at").alias("ts"), F.col("id").cast("bigint").alias("rid"), piece.alias("piece"))),
+        asc=False).alias("parts"))
+    return parts.select(F.size("parts").cast("int").alias("n_sources"),
+                        F.array_join(F.transform("parts", lambda p: p["piece"]), DIGEST_SEPARATOR).alias("digest"))
+
+
 def latest_of_type(reports: DataFrame, type_value: str = "daily") -> DataFrame:
     """The newest report of a type with its first 2,000 characters as excerpt."""
     return (reports.filter(F.col("type") == type_value)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from upkeep.functions.status import lower_or_empty, trimmed_or_empty
@@ -72,6 +72,7 @@ class Section:
         return out.limit(self.limit) if self.limit is not None else out
 
 
+# The columns of the sections.
 BA_COLS = ("ru", "tag_number", "status", "problem", "action_plan", "progress", "target_date", "periode")
 
 
@@ -165,16 +166,19 @@ def _sections() -> dict[str, dict[str, Section]]:
 SECTIONS = _sections()
 
 
-def gather(tables: dict[str, DataFrame], cadence: str) -> dict[str, DataFrame]:
+def gather(tables: dict[str, DataFrame], cadence: str, spark: SparkSession | None = None) -> dict[str, DataFrame]:
     """All sections of a daily/weekly/monthly pack as lazy DataFrames.
 
-    A section whose source table is absent is skipped (an empty section),
-    mirroring a missing upstream table.
+    A section whose source table is missing is there without rows, so that a
+    missing upstream table gives an empty section and never fails the pack.
     """
+    spark = spark or SparkSession.active()
     out = {}
     for name, sec in SECTIONS[cadence].items():
         if sec.table in tables:
             out[name] = sec.build(tables[sec.table])
+        else:
+            out[name] = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in ("id", *sec.columns)))
     return out
 
 

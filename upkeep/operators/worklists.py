@@ -108,28 +108,33 @@ def control_tower_lists(as_of=None) -> dict[str, dict[str, TopList]]:
 
 
 def fused_top_lists(df: DataFrame, lists: dict[str, TopList], row: callable) -> DataFrame:
-    """Several top-k worklists of one table from a single scan.
-
-    Each row is tagged with every list whose predicate it meets, then ranked
-    within its list; the ``row_number() <= k`` filter is planned as a
-    per-task group limit before the shuffle, so no task ever holds more
-    than k rows of a list.  Returns ``(_list, _rn, <row(spec)>)`` where
+    """Several top-k worklists of one table, ranked together.
+
+    Each row is tagged with every list whose predicate it meets, and only
+    (list, sort key, id) is ranked: ``row_number() <= k`` is planned as a
+    per-task group limit before the shuffle, so what is sorted is narrow and
+    no task holds more than k rows of a list.  The wide columns are then
+    fetched for the winners alone, at most the sum of the limits, which are
+    broadcast on that bound.  Returns ``(_list, _rn, <row(spec)>)`` where
     ``row(spec)`` renders a row of that list (e.g. as JSON text).
     """
     names = list(lists)
-    tags = F.array_compact(F.array(*[F.when(lists[n].predicate(), F.lit(n)) for n in names]))
-    tagged = df.select("*", F.explode(tags).alias("_list"))
-    key: Column | None = None
-    lim: Column | None = None
-    rendered: Column | None = None
-    for n in names:
-        hit = F.col("_list") == n
-        key = F.when(hit, F.col(lists[n].order_col)) if key is None else key.when(hit, F.col(lists[n].order_col))
-        lim = F.when(hit, lists[n].limit) if lim is None else lim.when(hit, lists[n].limit)
-        rendered = F.when(hit, row(lists[n])) if rendered is None else rendered.when(hit, row(lists[n]))
+
+    def by_list(value: callable) -> Column:
+        out = None
+        for n in names:
+            hit = F.col("_list") == n
+            out = F.when(hit, value(lists[n])) if out is None else out.when(hit, value(lists[n]))
+        return out
+
+    tags = F.array_compact(F.array(*[F.when(lists[n].predicate(), F.struct(
+        F.lit(n).alias("_list"), F.col(lists[n].order_col).alias("_key"))) for n in names]))
     top = max(t.limit for t in lists.values())
-    ranked = (tagged.withColumn("_key", key)
-              .withColumn("_rn", F.row_number().over(
-                  Window.partitionBy("_list").orderBy(F.asc_nulls_last("_key"), F.asc("id"))))
-              .filter(F.col("_rn") <= top))
-    return ranked.filter(F.col("_rn") <= lim).select("_list", "_rn", rendered.alias("_row"))
+    winners = (df.select("id", F.inline(tags))
+               .withColumn("_rn", F.row_number().over(
+                   Window.partitionBy("_list").orderBy(F.asc_nulls_last("_key"), F.asc("id"))))
+               .filter(F.col("_rn") <= top)
+               .filter(F.col("_rn") <= by_list(lambda t: F.lit(t.limit)))
+               .select(F.col("id").alias("_id"), "_list", "_rn"))
+    ranked = df.join(F.broadcast(winners), df["id"] == winners["_id"])
+    return ranked.select("_list", "_rn", by_list(row).alias("_row"))

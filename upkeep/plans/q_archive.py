@@ -66,6 +66,17 @@ def q_memo_sources(spark, sf):
     return R.memo_sources(m, r)
 
 
+@register("report_digest_ids", f"""
+WITH chosen AS (SELECT *, '[' || upper(type) || ' REPORT — ' || strftime(created_at, '%d %b %Y') || ']' AS label
+                FROM reports WHERE list_contains([3, 14, 15, 92], id))
+SELECT count(*)::integer AS n_sources,
+  coalesce(array_to_string(list(label || chr(10) || content ORDER BY created_at DESC, id DESC), {SEP}), '') AS digest
+FROM chosen""")
+def q_report_digest_ids(spark, sf):
+    (r,) = views(spark, sf, "reports")
+    return R.digest_by_ids(r, [15, 3, 14, 92, 3])
+
+
 @register("report_digest", f"""
 SELECT s.memo_id, cast(count(*) AS integer) AS n_sources,
   string_agg('[' || upper(r.type) || ' REPORT — ' || strftime(r.created_at, '%d %b %Y') || ']' || chr(10) || r.content,

@@ -1,6 +1,6 @@
 """A small reference model of the join aggregates over plain rows.
 
-``n`` and ``w`` are lists of dicts (notifications, work orders).  Pairs are
+A blank key is a missing one.  ``n`` and ``w`` are lists of dicts (notifications, work orders).  Pairs are
 really paired, one by one, so this is for small inputs.
 """
 
@@ -15,7 +15,7 @@ def _words(row):
 def _by(rows, column):
     out = defaultdict(list)
     for r in rows:
-        if r[column] is not None:
+        if r[column]:
             out[r[column]].append(r)
     return out
 

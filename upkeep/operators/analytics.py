@@ -5,7 +5,8 @@ carry a large share of all rows, so queries that aggregate over join rows
 first aggregate each side per join key (partial aggregation collapses a hot
 key map-side), then join one row per key and weight by the counts.  The
 result equals the row-level join; its size is bounded by the number of keys
-instead of the product of duplicates.
+instead of the product of duplicates.  A blank order number is a missing one,
+here and in the drill-downs: it matches nothing.
 """
 
 from __future__ import annotations
@@ -94,15 +95,14 @@ def lead_time(n: DataFrame, w: DataFrame) -> DataFrame:
     the sum of their day numbers, so a key costs its distinct dates and no
     pair of dates is built.
     """
-    # Blank keys join blank keys here as in SQL.
     day = F.lit(0).cast("bigint")
-    side = {"n": (n.filter(F.col("notif_date").isNotNull() & F.col("order_no").isNotNull()
+    side = {"n": (n.filter(F.col("notif_date").isNotNull() & not_blank("order_no")
                            & F.col("criticality").isin(LEAD_CRITICALITIES) & F.col("notif_type").isin(LEAD_TYPES))
                   .groupBy("order_no", F.col("notif_date").alias("date"), "notif_type", "criticality")
                   .agg(F.count(_one()).alias("n_cnt"))
                   .select("order_no", "date", F.lit(1).alias("side"), "notif_type", "criticality", "n_cnt",
                           day.alias("w_cnt"))),
-            "w": (w.filter(F.col("created_on").isNotNull() & F.col("order_no").isNotNull())
+            "w": (w.filter(F.col("created_on").isNotNull() & not_blank("order_no"))
                   .groupBy("order_no", F.col("created_on").alias("date"))
                   .agg(F.count(_one()).alias("w_cnt"))
                   .select("order_no", "date", F.lit(0).alias("side"), F.lit(None).cast("string").alias("notif_type"),
@@ -150,13 +150,11 @@ def overdue_by_wo_status(n: DataFrame, w: DataFrame, as_of=None) -> DataFrame:
     # duplicates of a hot key, and each table is read once.
     od = (n.filter(F.col("required_end") < as_of_date(as_of)).groupBy("notif_type", "order_no")
           .agg(F.count(_one()).alias("n_cnt")))
-    wk = (w.filter(F.col("order_no").isNotNull()).groupBy("order_no")
-          .agg(*[count_if(cat == c).alias(f"w_{c}") for c in kinds], F.count(_one()).alias("w_rows")))
+    wk = (w.filter(not_blank("order_no")).groupBy("order_no")
+          .agg(*[count_if(cat == c).alias(f"w_{c}") for c in kinds]))
     j = od.join(wk, "order_no", "left")
     blank, cnt = is_blank("order_no"), F.col("n_cnt")
-    # A blank ('') order number equals the blank ones of the work orders and
-    # then appears once for each of them; a NULL one matches nothing.
-    weights = {"no_wo": F.when(blank, cnt * F.coalesce("w_rows", F.lit(1)))}
+    weights = {"no_wo": F.when(blank, cnt)}
     for c in kinds:
         none = F.lit(1 if c == "crtd" else 0)
         weights[c] = F.when(~blank, cnt * F.coalesce(F.col(f"w_{c}"), none))

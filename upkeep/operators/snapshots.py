@@ -32,7 +32,9 @@ def latest_value(df: DataFrame, period_col: str) -> Column:
 
 
 def previous_value(df: DataFrame, period_col: str) -> Column:
-    return df.filter(F.col(period_col) < latest_value(df, period_col)).select(F.max(period_col)).scalar()
+    """The second of the distinct periods, from one aggregate; NULL if there is
+    only one.  A period is a date or a label of one upload, so there are few."""
+    return df.select(F.get(F.sort_array(F.collect_set(period_col), asc=False), F.lit(1))).scalar()
 
 
 def snapshot(df: DataFrame, period_col: str, which: str = "latest") -> DataFrame:

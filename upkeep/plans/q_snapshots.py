@@ -7,51 +7,38 @@ from upkeep.operators import snapshots as S
 from upkeep.plans.registry import register, views
 
 
-def _words(ws):
-    return ", ".join(f"'{w}'" for w in ws)
+def _among(column: str, words) -> str:
+    """Whether the lower-case text of a column is one of some words; NULL counts as blank."""
+    return f"list_contains({list(words)}, lower(coalesce({column}, '')))"
 
 
-def _latest(table, col):
-    return f"{col} = (SELECT max({col}) FROM {table})"
-
-
-def _previous(table, col):
-    return f"{col} = (SELECT max({col}) FROM {table} WHERE {col} < (SELECT max({col}) FROM {table}))"
-
-
-def _lc(c):
-    return f"lower(coalesce({c}, ''))"
+def _aged(table: str, period: str | None) -> str:
+    """The table with the age of each row's period: 1 the latest, 2 the one before."""
+    age = f"CASE WHEN {period} IS NOT NULL THEN dense_rank() OVER (ORDER BY {period} DESC NULLS LAST) END" if period else "1"
+    return f"(SELECT *, {age} AS age FROM {table})"
 
 
 def _sql(sec: S.Section, where: str) -> str:
-    order = ", ".join([f"{c} ASC NULLS LAST" for c in sec.order] + ["id"])
-    conds = []
-    if sec.period:
-        conds.append((_latest if sec.which == "latest" else _previous)(sec.table, sec.period))
-    if where:
-        conds.append(f"({where})")
-    w = ("WHERE " + " AND ".join(conds)) if conds else ""
+    order = ", ".join([f"{c} NULLS LAST" for c in sec.order] + ["id"])
     lim = f" LIMIT {sec.limit}" if sec.limit is not None else ""
-    return f"SELECT id, {', '.join(sec.columns)} FROM {sec.table} {w} ORDER BY {order}{lim}"
+    return (f"SELECT id, {', '.join(sec.columns)} FROM {_aged(sec.table, sec.period)} "
+            f"WHERE age = {2 if sec.which == 'previous' else 1} AND ({where or 'true'}) ORDER BY {order}{lim}")
 
 
 WHERE = {
-    "bad_actor_monitoring": f"{_lc('status')} NOT IN ({_words(S.BAD_ACTOR_CLOSED)})",
-    "icu_monitoring": f"{_lc('icu_status')} NOT IN ({_words(S.ICU_CLOSED)})",
-    "paf": f"{_lc('color')} IN ({_words(S.PAF_ALERT_COLOURS)})",
-    "power_stream": f"{_lc('status_operation')} NOT IN ({_words(S.POWER_OK)})",
-    "critical_eqp_utl": "trim(coalesce(highlight_issue, '')) != ''",
-    "monitoring_operasi": "trim(coalesce(limitasi_alert_process, '')) != '' OR (actual IS NOT NULL AND "
-                          "target_sts IS NOT NULL AND actual < target_sts)",
-    "zero_clamp": "tanggal_dilepas IS NULL OR trim(coalesce(tanggal_dilepas, '')) = ''",
-    "readiness_tank": f"{_lc('status_operational')} NOT IN ({_words(S.TANK_OK)})",
-    "readiness_spm": f"{_lc('status_operation')} NOT IN ({_words(S.SPM_OK)})",
-    "atg_monitoring": f"{_lc('status_atg')} NOT IN ({_words(S.ATG_OK)}) OR "
-                      f"{_lc('status_interkoneksi_atg')} NOT IN ({_words(S.ATG_LINK_OK)})",
+    "bad_actor_monitoring": f"NOT {_among('status', S.BAD_ACTOR_CLOSED)}",
+    "icu_monitoring": f"NOT {_among('icu_status', S.ICU_CLOSED)}",
+    "paf": _among("color", S.PAF_ALERT_COLOURS),
+    "power_stream": f"NOT {_among('status_operation', S.POWER_OK)}",
+    "critical_eqp_utl": "length(trim(highlight_issue)) > 0",
+    "monitoring_operasi": "length(trim(limitasi_alert_process)) > 0 OR actual < target_sts",
+    "zero_clamp": "coalesce(length(trim(tanggal_dilepas)), 0) = 0",
+    "readiness_tank": f"NOT {_among('status_operational', S.TANK_OK)}",
+    "readiness_spm": f"NOT {_among('status_operation', S.SPM_OK)}",
+    "atg_monitoring": f"NOT ({_among('status_atg', S.ATG_OK)} AND {_among('status_interkoneksi_atg', S.ATG_LINK_OK)})",
 }
-JETTY_WEEKLY = (f"{_lc('status_operation')} NOT IN ({_words(S.JETTY_OPERATION_OK)}) OR "
-                f"{_lc('status_tuks')} NOT IN ({_words(S.JETTY_TUKS_OK)})")
-JETTY_MONTHLY = f"{_lc('status_operation')} NOT IN ({_words(S.JETTY_OPERATION_OK)})"
+JETTY_MONTHLY = f"NOT {_among('status_operation', S.JETTY_OPERATION_OK)}"
+JETTY_WEEKLY = f"{JETTY_MONTHLY} OR NOT {_among('status_tuks', S.JETTY_TUKS_OK)}"
 
 # key -> (cadence, section name, where text)
 KEYS = {
@@ -89,15 +76,10 @@ for _k, (_c, _n, _w) in KEYS.items():
 
 
 @register("bad_actor_trend", f"""
-WITH cur AS (SELECT DISTINCT tag_number FROM bad_actor_monitoring
-             WHERE {_latest('bad_actor_monitoring', 'periode')} AND {WHERE['bad_actor_monitoring']}
-               AND tag_number IS NOT NULL),
-     prev AS (SELECT DISTINCT tag_number FROM bad_actor_monitoring
-              WHERE {_previous('bad_actor_monitoring', 'periode')} AND tag_number IS NOT NULL)
-SELECT tag_number, 'recurring' AS trend FROM cur WHERE tag_number IN (SELECT tag_number FROM prev)
-UNION ALL
-SELECT tag_number, 'new' AS trend FROM cur WHERE tag_number NOT IN (SELECT tag_number FROM prev)
-ORDER BY trend, tag_number""")
+SELECT tag_number, if(bool_or(age = 2), 'recurring', 'new') AS trend
+FROM {_aged("bad_actor_monitoring", "periode")}
+WHERE tag_number IS NOT NULL AND age <= 2
+GROUP BY tag_number HAVING bool_or(age = 1 AND {WHERE['bad_actor_monitoring']})""")
 def q_bad_actor_trend(spark, sf):
     (t,) = views(spark, sf, "bad_actor_monitoring")
     cur = S.snapshot(t, "periode", "latest").filter(S.not_in("status", S.BAD_ACTOR_CLOSED))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from upkeep.operators import worklists as W
+from upkeep.plans.q_analytics import FLAGGED
 from upkeep.plans.registry import register, views
 from upkeep.sources.fixtures import AS_OF
 
@@ -14,8 +15,8 @@ def _cols(cols):
 
 
 @register("ct_backlog", f"""
-SELECT id, {_cols(W.BACKLOG_COLS)} FROM notifications
-WHERE (order_no IS NULL OR order_no = '') AND system_status ILIKE '%OSNO%'
+WITH {FLAGGED}
+SELECT id, {_cols(W.BACKLOG_COLS)} FROM nt WHERE NOT ordered AND contains(lower(system_status), 'osno')
 ORDER BY required_end ASC NULLS LAST, id LIMIT 50""")
 def q_ct_backlog(spark, sf):
     (n,) = views(spark, sf, "notifications")
@@ -23,8 +24,8 @@ def q_ct_backlog(spark, sf):
 
 
 @register("ct_overdue_notif", f"""
-SELECT id, {_cols(W.OVERDUE_NOTIF_COLS)} FROM notifications
-WHERE (order_no IS NULL OR order_no = '') AND required_end < {D}
+WITH {FLAGGED}
+SELECT id, {_cols(W.OVERDUE_NOTIF_COLS)} FROM nt WHERE NOT ordered AND date_diff('day', required_end, {D}) > 0
 ORDER BY required_end ASC NULLS LAST, id LIMIT 30""")
 def q_ct_overdue_notif(spark, sf):
     (n,) = views(spark, sf, "notifications")
@@ -32,8 +33,8 @@ def q_ct_overdue_notif(spark, sf):
 
 
 @register("ct_stagnant", f"""
-SELECT id, {_cols(W.STAGNANT_COLS)} FROM work_orders
-WHERE system_status ILIKE '%REL%' AND actual_finish IS NULL
+WITH {FLAGGED}
+SELECT id, {_cols(W.STAGNANT_COLS)} FROM wo WHERE rel AND actual_finish IS NULL
 ORDER BY basic_fin_date ASC NULLS LAST, id LIMIT 50""")
 def q_ct_stagnant(spark, sf):
     (w,) = views(spark, sf, "work_orders")
@@ -41,8 +42,8 @@ def q_ct_stagnant(spark, sf):
 
 
 @register("ct_overdue_wo", f"""
-SELECT id, {_cols(W.OVERDUE_WO_COLS)} FROM work_orders
-WHERE basic_fin_date < {D} AND system_status NOT ILIKE '%TECO%' AND system_status NOT ILIKE '%CLSD%'
+WITH {FLAGGED}
+SELECT id, {_cols(W.OVERDUE_WO_COLS)} FROM wo WHERE date_diff('day', basic_fin_date, {D}) > 0 AND system_status IS NOT NULL AND NOT (teco OR clsd)
 ORDER BY basic_fin_date ASC NULLS LAST, id LIMIT 30""")
 def q_ct_overdue_wo(spark, sf):
     (w,) = views(spark, sf, "work_orders")
@@ -50,8 +51,8 @@ def q_ct_overdue_wo(spark, sf):
 
 
 @register("ct_pending_release", f"""
-SELECT id, {_cols(W.PENDING_COLS)} FROM work_orders
-WHERE system_status ILIKE '%CRTD%' AND system_status NOT ILIKE '%REL%'
+WITH {FLAGGED}
+SELECT id, {_cols(W.PENDING_COLS)} FROM wo WHERE crtd AND NOT rel
 ORDER BY bas_start_date ASC NULLS LAST, id LIMIT 20""")
 def q_ct_pending(spark, sf):
     (w,) = views(spark, sf, "work_orders")
@@ -59,8 +60,8 @@ def q_ct_pending(spark, sf):
 
 
 @register("ct_teco_no_finish", f"""
-SELECT id, {_cols(W.TECO_NO_FINISH_COLS)} FROM work_orders
-WHERE system_status ILIKE '%TECO%' AND actual_finish IS NULL
+WITH {FLAGGED}
+SELECT id, {_cols(W.TECO_NO_FINISH_COLS)} FROM wo WHERE teco AND actual_finish IS NULL
 ORDER BY basic_fin_date ASC NULLS LAST, id""")
 def q_ct_teco(spark, sf):
     (w,) = views(spark, sf, "work_orders")

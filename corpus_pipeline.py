@@ -14,14 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from upkeep.llm import jaccard, langid, packing, pii, quality
 from upkeep.llm.common import load, shared_table
 
-# A text in one learned language scores far above this; a text without letters
-# or split evenly between languages does not.
-MIN_LANGUAGE_SCORE = 0.4
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; the others go."""
-    return langid.accepted(docs, MIN_LANGUAGE_SCORE)
+    return langid.accepted(docs)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_pages(spark):
 
 def test_text_rewriting_stages_keep_columns(spark):
     docs = frame(spark, ROWS)
-    for out in (langid.accepted(docs, 0.0, MODEL), quality.accepted(docs), jaccard.deduplicated(docs), pii.mask_pii(docs)):
+    for out in (langid.accepted(docs, model=MODEL), quality.accepted(docs), jaccard.deduplicated(docs), pii.mask_pii(docs)):
         assert out.columns == docs.columns
         assert out.count() >= 0
     assert jaccard.deduplicated(docs).where("doc_id in (1, 2)").count() == 1

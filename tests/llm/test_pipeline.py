@@ -53,3 +53,15 @@ def test_queries_have_the_contract_columns(spark):
         assert set(columns) <= set(out.columns), name
         table = "pages" if name == "op1_html" else "documents"
         assert out.count() == spark.read.parquet(f"{SF_SMALL}/{table}.parquet").count(), name
+
+
+def test_oracles(spark):
+    """The SQL twins agree on the small tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    for name, sql in queries.oracle_sql().items():
+        out = queries.queries()[name](spark, SF_SMALL)
+        got = sorted(tuple(r) for r in out.collect())
+        assert got == sorted(con.sql(f"SELECT {', '.join(out.columns)} FROM ({sql})").fetchall()), name

@@ -32,14 +32,15 @@ from upkeep.llm.common import map_arrow, slices
 
 UND = "und"
 WINDOW = 96
-HIDDEN = 8
-SAMPLE_WINDOWS = 8000
+HIDDEN = 12
+SAMPLE_WINDOWS = 12_000
 MOST_WINDOWS = 16   # of one document, in small tables
-EPOCHS = 5
+EPOCHS = 6
 BATCH = 200
 LEAST_STEPS = 200   # small samples get more epochs
 RATE = 0.02
 SEED = 3
+OVER_CHANCE = 1.05
 WIDE = 2048         # windows of one inference step
 
 
@@ -284,10 +285,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     "lang_pred", "score"))
 
 
-def accepted(docs: DataFrame, min_score: float, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a learned
-    language with a score of ``min_score`` at least."""
+def accepted(docs: DataFrame, over_chance: float = OVER_CHANCE, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a letter and
+    a language: a score of ``over_chance`` times one over the number of
+    languages at least.  A text in two languages scores far above that."""
     model = model or fit(docs)
+    min_score = over_chance / max(1, len(model.langs))
     at = docs.columns.index("text")
     letter = "__llm_letter"
 

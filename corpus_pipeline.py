@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from upkeep.llm import jaccard, langid, packing, pii, quality
-from upkeep.llm.common import load, shared_table
+from upkeep.llm.common import drop_shared, load, shared_table
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; the others go."""
@@ -55,5 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_shared(docs)
+        docs = done
     return docs

@@ -46,12 +46,24 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows neither recomputes ``df`` nor depends on
-    the executors that made it.
+    the executors that made it.  ``drop_shared`` deletes it once nothing
+    unwritten depends on it any more.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete tables that ``shared_table`` wrote (others are left alone)."""
+    for table in tables:
+        if path := getattr(table, "_shared_path", None):
+            sc = table.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hash_sample(docs: DataFrame, n: int, key: str = "doc_id", salt: int = 0) -> DataFrame:

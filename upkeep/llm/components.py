@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import shared_table
+from upkeep.llm.common import drop_shared, shared_table
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jumped = near.join(up, near.comp == up["at"]).select("node", F.col("above").alias("comp"))
         new = shared_table(jumped, "labels")
         old = labels.select("node", F.col("comp").alias("before"))
-        if new.join(old, "node").where("comp <> before").isEmpty():
+        done = new.join(old, "node").where("comp <> before").isEmpty()
+        drop_shared(labels, near)
+        if done:
+            drop_shared(both)
             return new
         labels = new

@@ -42,15 +42,13 @@ LINK_SHARE = 0.4
 
 # Frequent function words of the languages the rules know.
 STOP_WORDS = frozenset((
-    "a about after all an and are as at be been but by can for from had has have he her his i if in into is it its "
-    "more no not of on one or our she so than that the their there they this to up was we were which who will with "
-    "you your "
-    "aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im "
-    "ist kann mit nach nicht noch nur oder sich sie sind so um und von vor war was wenn wie wird zu zum zur über "
-    "al como con de del el ella en entre era es esta este fue ha hay la las le lo los mas más me mi muy no o para pero "
-    "por que qué se sin sobre son su sus también un una uno y ya "
-    "au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui mais ne nous on ou où "
-    "par pas plus pour qu que qui sa se ses son sont sur un une vous à été").split())
+    "a all an and are as at be but by for from had has have he his i in is it its not of on one or she that the their "
+    "they this to was we were which with you "
+    "aber als auch auf aus bei das dass dem den der des die ein eine einen er es für ich im ist mit nach nicht oder "
+    "sich sie sind um und von war wie wird zu zur "
+    "al como con del el en es esta este ha la las lo los más no para pero por que se son su sus un una y "
+    "au aux avec ce ces dans de du elle est et il ils je le les mais ne nous ou par pas plus pour qui sa ses sont sur "
+    "une vous à").split())
 
 RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object",
                  "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"])

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import map_arrow, shared_table, ship, slices
+from upkeep.llm.common import drop_shared, map_arrow, shared_table, slices
 from upkeep.llm.components import connected_components
 from upkeep.llm.words import U64, mix, run_hashes, word_hashes
 
@@ -232,7 +232,8 @@ def join_classes(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(N_HASHES // BAND - 1)),
         lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))).alias("band"))
     least = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    edges = (bands.join(shared_table(least, "buckets"), "band").where("rep > low")
+    buckets = shared_table(least, "buckets")
+    edges = (bands.join(buckets, "band").where("rep > low")
                   .select(F.col("rep").alias("u"), F.col("low").alias("v")))
     comps = connected_components(edges)
 
@@ -257,6 +258,7 @@ def join_classes(docs: DataFrame) -> DataFrame:
                .select(F.col("set_key").alias("key"), F.col("rep").alias("copy_id"),
                        F.coalesce("comp", "rep").alias("class_id"),
                        (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links")), "named")
+    drop_shared(classes, reps, buckets, comps, members, blocks, verified, linked)
     with_words = (usable.join(named, usable.set_key == named.key)
                         .select("doc_id", "class_id", "copy_id", "n_links"))
     without = (sigs.where("doc_id is null or set_key is null")

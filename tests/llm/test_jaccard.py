@@ -79,3 +79,11 @@ def test_components_by_union(spark):
     got = dict(components.connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect())
     assert got == {**{a: 100 for a in range(100, 141)}, 1: 1, 2: 1, 3: 1, 9: 1, 60: 60, 61: 60, 7: 7, 300: 7}
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_rows_that_reuse_a_doc_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "c d e f g h"), (1, a)]
+    out = {(r["doc_id"], r["class_id"]) for r in jaccard.join_classes(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}

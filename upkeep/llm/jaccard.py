@@ -169,9 +169,10 @@ def _root(parent: list[int], x: int) -> int:
 
 def _job(group: pd.DataFrame) -> Iterator[tuple[int, int, int]]:
     """One pair of blocks: (class, documents linked, smaller class of a link)."""
-    group = group.drop_duplicates(["rep", "set_key"]).reset_index(drop=True)
     sets = shingle_sets([(x or "").encode() for x in group["text"]])
-    right = [set_key(x) == k for x, k in zip(sets, group["set_key"])]
+    # A doc_id may stand on several rows: one of those with the class's text counts.
+    right = np.array([set_key(x) == k for x, k in zip(sets, group["set_key"])], bool)
+    right &= ~group["set_key"].where(right).duplicated().to_numpy()
     group, sets = group[right].reset_index(drop=True), [x for x, ok in zip(sets, right) if ok]
     same = group["bi"].iat[0] == group["bj"].iat[0] if len(group) else True
     first = np.flatnonzero(group["block"] == group["bi"])
@@ -239,9 +240,10 @@ def join_classes(docs: DataFrame) -> DataFrame:
 
     members = shared_table(reps.join(comps, reps.rep == comps.node).drop("node"), "members")
     blocks = shared_table(
-        members.groupBy("comp").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n_blocks")), "blocks")
+        members.groupBy("comp").agg(F.sum("n_shingles").alias("total"),
+                                    F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n_blocks")), "blocks")
     each = F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)
-    dealt = (members.join(blocks, "comp")
+    dealt = (members.join(blocks.drop("total"), "comp")
              .withColumn("block", F.pmod(F.xxhash64("rep", "set_key"), "n_blocks"))
              .withColumn("with", F.explode(each))
              .select("comp", "block", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"),
@@ -249,7 +251,7 @@ def join_classes(docs: DataFrame) -> DataFrame:
     jobs = dealt.join(docs, dealt.rep == docs.doc_id).drop("doc_id")
     # Several small jobs share a group; one job is two blocks of bounded size.
     verified = shared_table(
-        jobs.groupBy(F.pmod(F.xxhash64("comp", "bi", "bj"), F.lit(_groups(members))).alias("g"))
+        jobs.groupBy(F.pmod(F.xxhash64("comp", "bi", "bj"), F.lit(_groups(blocks))).alias("g"))
             .applyInPandas(_jobs, "rep bigint, links bigint, root bigint"), "verified")
     linked = connected_components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = verified.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -276,7 +278,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return kept.unionByName(docs.where("doc_id is null"))
 
 
-def _groups(members: DataFrame) -> int:
-    """Number of job groups: one for each two blocks' worth of shingles."""
-    total = members.agg(F.sum("n_shingles")).first()[0] or 0
-    return int(max(64, 2 * total // BLOCK_SHINGLES))
+def _groups(blocks: DataFrame) -> int:
+    """Number of job groups: one for each two blocks' worth of dealt shingles."""
+    dealt = blocks.agg(F.sum(F.col("n_blocks") * F.col("total"))).first()[0] or 0
+    return int(max(64, dealt // (2 * BLOCK_SHINGLES)))

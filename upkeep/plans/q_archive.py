@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from upkeep.operators import analytics as A
@@ -10,11 +12,26 @@ from upkeep.operators import packs as P
 from upkeep.operators import worklists as W
 from upkeep.plans import q_analytics, q_worklists  # noqa: F401  (raw SQL of pack sections)
 from upkeep.plans.registry import REGISTRY, register, views
+from upkeep.session import ensure_checkpoint_dir
 from upkeep.sources.fixtures import AS_OF
 
 SEP = "'\n\n" + "=" * 60 + "\n\n'"
 
 
+@register("artifact_append", """
+SELECT type, count(*) AS n, max(id) AS last_id FROM (
+  SELECT id, type FROM reports UNION ALL SELECT 9000001, 'daily') GROUP BY type""")
+def q_artifact_append(spark, sf):
+    """The archive with one generated artifact appended, read back."""
+    (r,) = views(spark, sf, "reports")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    rows = r.select("id", "type", "content", "created_at")
+    rows.write.parquet(path)
+    R.append_artifact(spark, path, {"id": 9_000_001, "type": "daily", "content": "text", "created_at": None}, rows.schema)
+    return (spark.read.parquet(path).groupBy("type")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id")))
+
+
 @register("reports_list", """
 SELECT id, type, left(content, 200) AS preview, created_at FROM reports
 ORDER BY created_at DESC, id DESC LIMIT 100""")
@@ -145,3 +162,10 @@ def q_pack_json(spark, sf):
 
 def _order(key):
     return next(order for _, k, order, _ in _PACK if k == key)()
+
+
+@register("reports_local_stamp", """
+SELECT id, strftime(created_at + INTERVAL 7 HOUR, '%d %b %Y %H.%M') AS stamp FROM reports""")
+def q_reports_local_stamp(spark, sf):
+    (r,) = views(spark, sf, "reports")
+    return r.select("id", R.local_stamp(F.col("created_at")).alias("stamp"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from upkeep.functions.cleaners import clean_date, clean_number, clean_string
 from upkeep.plans.registry import register, views
+from upkeep.session import ensure_checkpoint_dir
 from upkeep.sources import ingest as I
 from upkeep.sources.exports import LAYOUTS, header_position
 from upkeep.sources.raw_exports import RAW_LAYOUTS, raw_export
@@ -147,6 +149,33 @@ def q_ingest_summary(spark, sf):
     return outcomes
 
 
+@register("ingest_modes", f"""
+WITH t AS ({typed_select("notifications")}), steps(step, upload_batch, part) AS (VALUES
+  ('append', 'B1', 'all'), ('append', 'B2', 'all'), ('replace', 'B3', 'M1'), ('delete', 'B3', 'M1'))
+SELECT step, steps.upload_batch, count(*) AS rows
+FROM steps JOIN t ON part = 'all' OR notif_type = part GROUP BY ALL""")
+def q_ingest_modes(spark, sf):
+    """Two appends, a replace, a further append that is deleted again: the rows
+    of each batch after each step, read back from the written table."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-modes-{uuid.uuid4().hex}"
+    raw, path, seen = raw_export(spark, sf, "notifications"), f"{root}/notifications", []
+
+    def look(step):
+        seen.extend((step, r["upload_batch"], r["rows"]) for r in spark.read.parquet(path).groupBy("upload_batch").agg(
+            F.count(F.lit(1)).alias("rows")).collect())
+
+    for batch in ("B1", "B2"):
+        I.write_tables({"notification": I.clean_export(raw, batch, STAMP)}, root, "append")
+    look("append")
+    some = I.clean_export(raw, "B3", STAMP).where("notif_type = 'M1'")
+    I.write_tables({"notification": some}, root, "replace")
+    look("replace")
+    I.write_tables({"notification": I.clean_export(raw, "B4", STAMP)}, root, "append")
+    I.delete_batch_files(spark, path, "B4")
+    look("delete")
+    return spark.createDataFrame(seen, "step string, upload_batch string, rows bigint")
+
+
 @register("delete_batch", """
 SELECT * FROM notifications WHERE upload_batch IS NULL OR upload_batch <> 'B1'""")
 def q_delete_batch(spark, sf):

@@ -109,7 +109,7 @@ def _placed(pattern: str, kind: str, keep: str) -> str:
 def secrets_sql() -> str:
     q = secret_scan
     quoted = {p: p.replace("'", "''") for p in (q.ASSIGN, q.ACCESS, q.HEX, q.WORD)}
-    pick = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) * (SELECT count(*) FROM documents)"
+    pick = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT)"
     plain = "text"
     for p in (q.ASSIGN, q.ACCESS, q.HEX):
         plain = f"regexp_replace({plain}, '{quoted[p]}', ' ', 'g')"
@@ -128,10 +128,10 @@ WITH doc AS (
 ), random_token AS (
   SELECT unnest(list_filter(regexp_extract_all(text, '{quoted[q.ASSIGN]}', 2), lambda x: length(x) >= {q.ASSIGN_CHARS})
                 || regexp_extract_all(text, '{q.ACCESS}') || regexp_extract_all(text, '{q.HEX}')) AS t
-  FROM doc WHERE pick < {q.SAMPLE_RANDOM} * (1::BIGINT << 28)
+  FROM doc WHERE pick < {q.SAMPLE_RANDOM * (1 << 28)}::DOUBLE / (SELECT count(*) FROM documents)
 ), ordinary_token AS (
   SELECT unnest(regexp_extract_all({plain}, '{quoted[q.WORD]}')) AS t
-  FROM doc WHERE pick < {q.SAMPLE_ORDINARY} * (1::BIGINT << 28)
+  FROM doc WHERE pick < {q.SAMPLE_ORDINARY * (1 << 28)}::DOUBLE / (SELECT count(*) FROM documents)
 ), random_model AS ({model.format(tokens="random_token", **parts)}
 ), ordinary_model AS ({model.format(tokens="ordinary_token", **parts)}
 ), base AS ({_placed(q.ASSIGN, "assign", f"length(v[i]) >= {q.ASSIGN_CHARS}")}

@@ -91,7 +91,7 @@ def _codes(token: Column) -> Column:
 def _sample(docs: DataFrame, n: int, total: int) -> DataFrame:
     """About ``n`` documents by the MD5 of their doc_id, never more than twice that."""
     pick = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 7), 16, 10).cast("bigint")
-    return docs.where(pick * total < n * (1 << 28)).limit(2 * n)
+    return docs.where(pick < F.lit(float(n * (1 << 28) / max(1, total)))).limit(2 * n)
 
 
 def _transitions(tokens: DataFrame) -> dict[tuple[int, int], int]:

@@ -46,7 +46,11 @@ def clean_date(c: Column, source_type: T.DataType | None = None,
     if fmt == EXPORT_DATE_FORMAT:
         # The whole cell must be an ISO date, with a time part or without; the
         # plain cast alone would also take "2024", "2024-5" or trailing text.
-        return F.when(text.rlike(ISO_CELL), F.substring(text, 1, 10).try_cast("date"))
+        # A bare date, the usual cell, is tested without a regular expression.
+        bare = ((F.length(text) == 10) & (text >= F.lit("0")) & (F.substring(text, 5, 1) == "-")
+                & (F.substring(text, 8, 1) == "-"))
+        return F.when(bare, text.try_cast("date")).when(
+            (F.length(text) > 10) & text.rlike(ISO_CELL), F.substring(text, 1, 10).try_cast("date"))
     return F.try_to_date(text, fmt)
 
 

@@ -34,6 +34,18 @@ def test_a_common_line_is_removed_and_copies_are_not(spark):
     assert out[300]["removed_words"] == 0
 
 
+def test_two_long_shared_lines_are_removed(spark):
+    notice = "Legal notice " + " ".join(f"n{i}" for i in range(40))
+    footer = "Footer of the page " + " ".join(f"f{i}" for i in range(30))
+    rows = [(d, f"Page {d}\n{notice}\n{footer}", "h") for d in range(30)]              # hardly any text of their own
+    rows += [(100, f"{notice}\n" + " ".join(f"w{i}" for i in range(90)), "h")]
+    out = {r["doc_id"]: r for r in quality.quality(
+        spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert all(out[d]["removed_words"] == 76 and not out[d]["kept"] for d in range(30))
+    assert not any(out[d]["base_failed"] for d in range(30))
+    assert out[100]["removed_words"] == 42 and out[100]["kept"]
+
+
 def test_figures(spark):
     rows = [(1, "a# b\n a# b\na# b\n\n é", "s")]
     r = quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).first()

@@ -7,10 +7,9 @@ the host's limit are removed, and a document that loses too many of its words
 is rejected.
 
 What counts as one document.  A line that recurs because its whole document
-was copied or slightly edited is not boilerplate, so a holder of a line is
-identified by the longest *other* line of that document: all copies of a
-document, and near copies whose edits are elsewhere, count once.  A text of a
-single line has no other line; all such holders of a line count once.
+was copied is not boilerplate, so a holder of a line is identified by its whole
+text: exact copies count once, in the number of holders and in the number of
+texts of the host alike.  An edited copy is a document of its own.
 
 The limit of a host is ``max(min_docs, share * distinct texts of the host)``.
 
@@ -43,7 +42,7 @@ SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 NO_SOURCE = "\0none"     # stands for a null source
 
-_LINES = "array<struct<line:bigint,words:int,other:bigint>>"
+_LINES = "array<struct<line:bigint,words:int>>"
 _RULES = ("doc_id bigint, source string, text_key bigint, n_words bigint, word_chars bigint, n_symbols bigint, "
           f"n_dup_lines bigint, n_repeat_words bigint, lines {_LINES}")
 
@@ -58,17 +57,13 @@ def normalise(line: bytes) -> bytes:
 
 
 def line_entries(data: bytes) -> list[dict]:
-    """The distinct normalised lines with words: hash, words over all their
-    occurrences, and the hash of the longest other distinct line (ties: the
-    smallest in byte order; 0 if there is none)."""
+    """The distinct normalised lines with words: hash, and words over all
+    their occurrences."""
     words: dict[bytes, int] = {}
     for line in data.split(b"\n"):
         if norm := normalise(line):
             words[norm] = words.get(norm, 0) + norm.count(b" ") + 1
-    longest = sorted(words, key=lambda x: (-len(x), x))[:2]
-    return [{"line": _key(x), "words": n,
-             "other": 0 if len(longest) < 2 else _key(longest[x == longest[0]])}
-            for x, n in words.items()]
+    return [{"line": _key(x), "words": n} for x, n in words.items()]
 
 
 def repeated_words(hashes: np.ndarray, counts: np.ndarray, n: int = WINDOW) -> list[int]:
@@ -114,7 +109,7 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(cols["dups"], pa.int64()),
                 pa.array(repeated_words(hashes, counts), pa.int64()),
                 pa.array(cols["lines"], pa.list_(pa.struct(
-                    [("line", pa.int64()), ("words", pa.int32()), ("other", pa.int64())])))],
+                    [("line", pa.int64()), ("words", pa.int32())])))],
                 ["doc_id", "source", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                  "n_repeat_words", "lines"])
 
@@ -136,7 +131,7 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words,
     base_failed, kept``, one row per row.
     The figures and line hashes of each text are made in one pass and staged
-    (hashes only, no text).  Counting groups by (host, line, holder) first, so
+    (hashes only, no text).  Counting groups by (host, line, text) first, so
     a line in a third of all documents is combined before each shuffle; the
     removed lines are matched to documents by a join that adaptive execution
     broadcasts or splits by measured size.
@@ -144,10 +139,11 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"),
                         "text", text_key().alias("text_key"))
     rows = shared_table(map_arrow(texts, _rules, _RULES).withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = rows.select("row", "source", F.explode("lines").alias("x")).select("row", "source", "x.*")
+    lines = (rows.select("row", "source", "text_key", F.explode("lines").alias("x"))
+                 .select("row", "source", "text_key", "x.*"))
     hosts = (rows.select("source", "text_key").distinct().groupBy("source")
                  .agg(F.count("*").alias("n_texts")))
-    frequent = (lines.groupBy("source", "line", "other").agg(F.lit(1).alias("one"))
+    frequent = (lines.groupBy("source", "line", "text_key").agg(F.lit(1).alias("one"))
                      .groupBy("source", "line").agg(F.count("*").alias("n_docs"))
                      .where(F.col("n_docs") > min_docs)
                      .join(hosts, "source")

@@ -40,3 +40,28 @@ def test_spans_survive_lower_casing_that_changes_lengths():
     text = "İİİ words. Released under the MIT License."
     _, found = SCANNER.scan(text)
     assert text[found[0]["start"]:found[0]["end"]] == "Released under the MIT License."
+
+
+def names(text):
+    return [f["license"] for f in SCANNER.scan(text)[1]]
+
+
+def test_every_notice_of_a_block_is_found():
+    third_party = "\n".join(f"{lib} copyright 20{10 + i} {lib} authors. {notice}" for i, (lib, notice) in enumerate([
+        ("alpha", "Released under the MIT License."), ("beta", "Licensed under the Apache License, Version 2.0."),
+        ("gamma", "Released under the MIT License."), ("delta", "Licensed under the BSD 3-Clause License."),
+        ("epsilon", "Licensed under CC BY 4.0."), ("zeta", "Licensed under the Mozilla Public License, Version 2.0.")]))
+    assert names(third_party) == ["MIT", "Apache-2.0", "MIT", "BSD-3-Clause", "CC-BY-4.0", "MPL-2.0"]
+    assert names("Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.") == ["Apache-2.0", "MIT"]
+    assert names("licensed under the Apache License, Version 2.0, or released under the MIT License") == ["Apache-2.0", "MIT"]
+
+
+def test_titles_of_pasted_bodies():
+    end = ("\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and "
+           "distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n  Preamble\n")
+    assert names(f"  GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007{end}") == ["GPL-3.0"]
+    assert names(f"  GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007{end}") == ["LGPL-3.0"]
+    assert names(f"  GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007{end}") == ["AGPL-3.0"]
+    assert names("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser "
+                 "General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, "
+                 "or (at your option) any later version.") == ["LGPL-2.1-or-later"]

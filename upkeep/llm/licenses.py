@@ -1,13 +1,20 @@
 """License scan by conditional compression (operator 2).
 
 Candidate blocks are runs of sentences of one paragraph (lines without a blank
-line between) that hold license words.  A block is compressed alone and with
-each license template as a zstandard raw dictionary; templates are ranked by
-the reduction in size.  The best ones are then confirmed by exact wording: the
-words of the template are aligned with the block, and the template wins only
-if its distinguishing words (names, numbers, clauses) all stand in the block in
-order and the share of its other words that differ is at most
-``MOST_DIFFERENT``.  What differs is part of the result.
+line between) that hold license words.  A block is read in windows: sentences in a
+row that start inside it and may go on behind it by the length of a template.
+A window is compressed alone and with each license template as a zstandard raw
+dictionary; templates are ranked by the reduction in size, as a share of the
+window's or the template's own compressed size, whichever is less.  The best
+ones are then confirmed by exact wording: the words of the template are aligned
+with the window, and the template wins only if its distinguishing words (names,
+numbers, clauses) all stand in the window in order and the share of its other
+words that differ is at most ``MOST_DIFFERENT``.  What differs is part of the
+result.  Of windows that overlap the one with the most words of its template
+stands; what it holds before and after its template is scanned again, so a
+block yields each of its licenses.
+
+A pasted license body is known by its title paragraph.
 
 Defined cases: a null text is an empty one; a null doc_id is kept; repeated
 rows are each scanned; an empty table gives an empty result; texts are never
@@ -19,6 +26,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -101,6 +109,43 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("CC-BY-NC-SA-4.0", "CC BY NC SA 4 0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-ND-4.0", "CC BY ND 4 0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-ND-4.0", "CC BY NC ND 4 0", "Licensed under CC BY-NC-ND 4.0."),
+    ("LGPL-3.0-or-later", "GNU lesser general public license 3 or later",
+     "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+     "option) any later version."),
+    ("LGPL-2.1-or-later", "GNU lesser general public license 2 1 or later",
+     "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your "
+     "option) any later version."),
+    ("AGPL-3.0-or-later", "GNU affero general public license 3 or later",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+     "option) any later version."),
+    ("GPL-3.0", "GNU general public license version 3 29 june 2007",
+     "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is "
+     "permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("LGPL-3.0", "GNU lesser general public license version 3 29 june 2007",
+     "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. "
+     "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not "
+     "allowed."),
+    ("AGPL-3.0", "GNU affero general public license version 3 19 november 2007",
+     "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. "
+     "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not "
+     "allowed."),
+    ("GPL-2.0", "GNU general public license version 2 june 1991",
+     "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc., 51 "
+     "Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute verbatim "
+     "copies of this license document, but changing it is not allowed."),
+    ("LGPL-2.1", "GNU lesser general public license version 2 1 february 1999",
+     "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, "
+     "Inc. 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA Everyone is permitted to copy and distribute "
+     "verbatim copies of this license document, but changing it is not allowed."),
+    ("Apache-2.0", "Apache license version 2 0 january 2004 terms conditions",
+     "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+     "REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla public license version 2 0 definitions contributor",
+     "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity "
+     "that creates, contributes to the creation of, or owns Covered Software."),
     ("Unlicense", "free unencumbered software released public domain",
      "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "all rights reserved", "All rights reserved."),
@@ -123,14 +168,29 @@ def words_of(text: str) -> list[str]:
             "version" if w == "v" and i + 1 < len(out) and out[i + 1].isdigit() else w for i, w in enumerate(out)]
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that places stay."""
+    low = text.lower()
+    # Lower-casing may change lengths; spans then come from the text itself.
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def sentences(text: str, start: int, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Start and end of the sentences and lines with words, from ``start`` on."""
+    done, end = start, len(text) if end is None else end
+    for m in chain(_SENTENCE.finditer(text, start, end), [None]):
+        s, e = done, m.start() if m else end
+        done = m.end() if m else end
+        if text[s:e].strip():
+            yield s, e
+
+
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
     """Start and end of every run of sentences with license words."""
     low = text.lower()
     if not any(c in low for c in CUES):
         return []
-    # Lower-casing may change lengths; spans then come from the text itself.
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    low = lowered(text)
     out, run, done = [], None, 0
     edges = {m.start() for m in _BLANK.finditer(text)}
     for m in [*_SENTENCE.finditer(text), None]:
@@ -152,23 +212,31 @@ class Scanner:
 
     def __init__(self) -> None:
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        self.models = []
+        self.models, self.sizes = [], []
         for name, must, wording in TEMPLATES:
             data = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.models.append((name, words_of(must), words_of(wording), zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)))
+            self.sizes.append(len(self.alone.compress(wording.encode())))
+        self.most_words = int((1 + MOST_DIFFERENT) * max(len(m[2]) for m in self.models)) + 1
 
     def reductions(self, block: str) -> list[tuple[float, int]]:
-        """Share of the compressed size that each template saves, best first
-        (ties: as listed)."""
+        """Share of the compressed size (of the block or the template, the
+        lesser one) that each template saves whose distinguishing words stand
+        in the block, best first (ties: as listed)."""
+        have = set(words_of(block))
+        models = [i for i, m in enumerate(self.models) if have.issuperset(m[1])]
+        if not models:
+            return []
         data = block.encode()
         size = len(self.alone.compress(data))
-        return sorted(((1 - len(m[3].compress(data)) / size, i) for i, m in enumerate(self.models)),
+        return sorted((((size - len(self.models[i][3].compress(data))) / min(size, self.sizes[i]), i) for i in models),
                       key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, model: int) -> tuple[list[str], list[str], float] | None:
+    def differences(self, block: str, model: int) -> tuple[list[str], list[str], float, int, int] | None:
         """Words that the block lacks and adds inside the template's wording,
-        and their share; None if a distinguishing word is missing."""
+        their share, and the first and last word of the block that it takes;
+        None if a distinguishing word is missing."""
         _, must, wording, _ = self.models[model]
         have = words_of(block)
         at = 0
@@ -185,7 +253,7 @@ class Scanner:
         kept_b = {i for m in same for i in range(m.b, m.b + m.size)}
         lacks = [w for i, w in enumerate(wording) if i not in kept_a]
         adds = [w for i, w in enumerate(have[first:last], first) if i not in kept_b]
-        return lacks, adds, (len(lacks) + len(adds)) / len(wording)
+        return lacks, adds, (len(lacks) + len(adds)) / len(wording), first, last - 1
 
     def winner(self, block: str) -> dict | None:
         """The confirmed template of a block: of the best ``TOP`` by reduction
@@ -200,15 +268,54 @@ class Scanner:
                 found.append((len(diff[0]) + len(diff[1]), -len(self.models[i][2]), -reduction, i, diff))
         if not found:
             return None
-        _, _, reduction, i, (lacks, adds, _) = min(found, key=lambda x: x[:4])
-        return {"license": self.models[i][0], "reduction": -reduction, "lacks": " ".join(lacks), "adds": " ".join(adds)}
+        _, _, reduction, i, (lacks, adds, _, first, last) = min(found, key=lambda x: x[:4])
+        return {"license": self.models[i][0], "reduction": -reduction, "lacks": " ".join(lacks), "adds": " ".join(adds),
+                "same": len(self.models[i][2]) - len(lacks) - len(adds), "first": first, "last": last}
+
+    def licenses(self, text: str, start: int, end: int, most: int) -> list[dict]:
+        """What is confirmed in windows that start in ``start..end`` and end
+        at ``most`` at the latest, in text order."""
+        units, words, behind = [], [], 0
+        for s, e in sentences(text, start, most):
+            n = max(1, len(_WORDS.findall(text[s:e].lower())))
+            if s >= end:
+                if behind > self.most_words:
+                    break
+                behind += n
+            units.append((s, e))
+            words.append(n)
+        seen = []
+        for i, (s, _) in enumerate(units):
+            if s >= end:
+                break
+            inner = 0
+            for j in range(i, len(units)):
+                inner += words[j - 1] if j > i + 1 else 0
+                if inner > self.most_words:
+                    break
+                if got := self.winner(text[s:units[j][1]]):
+                    seen.append((-got["same"], j - i, i, j, got))
+        taken, out = set(), []
+        for _, _, i, j, got in sorted(seen, key=lambda x: x[:4]):
+            if not taken.isdisjoint(range(i, j + 1)):
+                continue
+            taken.update(range(i, j + 1))
+            s, e = units[i][0], units[j][1]
+            places = list(_WORDS.finditer(lowered(text[s:e])))
+            a, b = s + places[got.pop("first")].start(), s + places[got.pop("last")].end()
+            before, after = self.licenses(text, s, a, a), self.licenses(text, b, e, e)
+            del got["same"]
+            out += [*before, {"start": a if before else s, "end": b if after else e, **got}, *after]
+        return sorted(out, key=lambda x: x["start"])
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """Number of candidate blocks, and what was confirmed in them."""
-        spans, out = candidate_blocks(text), []
+        spans, out, done = candidate_blocks(text), [], 0
         for s, e in spans:
-            if got := self.winner(text[s:e]):
-                out.append({"start": s, "end": e, **got})
+            if max(s, done) < e:
+                got = self.licenses(text, max(s, done), e, len(text))
+                out += got
+                done = max([done, *(x["end"] for x in got)])
         return len(spans), out
 
 
@@ -219,7 +326,7 @@ _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("licen
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """``doc_id, n_blocks, found`` for every row of ``docs`` (``doc_id, text``);
     ``found`` has the span, license, size reduction and differing words of
-    every confirmed block, in text order."""
+    every confirmed window, in text order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
         for batch in batches:

@@ -31,3 +31,15 @@ def test_broken_markup():
 def test_blocks_count_links():
     found = blocks("<p>ab <a href=x>cdef</a></p><p>g</p>")
     assert [(b.text, b.links) for b in found] == [("ab cdef", 4), ("g", 0)]
+
+
+def test_links_inside_an_article_go():
+    links = "".join(f"<li><a href=/{i}>Another story number {i}</a></li>" for i in range(3))
+    page = f"<article><h1>Title</h1><p>{PROSE}</p><ul>{links}<li>See as well</li>{links}</ul><p>{MORE}</p><p>End.</p></article>"
+    assert main_text(page) == f"Title\n{PROSE}\n{MORE}\nEnd."
+
+
+def test_teaser_articles_do_not_replace_the_text():
+    card = "<article><h3><a href=/x>A story of the day</a></h3><p>Read it now.</p></article>"
+    got = main_text(f"<div><p>{PROSE}</p><p>{MORE}</p></div>{card}{card}{card}")
+    assert PROSE in got and MORE in got and "story" not in got

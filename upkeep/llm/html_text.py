@@ -9,9 +9,14 @@ ambiguous.  Pass two gives each ambiguous block the label of its nearest
 decided neighbours (within the page's article element when it is in one, and
 not counting what stands in a menu, notice or the like): the label of both, or
 of the nearer one when they differ (*good* at equal distance), and *good* if
-there is none.  Blocks of an article element are only decided by the first rule or
-as *good*, since the markup has already named them as the text; blocks outside
-are *bad* when the page has an article with text.
+there is none.
+
+An article element that holds most of the page's text (at least as many
+characters as the *good* blocks outside) is a prior: blocks outside are *bad*;
+inside, a block is *bad* by links only above a larger share, a long one with
+few stop words or many links is ambiguous, and an ambiguous one is *bad* only
+between two *bad* neighbours.  Otherwise the element has no meaning, as with
+teaser cards beside the text.
 
 Scripts, styles, comments and other raw elements are no text.  Character
 references are decoded, white space inside a block becomes one space, blocks
@@ -39,6 +44,7 @@ LONG_CHARS = 70
 GOOD_STOP_SHARE = 0.20
 BAD_STOP_SHARE = 0.05
 LINK_SHARE = 0.4
+ARTICLE_LINK_SHARE = 0.6
 
 # Frequent function words of the languages the rules know.
 STOP_WORDS = frozenset((
@@ -194,19 +200,32 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def judge(b: Block) -> str:
+    """The label of a block by its links, length and words alone."""
+    if b.links > (ARTICLE_LINK_SHARE if b.article else LINK_SHARE) * len(b.text):
+        return "bad"
+    if len(b.text) < LONG_CHARS or b.links > LINK_SHARE * len(b.text):
+        return ""
+    share = stop_share(b.text)
+    if b.article:
+        return "good" if share >= BAD_STOP_SHARE else ""
+    return "good" if share >= GOOD_STOP_SHARE else "bad" if share < BAD_STOP_SHARE else ""
+
+
 def decide(found: list[Block]) -> None:
-    """Pass one: ``good``, ``bad`` or (ambiguous) empty labels."""
-    named = any(b.article and not b.bad for b in found)
+    """Pass one: ``good``, ``bad`` or (ambiguous) empty labels; ``article`` is
+    cleared where the elements do not hold most of the text."""
     for b in found:
-        if b.bad or (named and not b.article):
-            b.label = "bad"
-        elif b.article:
-            b.label = "good" if len(b.text) >= LONG_CHARS else ""
-        elif b.links > LINK_SHARE * len(b.text):
+        b.label = "bad" if b.bad else judge(b)
+    inside = sum(len(b.text) for b in found if b.article and b.label != "bad")
+    outside = sum(len(b.text) for b in found if not b.article and b.label == "good")
+    named = inside and inside >= outside
+    for b in found:
+        if named and not b.article:
             b.label = "bad"
-        elif len(b.text) >= LONG_CHARS:
-            share = stop_share(b.text)
-            b.label = "good" if share >= GOOD_STOP_SHARE else "bad" if share < BAD_STOP_SHARE else ""
+        elif b.article and not named:
+            b.article = 0
+            b.label = "bad" if b.bad else judge(b)
 
 
 def inherit(found: list[Block]) -> None:
@@ -220,7 +239,7 @@ def inherit(found: list[Block]) -> None:
         for i in order:
             b = found[i]
             near[i] = last.get(b.article, -1)
-            if b.label and not b.bad and not (b.article and b.label == "bad"):
+            if b.label and not b.bad:
                 last[b.article] = i
     labels = [b.label for b in found]
     for i, b in enumerate(found):
@@ -229,6 +248,8 @@ def inherit(found: list[Block]) -> None:
         left, right = before[i], after[i]
         if left < 0 and right < 0:
             b.label = "good"
+        elif b.article:
+            b.label = "bad" if left >= 0 and right >= 0 and labels[left] == labels[right] == "bad" else "good"
         elif left < 0 or right < 0:
             b.label = labels[max(left, right)]
         elif labels[left] == labels[right] or i - left < right - i:

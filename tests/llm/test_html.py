@@ -43,3 +43,14 @@ def test_teaser_articles_do_not_replace_the_text():
     card = "<article><h3><a href=/x>A story of the day</a></h3><p>Read it now.</p></article>"
     got = main_text(f"<div><p>{PROSE}</p><p>{MORE}</p></div>{card}{card}{card}")
     assert PROSE in got and MORE in got and "story" not in got
+
+
+def test_pages_in_other_languages_keep_their_text():
+    polish = ("Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, ponieważ burmistrz zapowiedział "
+              "przebudowę starego mostu nad rzeką.")
+    russian = "Вчера вечером жители города собрались возле ратуши, потому что мэр объявил о перестройке старого моста."
+    japanese = "昨日の夕方、市民たちは市役所の前に集まった。市長が古い橋の改築を発表したためである。" * 3
+    for text in (polish, russian, japanese):
+        menu = "".join(f"<li><a href=/{i}>{text[:30]}</a></li>" for i in range(4))
+        assert main_text(f"<ul>{menu}</ul><h1>X</h1><p>{text}</p><p>ok</p><p>{text}</p>") == f"X\n{text}\nok\n{text}"
+    assert main_text(f"<p>{PROSE}</p><p>{russian}</p><p>{MORE}</p>") == f"{PROSE}\n{russian}\n{MORE}"

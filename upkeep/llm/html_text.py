@@ -11,6 +11,11 @@ not counting what stands in a menu, notice or the like): the label of both, or
 of the nearer one when they differ (*good* at equal distance), and *good* if
 there is none.
 
+Stop words are known for English, German, Spanish and French.  On a page of
+which no list covers ``KNOWN_SHARE`` of the words, and in a block of mostly
+letters that are not Latin, a long block with few links is *good* whatever its
+words.
+
 An article element that holds most of the page's text (at least as many
 characters as the *good* blocks outside) is a prior: blocks outside are *bad*;
 inside, a block is *bad* by links only above a larger share, a long one with
@@ -45,16 +50,20 @@ GOOD_STOP_SHARE = 0.20
 BAD_STOP_SHARE = 0.05
 LINK_SHARE = 0.4
 ARTICLE_LINK_SHARE = 0.6
+KNOWN_SHARE = 0.1       # words of a page that one list must cover
 
 # Frequent function words of the languages the rules know.
-STOP_WORDS = frozenset((
-    "a all an and are as at be but by for from had has have he his i in is it its not of on one or she that the their "
-    "they this to was we were which with you "
-    "aber als auch auf aus bei das dass dem den der des die ein eine einen er es für ich im ist mit nach nicht oder "
-    "sich sie sind um und von war wie wird zu zur "
-    "al como con del el en es esta este ha la las lo los más no para pero por que se son su sus un una y "
-    "au aux avec ce ces dans de du elle est et il ils je le les mais ne nous ou par pas plus pour qui sa ses sont sur "
-    "une vous à").split())
+STOP_LISTS = [frozenset(x.split()) for x in (
+    "a about after all an and are as at be been but by can for from had has have he her his i if in into is it its "
+    "more no not of on one or our she so than that the their there they this to up was we were which who will with "
+    "you your",
+    "aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im "
+    "ist kann mit nach nicht noch nur oder sich sie sind so um und von vor war was wenn wie wird zu zum zur über",
+    "al como con de del el ella en entre era es esta este fue ha hay la las le lo los mas más me mi muy no o para pero "
+    "por que qué se sin sobre son su sus también un una uno y ya",
+    "au aux avec ce ces cette dans de des du elle en est et eux il ils je la le les leur lui mais ne nous on ou où "
+    "par pas plus pour qu que qui sa se ses son sont sur un une vous à été")]
+STOP_WORDS = frozenset().union(*STOP_LISTS)
 
 RAW = frozenset(["script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object",
                  "select", "canvas", "audio", "video", "xmp", "noembed", "noframes"])
@@ -87,6 +96,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _JOINTS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]+")
 
 
 @dataclass
@@ -200,13 +210,29 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def judge(b: Block) -> str:
-    """The label of a block by its links, length and words alone."""
+def known_language(found: list[Block]) -> bool:
+    """Whether one list of stop words covers ``KNOWN_SHARE`` of the words in
+    the page's long blocks of text."""
+    words = [w for b in found if not b.bad and len(b.text) >= LONG_CHARS and b.links <= LINK_SHARE * len(b.text)
+             for w in _WORD.findall(b.text.lower())]
+    return any(sum(w in x for w in words) >= KNOWN_SHARE * len(words) for x in STOP_LISTS)
+
+
+def latin(text: str) -> bool:
+    """Whether at least half of the letters are Latin ones."""
+    return 2 * sum(map(len, _LATIN.findall(text))) >= sum(map(len, _WORD.findall(text)))
+
+
+def judge(b: Block, known: bool) -> str:
+    """The label of a block by its links, length and words alone; stop words
+    count only if they are those of the page's language (``known``) and script."""
     if b.links > (ARTICLE_LINK_SHARE if b.article else LINK_SHARE) * len(b.text):
         return "bad"
     if len(b.text) < LONG_CHARS or b.links > LINK_SHARE * len(b.text):
         return ""
     share = stop_share(b.text)
+    if share < BAD_STOP_SHARE and not (known and latin(b.text)):
+        return "good"
     if b.article:
         return "good" if share >= BAD_STOP_SHARE else ""
     return "good" if share >= GOOD_STOP_SHARE else "bad" if share < BAD_STOP_SHARE else ""
@@ -215,8 +241,9 @@ def judge(b: Block) -> str:
 def decide(found: list[Block]) -> None:
     """Pass one: ``good``, ``bad`` or (ambiguous) empty labels; ``article`` is
     cleared where the elements do not hold most of the text."""
+    known = known_language(found)
     for b in found:
-        b.label = "bad" if b.bad else judge(b)
+        b.label = "bad" if b.bad else judge(b, known)
     inside = sum(len(b.text) for b in found if b.article and b.label != "bad")
     outside = sum(len(b.text) for b in found if not b.article and b.label == "good")
     named = inside and inside >= outside
@@ -225,7 +252,7 @@ def decide(found: list[Block]) -> None:
             b.label = "bad"
         elif b.article and not named:
             b.article = 0
-            b.label = "bad" if b.bad else judge(b)
+            b.label = "bad" if b.bad else judge(b, known)
 
 
 def inherit(found: list[Block]) -> None:

@@ -2,7 +2,7 @@ import numpy as np
 
 from upkeep.llm import langid
 
-from ..conftest import SF_SMALL
+from ..conftest import SF_MID, SF_SMALL
 
 RNG = np.random.default_rng(5)
 
@@ -49,3 +49,21 @@ def test_no_letter_is_undetermined(spark):
     out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
     assert out[1] == out[2] == "und" and out[3] in ("en", "de")
     assert langid.identify(docs.withColumn("lang", docs.text.substr(1, 0)).limit(0)).collect() == []
+
+
+def test_gibberish_goes_and_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text", "lang")
+    clean = [r["text"] for r in docs.where("length(text) > 300 and lang is not null").orderBy("doc_id").collect()]
+    planted = ["".join(RNG.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 900)),
+               "".join(RNG.choice(list("0123456789abcdef"), 700)), "".join(RNG.permutation(list(clean[0][:2000]))),
+               "".join(RNG.choice(list("asdfghjkl qwertyuiop"), 500)),
+               "Вчера вечером жители города собрались возле ратуши, потому что мэр объявил о перестройке моста. " * 3,
+               "昨天晚上,市民们聚集在市政厅前,因为市长宣布要重建那座古老的桥。" * 4]
+    mixed = [a[:250] + " " + b[:250] for a, b in zip(clean[:20], clean[20:40])]
+    more = spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate(planted)]
+                                 + [(20_000 + i, t, None) for i, t in enumerate(mixed)], docs.schema)
+    left = {r["doc_id"] for r in langid.accepted(docs.unionByName(more)).select("doc_id").collect()}
+    assert not {i for i in left if 10_000 <= i < 20_000}
+    assert len([i for i in left if i >= 20_000]) == len(mixed)
+    ids = {r["doc_id"] for r in docs.where("length(text) > 300 and lang is not null").collect()}
+    assert len(ids & left) >= 0.98 * len(ids)

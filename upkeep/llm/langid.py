@@ -12,6 +12,11 @@ same number for each language as far as there are documents.  The model (a few
 thousand numbers) is sent with the tasks.  ``lang``, ``source`` and ``doc_id``
 are never inputs of a prediction.
 
+For ``accepted`` the network has one label more, learned from noise that is made
+of the same sample: its windows with their characters shuffled, random codes
+and key mash, digits and signs, and random letters of scripts that the sample
+does not use.  A text that is noise for the most part is rejected.
+
 Defined cases: a null text or one without a letter is ``und`` with score 1.0; so is
 every text, with score 0.0, when nothing could be learned; a null doc_id is
 kept, is not held out and is not learned from; repeated rows are judged alike;
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from upkeep.llm.common import map_arrow, slices
 
 UND = "und"
+REJECT = "\0noise"
+MOST_NOISE = 0.5
 WINDOW = 96
 HIDDEN = 12
 SAMPLE_WINDOWS = 12_000
@@ -228,8 +235,45 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: i
     return model
 
 
-def fit(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Model:
-    """Train on a bounded sample of ``docs`` (``doc_id, text, lang``)."""
+# First and last letters of scripts.
+SCRIPTS = [(0x3b1, 0x3c9), (0x430, 0x44f), (0x5d0, 0x5ea), (0x621, 0x64a), (0x905, 0x939), (0xe01, 0xe2e),
+           (0x3041, 0x3096), (0x4e00, 0x9fa5), (0xac00, 0xd7a3)]
+
+
+def noise(parts: list[str], n: int) -> list[bytes]:
+    """``n`` windows that are in no language, made of and beside ``parts``."""
+    if not parts:
+        return []
+    rng = np.random.default_rng(SEED)
+    used = [sum(any(lo <= ord(c) <= hi for c in p) for p in parts) > 0.01 * len(parts) for lo, hi in SCRIPTS]
+    scripts = [x for x, u in zip(SCRIPTS, used) if not u]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef",
+                 "abcdefghijklmnopqrstuvwxyz", "asdfghjkl;qwertyuiop", "0123456789.,;:-_#*/()[]|<>=+ "]
+    out = []
+    for i in range(n):
+        kind = i % 12
+        if kind < 6:
+            text = "".join(rng.permutation(list(parts[int(rng.integers(len(parts)))])))
+        elif kind < 11 or not scripts:
+            letters = list(alphabets[(kind - 6) % len(alphabets)])
+            text = "".join(rng.choice(letters, WINDOW))
+            if rng.random() < 0.5:
+                text = _spaced(text, rng)
+        else:
+            lo, hi = scripts[int(rng.integers(len(scripts)))]
+            text = _spaced("".join(map(chr, rng.integers(lo, hi + 1, WINDOW))), rng)
+        out.append(text.encode()[:WINDOW])
+    return out
+
+
+def _spaced(text: str, rng: np.random.Generator) -> str:
+    """``text`` with a space in place of about one character in seven."""
+    return "".join(" " if gap else c for c, gap in zip(text, rng.random(len(text)) < 1 / 7))
+
+
+def fit(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS, reject: bool = False) -> Model:
+    """Train on a bounded sample of ``docs`` (``doc_id, text, lang``); with
+    ``reject`` also on noise, as many windows as a language has."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text", "lang").where(
         (remainder("doc_id") != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n_docs = {r["lang"]: r["count"] for r in
@@ -250,7 +294,11 @@ def fit(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Model:
                   F.lit(WINDOW)).alias("part"))
               .limit(2 * sample_windows).collect())
     got = sorted((str(r["doc_id"]), r["part"], r["lang"]) for r in sample)
-    return train([p.encode()[:WINDOW] for _, p, _ in got], [lang for _, _, lang in got])
+    texts, labels = [p.encode()[:WINDOW] for _, p, _ in got], [lang for _, _, lang in got]
+    if reject:
+        extra = noise([p for _, p, _ in got], -(-len(got) // len(n_docs)))
+        texts, labels = texts + extra, labels + [REJECT] * len(extra)
+    return train(texts, labels)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -287,20 +335,25 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def accepted(docs: DataFrame, over_chance: float = OVER_CHANCE, model: Model | None = None) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text has a letter and
-    a language: a score of ``over_chance`` times one over the number of
-    languages at least.  A text in two languages scores far above that."""
-    model = model or fit(docs)
-    min_score = over_chance / max(1, len(model.langs))
+    a language: a probability of noise of ``MOST_NOISE`` at most, and for one
+    language ``over_chance`` times an equal share of the rest at least.  A text
+    in two languages scores far above that."""
+    model = model or fit(docs, reject=True)
     at = docs.columns.index("text")
     letter = "__llm_letter"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs = np.array([x != REJECT for x in model.langs], bool)
         for batch in batches:
             rows, has = batch.select(range(batch.num_columns - 1)), batch.column(batch.num_columns - 1).to_pylist()
             data = [(x or "").encode() if ok else b"" for x, ok in zip(rows.column(at).to_pylist(), has)]
             for lo, hi in slices([len(x) for x in data]):
-                part = data[lo:hi]
-                good = document_probs(model, part).max(axis=1) >= min_score if model.langs else np.zeros(hi - lo, bool)
+                part, good = data[lo:hi], np.zeros(hi - lo, bool)
+                if langs.any():
+                    probs = document_probs(model, part)
+                    bad = probs[:, ~langs].sum(axis=1)
+                    good = (bad <= MOST_NOISE) & (probs[:, langs].max(axis=1) >= over_chance * (1 - bad) / langs.sum()
+                                                  if langs.sum() > 1 else True)
                 yield rows.slice(lo, hi - lo).filter(pa.array(good & np.array([len(x) > 0 for x in part])))
 
     marked = docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -7,7 +7,7 @@ instead of candidates.
 
 from __future__ import annotations
 
-from upkeep.llm import quality, secret_scan
+from upkeep.llm import permuterm, quality, rotation_codes, secret_scan
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -166,4 +166,81 @@ FROM doc LEFT JOIN joined USING (r)
 """
 
 
-ORACLES = {"op5_secrets": secrets_sql(), "op7_jaccard": JACCARD, "op9_quality": QUALITY}
+CODES = f"""
+WITH RECURSIVE vec AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT r, vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM vec
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= {rotation_codes.THRESHOLD}
+), reach(r, other) AS (
+  SELECT r, r FROM vec
+  UNION
+  SELECT reach.r, link.b FROM reach JOIN link ON link.a = reach.other
+), named AS (
+  SELECT reach.r, min(vec.vec_id) AS component_id FROM reach JOIN vec ON vec.r = reach.other GROUP BY reach.r
+)
+SELECT v.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, n.component_id,
+       v.vec_id IS NOT DISTINCT FROM n.component_id AS kept
+FROM vec v JOIN named n USING (r) LEFT JOIN (SELECT a AS r, count(*) AS n FROM link GROUP BY a) k USING (r)
+"""
+
+
+def spelling_sql() -> str:
+    """Words by a table-driven crc32 over the bytes of each run, near words by
+    the edit distance of every two words whose lengths fit (letters beyond
+    ASCII stand for one byte each, so that the distance counts letters)."""
+    q = permuterm
+    accented = "".join(chr(c) for c in range(0xC0, 0x100))
+    spare = [chr(c) for c in range(33, 127) if not chr(c).islower()][:len(accented)]
+    flat = "".join(spare).replace("'", "''")
+    return f"""
+WITH RECURSIVE step(k, c, i) AS (
+  SELECT k, k, 0 FROM (SELECT unnest(range(0, 256))::BIGINT AS k)
+  UNION ALL
+  SELECT k, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, i + 1 FROM step WHERE i < 8
+), crc AS (
+  SELECT list(c ORDER BY k) AS t FROM step WHERE i = 8
+), run AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '{q.LETTERS}+')), '{q._UPPER}', '{q._LOWER}') AS run
+  FROM documents
+), long AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS n FROM run
+  WHERE length(run) >= {q.LEAST_CHARS} GROUP BY 1, 2
+), hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(s) + 1),
+          lambda i: CAST('0x' || substr(hex(encode(s)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))),
+      lambda a, b: xor(a // 256, crc.t[1 + xor(a % 256, b)]))) AS h
+  FROM long, crc
+), word AS (
+  SELECT word, sum(n)::BIGINT AS n, translate(word, '{accented}', '{flat}') AS flat
+  FROM (SELECT n, CASE WHEN h % {q.EDIT_EVERY} = 0
+                       THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM hashed)
+  WHERE length(word) >= {q.LEAST_CHARS} GROUP BY word HAVING sum(n) >= {q.LEAST_COUNT}
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m
+  FROM word a JOIN word b ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1 AND a.word <> b.word
+  WHERE levenshtein(a.flat, b.flat) = 1
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word
+), judged AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= {q.TIMES} * w.n THEN b.other END AS form,
+         CASE WHEN b.m >= {q.TIMES} * w.n THEN b.m END AS form_n
+  FROM word w LEFT JOIN best b USING (word)
+), way(word, last) AS (
+  SELECT word, word FROM judged
+  UNION ALL
+  SELECT way.word, judged.form FROM way JOIN judged ON judged.word = way.last WHERE judged.form IS NOT NULL
+)
+SELECT j.word, j.form, w.last AS root, j.n, j.n_near, j.form_n
+FROM judged j JOIN way w USING (word) JOIN judged e ON e.word = w.last WHERE e.form IS NULL
+"""
+
+
+ORACLES = {"op5_secrets": secrets_sql(), "op7_jaccard": JACCARD, "op9_quality": QUALITY, "op12_codes": CODES,
+           "op13_spelling": spelling_sql()}

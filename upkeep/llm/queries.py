@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upkeep.llm import bpe, html_text, jaccard, langid, licenses, packing, parsing, pii, quality, secret_scan
+from upkeep.llm import (bpe, html_text, jaccard, langid, licenses, packing, parsing, permuterm, pii, quality,
+                        rotation_codes, secret_scan, whitening)
 from upkeep.llm.common import load
 from upkeep.llm.oracles import ORACLES
 
@@ -96,6 +97,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans_text(by_start(F.concat("base", "added"), pii.KINDS)).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.group_variants(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_licenses": op2_licenses,
@@ -107,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_parsing": op8_parsing,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_codes": op12_codes,
+    "op13_spelling": op13_spelling,
 }
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,10 @@
 import random
 import re
+import sys
+import time
 
 import numpy as np
+import pytest
 
 from upkeep.llm import pii
 
@@ -39,6 +42,35 @@ def test_long_mail_characters_take_linear_time():
     assert pii.base_spans("a" * 300_000 + " x@y.z " + "b" * 300_000)[0][1] == 0
 
 
+@pytest.mark.parametrize("text", [
+    "1" * 1_000_000, "1." * 400_000, ("1" * 999 + ".") * 800, "+1" + "." * 800_000, "+1( " * 100_000, "a@" * 300_000,
+    "x@" + "a." * 300_000 + "@", ("1" * 25 + " ") * 20_000, "+1 (234) 56789012345678901 " * 10_000])
+def test_long_texts_take_linear_time(text):
+    began = time.time()
+    spans = pii.base_spans(text)
+    graph = pii.Graph()
+    graph.add(0, text, spans)
+    assert time.time() - began < 20
+    short = text[:3000]
+    assert pii.base_spans(short) == brute(short)
+
+
+def test_numbers_of_thousands_of_digits():
+    sys.set_int_max_str_digits(0)
+    try:
+        for t in ("0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000, "0" * 6000 + "255.0.0.1", "9" * 5000 + ".1.1.1", "1.2.3." + "1" * 5000):
+            assert pii.base_spans(t) == brute(t)
+    finally:
+        sys.set_int_max_str_digits(4300)
+
+
+def test_unsure_spans_are_apart_and_in_order():
+    for _ in range(300):
+        t = "".join(RNG.choice(["+1 ", "1" * 21, "2 ", "x", "-", "(", "3" * 8]) for _ in range(30))
+        spans = pii.unsure_spans(t)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(a < b for a, b in spans)
+
+
 def test_message_passing_is_exact_on_a_tree():
     unary, pair = np.random.default_rng(1).normal(size=(4, pii.K)), np.random.default_rng(2).normal(size=(3, pii.K, pii.K))
     edges = np.array([[0, 1, 0], [1, 2, 1], [1, 3, 2]])

@@ -18,13 +18,16 @@ expected (message passing) counts.  Only token features reach the driver.
 
 Defined cases: a null text is an empty one; a null doc_id is kept; repeated
 rows are judged alike; an empty table gives an empty result (and an untrained
-field, which adds nothing); texts are never cut; other columns are ignored.
+field, which adds nothing); texts are never cut and cost time in proportion to
+their length, whatever they hold; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,8 @@ SLICE_CHARS = 4 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match begins a run of digits: from inside the run the pattern would go the same way.
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
@@ -95,7 +99,7 @@ def base_spans(text: str) -> list[Span]:
     """The fixed patterns, leftmost and non-overlapping for each kind."""
     out: list[Span] = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) < 4 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _DIGITS.sub("", m[0])
@@ -110,11 +114,17 @@ def base_spans(text: str) -> list[Span]:
 
 def unsure_spans(text: str) -> list[tuple[int, int]]:
     """Matches that the patterns drop because they run into further digits: what
-    they hold may well be personal data, so its tokens get no training label."""
-    out = [m.span() for m in _CARD.finditer(text) if len(_DIGITS.sub("", m[0])) > 19]
+    they hold may well be personal data, so its tokens get no training label.
+    In order; overlapping ones are one."""
+    found = [m.span() for m in _CARD.finditer(text) if len(_DIGITS.sub("", m[0])) > 19]
     if "+" in text:
-        out += [m.span() for m in _PHONE.finditer(text) if len(_DIGITS.sub("", m[0])) > 15]
-    return sorted(out)
+        found += [m.span() for m in _PHONE.finditer(text) if len(_DIGITS.sub("", m[0])) > 15]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if out and start < out[-1][1]:
+            start, end = out[-1][0], max(end, out.pop()[1])
+        out.append((start, end))
+    return out
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -141,14 +151,14 @@ class Graph:
     """Nodes and edges of the documents of a slice."""
 
     def __init__(self) -> None:
-        self.features: list[list[int]] = []
+        self.features: list[bytearray] = []
         self.gold: list[int] = []           # UNKNOWN: not for training
         self.spans: list[tuple[int, int, int]] = []     # document, core start, core end
         self.edges: list[tuple[int, int, int]] = []     # node, node, type: chain, same, similar
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
         cores: list[str] = []
-        unsure = unsure_spans(text)
+        unsure, u = unsure_spans(text), 0
         first, previous_end, b = len(self.features), -2, 0
         for start, end in tokens(text):
             word = text[start:end]
@@ -159,7 +169,8 @@ class Graph:
                     core, s = word[head.start():tail.end()], start + head.start()
             e = s + len(core)
             beside = previous_end >= 0 and text[previous_end:start].strip(" \t\n\x0b\x0c\r") == ""
-            self.features.append(self._describe(core, _DIGITS.sub("", core), beside, text[max(0, s - 1):s] == "+"))
+            self.features.append(bytearray(self._describe(core, _DIGITS.sub("", core), beside,
+                                                          text[max(0, s - 1):s] == "+")))
             while b < len(base) and base[b][2] <= s:
                 b += 1
             gold = 0
@@ -167,7 +178,9 @@ class Graph:
                 if x[0] < e and x[2] > s and 2 * (min(e, x[2]) - max(s, x[0])) >= e - s:
                     gold = x[1] + 1
                     break
-            if not gold and any(x < e and y > s for x, y in unsure):
+            while u < len(unsure) and unsure[u][1] <= s:
+                u += 1
+            if not gold and u < len(unsure) and unsure[u][0] < e:
                 gold = UNKNOWN
             self.gold.append(gold)
             self.spans.append((doc, s, e))
@@ -216,7 +229,7 @@ class Graph:
                 ":" in core or "/" in core]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return (np.array(self.features, np.float64).reshape(-1, len(FEATURES)),
+        return (np.frombuffer(b"".join(self.features), np.int8).reshape(-1, len(FEATURES)),
                 np.array(self.edges, np.int64).reshape(-1, 3))
 
 
@@ -282,19 +295,31 @@ def train(features: np.ndarray, edges: np.ndarray, gold: np.ndarray) -> tuple[np
     return weight, pair
 
 
+def _meets(covered: dict[int, tuple[list[int], list[int]]], doc: int, base: dict[int, list[Span]], s: int, e: int) -> bool:
+    """Whether a base span of ``doc`` overlaps (s, e); ``covered`` keeps the
+    starts of its base spans and the farthest end up to each."""
+    if doc not in covered:
+        spans = base.get(doc, [])
+        covered[doc] = ([x[0] for x in spans], list(accumulate((x[2] for x in spans), max)))
+    starts, ends = covered[doc]
+    k = bisect_left(starts, e)
+    return k > 0 and ends[k - 1] > s
+
+
 def added_spans(graph: Graph, prob: np.ndarray, base: dict[int, list[Span]], texts: list[str]) -> dict[int, list[Span]]:
     """Runs of neighbouring nodes with one confident label, away from base spans."""
     chained = {b for a, b, t in graph.edges if t == 0}
     label = np.where(prob.max(axis=1) >= CONFIDENT, prob.argmax(axis=1), 0) if len(prob) else []
     out: dict[int, list[Span]] = {}
     run: list[int] = []
+    covered: dict[int, tuple[list[int], list[int]]] = {}
 
     def close() -> None:
         if run:
             doc, s, e = graph.spans[run[0]][0], graph.spans[run[0]][1], graph.spans[run[-1]][2]
             kind, word = int(label[run[0]]) - 1, texts[doc][s:e]
             enough = "@" in word if kind == 0 else sum(c in "0123456789" for c in word) >= LEAST_DIGITS
-            if enough and not any(x[0] < e and x[2] > s for x in base.get(doc, ())):
+            if enough and not _meets(covered, doc, base, s, e):
                 out.setdefault(doc, []).append((s, kind, e))
             run.clear()
 
@@ -320,7 +345,8 @@ def annotate(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span
     added: dict[int, list[Span]] = {}
     if graph.features and np.any(model[0]):
         features, edges = graph.arrays()
-        prob, _, _ = propagate(features @ model[0], edges, model[1])
+        unary = [features[lo:lo + 65536].astype(float) @ model[0] for lo in range(0, len(features), 65536)]
+        prob, _, _ = propagate(np.concatenate(unary), edges, model[1])
         added = added_spans(graph, prob, base, texts)
     return [(base.get(i, []), added.get(i, [])) for i in range(len(texts))]
 
@@ -333,7 +359,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
                 graph = Graph()
                 graph.add(0, text, base_spans(text))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.array(graph.features, np.int8).reshape(-1).tobytes()], pa.binary()),
+                    [pa.array([b"".join(graph.features)], pa.binary()),
                      pa.array([graph.arrays()[1].astype("<i4").tobytes()], pa.binary()),
                      pa.array([bytes(graph.gold)], pa.binary())], ["features", "edges", "gold"])
 

@@ -64,17 +64,16 @@ WITH doc AS (
     SELECT r, host, array_to_string(regexp_extract_all(lower(line), '{_WORDS}'), ' ') AS line,
            len(regexp_extract_all(line, '{_WORDS}')) AS n FROM raw)
   WHERE line <> '' GROUP BY r, host, line
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY r ORDER BY strlen(line) DESC, line) AS k FROM norm
 ), holder AS (
-  SELECT a.r, a.host, a.line, a.n, coalesce(b.line, '') AS other
-  FROM ranked a LEFT JOIN ranked b ON b.r = a.r AND b.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END
+  SELECT DISTINCT n.host, n.line, doc.text, min(doc.doc_id) OVER (PARTITION BY n.host, n.line, doc.text) AS doc_id
+  FROM norm n JOIN doc ON doc.r = n.r
 ), frequent AS (
-  SELECT host, line FROM holder GROUP BY host, line
-  HAVING count(DISTINCT other) > {quality.MIN_DOCS} AND count(DISTINCT other) > CAST({quality.SHARE} AS DOUBLE)
+  SELECT host, line, first(text ORDER BY doc_id NULLS LAST) AS first_text FROM holder GROUP BY host, line
+  HAVING count(*) > {quality.MIN_DOCS} AND count(*) > CAST({quality.SHARE} AS DOUBLE)
     * (SELECT count(DISTINCT text) FROM doc WHERE doc.host = holder.host)
 ), removed AS (
-  SELECT r, sum(n) AS n FROM norm JOIN frequent USING (host, line) GROUP BY r
+  SELECT n.r, sum(n.n) AS n FROM norm n JOIN doc ON doc.r = n.r JOIN frequent f ON f.host = n.host AND f.line = n.line
+  WHERE doc.text <> f.first_text GROUP BY n.r
 ), figures AS (
   SELECT d.r, d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,

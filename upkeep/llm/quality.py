@@ -12,9 +12,14 @@ text: exact copies count once, in the number of holders and in the number of
 texts of the host alike.  An edited copy is a document of its own.
 
 The limit of a host is ``max(min_docs, share * distinct texts of the host)``.
+A line above it is removed everywhere but in its first holder (the text with
+the smallest doc_id; texts without one come last, by their hash): what many
+documents repeat is kept once, so of a group of edited copies one stays whole,
+and so does one of many pages that consist of nothing but a host's notices.
 
 Defined cases: a null text is an empty one (no words, fails the base rule);
-a null source is a host of its own; repeated rows are judged alike and each is
+texts and lines of any length are read whole; a null source is a host of its
+own; a null doc_id is kept; repeated rows are judged alike and each is
 returned; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -139,17 +144,20 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source"),
                         "text", text_key().alias("text_key"))
     rows = shared_table(map_arrow(texts, _rules, _RULES).withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = (rows.select("row", "source", "text_key", F.explode("lines").alias("x"))
-                 .select("row", "source", "text_key", "x.*"))
+    lines = (rows.select("row", "doc_id", "source", "text_key", F.explode("lines").alias("x"))
+                 .select("row", "doc_id", "source", "text_key", "x.*"))
     hosts = (rows.select("source", "text_key").distinct().groupBy("source")
                  .agg(F.count("*").alias("n_texts")))
-    frequent = (lines.groupBy("source", "line", "text_key").agg(F.lit(1).alias("one"))
-                     .groupBy("source", "line").agg(F.count("*").alias("n_docs"))
+    frequent = (lines.groupBy("source", "line", "text_key").agg(F.min("doc_id").alias("doc_id"))
+                     .groupBy("source", "line")
+                     .agg(F.count("*").alias("n_docs"),
+                          F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
                      .where(F.col("n_docs") > min_docs)
                      .join(hosts, "source")
                      .where(F.col("n_docs") > share * F.col("n_texts"))
-                     .select("source", "line"))
+                     .select("source", "line", F.col("first.text_key").alias("first_key")))
     removed = (lines.join(shared_table(frequent, "lines"), ["source", "line"])
+                    .where("text_key <> first_key")
                     .groupBy("row").agg(F.sum("words").alias("removed_words")))
     left = F.col("n_words") - F.col("removed_words")
     return (rows.drop("lines").join(removed, "row", "left")

@@ -8,22 +8,28 @@ a hash of their symbols, and the names are the symbols of the next level.  The
 place of a phrase start depends on a few neighbours only, so equal substrings
 are cut alike away from their ends, whatever stands before them.
 
-A fingerprint is the ``SKETCH`` smallest 32-bit hashes of a text's phrase names
-(levels 2 to 4, or 1 to 3 for texts under ``SHORT`` code points, where high
-levels have hardly a phrase), written in hexadecimal, sorted.  The likeness of
-two fingerprints is the usual bottom-k estimate of the Jaccard likeness of the
-name sets: of the smallest hashes of the union, the share that is in both.
-Two empty fingerprints have likeness 1, an empty and another one 0.
+A fingerprint is the ``SKETCH`` smallest ranks of a text's phrase names of all
+levels, written in hexadecimal, sorted.  The rank of a name is its hash divided
+by the weight of its level, 8 times that of the level below: a phrase counts
+for about the text it spans, so a long text is sketched by its highest phrases
+and a short one by all that it has, with one rule for every length.  The
+likeness of two fingerprints is the usual bottom-k estimate of the (weighted)
+Jaccard likeness of the name sets: of the smallest ranks of the union, the
+share that is in both.  Two empty fingerprints have likeness 1, an empty and
+another one 0.
 
 Defined cases: a null text is an empty one; null doc_ids come first in the
-order; rows with the same doc_id are ordered by a hash of the text; a single
-row is its own next document; repeated rows are each returned; an empty table
-gives an empty result; texts are never cut; other columns are ignored.
+order; rows with the same doc_id are ordered by a hash of the text, and dealt
+by ranges of that hash where they are many (rows that repeat doc_id and text
+stay in one part); a single row is its own next document; repeated rows are
+each returned; an empty table gives an empty result; texts are never cut; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +42,9 @@ from upkeep.llm.common import map_arrow, ship, slices
 from upkeep.llm.words import U64, mix
 
 SKETCH = 48
-SHORT = 64
-LEVELS = 4
+LEVELS = 3
+WEIGHT_BITS = 3                 # a level weighs 2^3 times the level below
+RANK_BYTES = 5
 SLICE_CHARS = 1 << 19
 ROWS_PER_PART = 2000
 MOST_PARTS = 16_384
@@ -99,20 +106,20 @@ def next_level(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct 32-bit hashes, ``SKETCH`` at most, of each text."""
+    """Sorted distinct ranks, ``SKETCH`` at most, of each text."""
     size = np.array([len(t) for t in texts], np.int64)
     x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
     ends = np.cumsum(size)
     owner = np.flatnonzero(size > 0)
     first = (ends - size)[owner]
     levels = []
-    for _ in range(LEVELS if len(x) else 0):
+    for level in range(LEVELS if len(x) else 0):
         x, first = next_level(x, first)
-        levels.append(((mix(x) >> U64(32)).astype(np.uint32), np.append(first, len(x))))
-    out = [np.zeros(0, np.uint32)] * len(texts)
+        rank = mix(x) >> U64(64 - 8 * RANK_BYTES + WEIGHT_BITS * level)
+        levels.append((rank, np.append(first, len(x))))
+    out = [np.zeros(0, U64)] * len(texts)
     for i, text in enumerate(owner):
-        use = levels[:3] if size[text] < SHORT else levels[1:]
-        out[text] = np.unique(np.concatenate([h[f[i]:f[i + 1]] for h, f in use]))[:SKETCH]
+        out[text] = np.unique(np.concatenate([h[f[i]:f[i + 1]] for h, f in levels]))[:SKETCH]
     return out
 
 
@@ -127,7 +134,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def written(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    return "".join(f"{x:0{2 * RANK_BYTES}x}" for x in sketch.tolist())
 
 
 def edited(text: str, following: str) -> str:
@@ -136,10 +143,42 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - q] + following[:q]
 
 
+def part_bounds(quantiles: list[float], null_parts: int) -> list[tuple[int | None, int]]:
+    """The least (doc_id, key) of each part but the first, in order.  A doc_id
+    that is several quantiles (and a null one of several parts) is cut by
+    equal ranges of the key."""
+    least, out = -1 << 63, []
+    out += [(None, least + (j << 64) // null_parts) for j in range(1, null_parts)]
+    for value, times in sorted(Counter(int(q) for q in quantiles).items()):
+        out += [(value, least + (j << 64) // times) for j in range(times)]
+    return out
+
+
+def part_numbers(ids: np.ndarray, none: np.ndarray, mine: np.ndarray,
+                 bounds: list[tuple[int | None, int]]) -> np.ndarray:
+    """For each row (doc_id, whether it is null, key), the number of bounds not
+    above it, nulls first."""
+    nulls = np.array([k for i, k in bounds if i is None], np.int64)
+    known = [(i, k) for i, k in bounds if i is not None]
+    at, key = np.array([i for i, _ in known], np.int64), np.array([k for _, k in known], np.int64)
+    here = ~none
+    out = np.searchsorted(nulls, mine, side="right").astype(np.int32)
+    values = ids[here]
+    low, high = np.searchsorted(at, values, side="left"), np.searchsorted(at, values, side="right")
+    number = low.copy()
+    for value in np.unique(values[high > low]):
+        rows = values == value
+        lo, hi = np.searchsorted(at, value, side="left"), np.searchsorted(at, value, side="right")
+        number[rows] = lo + np.searchsorted(key[lo:hi], mine[here][rows], side="right")
+    out[here] = len(nulls) + number
+    return out
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """``part, doc_id, key, last, text``: the rows dealt by ranges of doc_id into
-    parts and sorted; after the rows of a part stands one more, ``last``, that
-    repeats the first row of the next part (of the first one after the last).
+    """``part, doc_id, key, last, text``: the rows dealt by ranges of (doc_id,
+    key) into parts and sorted; after the rows of a part stands one more,
+    ``last``, that repeats the first row of the next part (of the first one
+    after the last).
 
     Texts are shuffled once.  The driver gets the ranges and the first key of
     each part, ``MOST_PARTS`` at most.
@@ -147,19 +186,17 @@ def in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
+    n, n_ids = rows.agg(F.count("*"), F.count("doc_id")).first()
     parts = int(min(MOST_PARTS, max(1, n // ROWS_PER_PART)))
-    bounds = np.array(sorted(set(
-        rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)))) if parts > 1 else np.zeros(0)
+    quantiles = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    bounds = part_bounds(quantiles, parts * (n - n_ids) // max(n, 1))
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(bounds, ids[known].to_numpy(float), side="right")
-        return pd.Series(out)
+    def part_of(ids: pd.Series, none: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(part_numbers(ids.to_numpy(), none.to_numpy(), keys.to_numpy(), bounds))
 
-    keyed = (rows.withColumn("key", F.xxhash64("text")).withColumn("part", part_of("doc_id"))
+    keyed = (rows.withColumn("key", F.xxhash64("text"))
+             .withColumn("part", part_of(F.coalesce("doc_id", F.lit(0).cast("bigint")), F.col("doc_id").isNull(), "key"))
              .withColumn("last", F.lit(False)))
     heads = sorted(((r["part"], r["m"]["doc_id"], r["m"]["key"]) for r in
                     keyed.groupBy("part").agg(F.min(F.struct("doc_id", "key")).alias("m")).collect()),

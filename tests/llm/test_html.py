@@ -1,4 +1,10 @@
-from upkeep.llm.html_text import blocks, main_text
+import random
+import re
+import time
+
+import pytest
+
+from upkeep.llm.html_text import Block, Tags, blocks, inherit, main_text
 
 PROSE = "The cat and the dog were in the house with all of their friends, and it was on the mat for a day."
 MORE = "It was not for the dog to say what the cat had been up to in the garden of the house that day."
@@ -54,3 +60,123 @@ def test_pages_in_other_languages_keep_their_text():
         menu = "".join(f"<li><a href=/{i}>{text[:30]}</a></li>" for i in range(4))
         assert main_text(f"<ul>{menu}</ul><h1>X</h1><p>{text}</p><p>ok</p><p>{text}</p>") == f"X\n{text}\nok\n{text}"
     assert main_text(f"<p>{PROSE}</p><p>{russian}</p><p>{MORE}</p>") == f"{PROSE}\n{russian}\n{MORE}"
+
+
+BODY = [f"This is the paragraph number {i} of the text that was written for the readers of the site, and it is long." for i in range(5)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in BODY)
+TOP = "<nav><a href=/>Home</a> <a href=/n>News</a></nav><div class=sidebar><a href=/m>More from all of our pages</a></div>"
+NOTICE = f"<div class=cookie-consent>{PROSE}</div><footer>Copyright of the site and of all who wrote for it</footer>"
+
+
+@pytest.mark.parametrize("inner", [
+    f"<div>{PARAGRAPHS}</div>", f'<div class="social-science">{PARAGRAPHS}</div>',
+    f'<section id="discussion">{PARAGRAPHS}</section>', f'<div class="related-work">{PARAGRAPHS}</div>',
+    f'<div class="layout-no-sidebar">{PARAGRAPHS}</div>',
+    "".join(f'<div class="elementor-widget-container"><p>{x}</p></div>' for x in BODY),
+    f'<form action="/page" id="aspnetForm">{PARAGRAPHS}</form>', f'<a name="top"><div>{PARAGRAPHS}</div>',
+    f'<a id="x"/><div>{PARAGRAPHS}</div>', f"<svg><div>{PARAGRAPHS}</div>", f"<iframe><div>{PARAGRAPHS}</div>",
+    f'<a href="/open"></p><div>{PARAGRAPHS}</div>', f"<style>p {{}}<div>{PARAGRAPHS}</div>"])
+def test_places_are_priors(inner):
+    assert main_text(f"<html><body>{TOP}{inner}{NOTICE}</body></html>") == "\n".join(BODY)
+
+
+def test_minor_places_stay_out():
+    for minor in (f'<div class="related">{MORE}</div>', f"<form><p>{MORE}</p></form>", f'<div class="widget"><p>{MORE}</p></div>',
+                  f'<section id="comments"><p>{MORE}</p>{PARAGRAPHS * 9}</section>', f'<div class="newsletter">{MORE * 9}</div>'):
+        assert main_text(f"{TOP}<div>{PARAGRAPHS}</div>{minor}{NOTICE}") == "\n".join(BODY)
+    # Reader comments and notices never become the text, however long they are.
+    assert main_text(f"<div class=comments>{PARAGRAPHS}</div>") == main_text(f"<div class=cookie-bar>{PARAGRAPHS}</div>") == ""
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, "<!" * 300_000, "<!--" * 300_000, "<svg>" * 100_000, "<script>" * 100_000, "<div>" * 100_000,
+    "</div>" * 100_000, '<a "' * 100_000, '<a ">"<b \'' * 50_000 + ">", '<a x=">"<b y="\'' * 50_000 + ">", "<" * 500_000,
+    "<a" * 300_000 + ">", '<a href="x">' * 100_000, "<div>" * 30_000 + "</span>" * 100_000, "<![CDATA[" * 100_000,
+    "<b x='" * 100_000 + "<p>" * 1000])
+def test_broken_pages_take_linear_time(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 15
+    assert "kept" in main_text(f"<p>{PROSE} kept</p>" + page)
+
+
+def test_tags_by_a_plain_scan():
+    """Tags of small random markup, found by reading character by character."""
+    def plain(page, at):
+        m = re.match(r"<(/?)([A-Za-z][^\s/>]*)", page[at:])
+        if not m or ">" not in page[at:]:
+            return None
+        i, first = at + m.end(), page.find(">", at + m.end())
+        while i < len(page) and page[i] not in "<>":
+            before = page[at + m.end():i].rstrip()
+            close = page.find(page[i], i + 1) if page[i] in "\"'" and before.endswith("=") else -1
+            i = close + 1 if close >= 0 else i + 1
+        end = i if i < len(page) and page[i] == ">" else first
+        return (end + 1, bool(m[1]), m[2].lower(), page[at + m.end():end]) if end >= 0 else None
+
+    rng = random.Random(2)
+    for _ in range(4000):
+        page = "<" + "".join(rng.choice(["a", "<", ">", "/", '"', "'", "=", " ", "x=", "b"]) for _ in range(rng.randrange(18)))
+        assert Tags(page).element(0) == plain(page, 0), page
+
+
+def test_inheritance_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(1500):
+        found = [Block("x", 0, rng.random() < 0.1, rng.choice([0, 0, 1])) for _ in range(rng.randrange(1, 12))]
+        for b in found:
+            b.label = "bad" if b.bad else rng.choice(["", "", "good", "bad"])
+        labels, want = [b.label for b in found], []
+        for i, b in enumerate(found):
+            near = [(abs(j - i), labels[j]) for j, c in enumerate(found) if labels[j] and not c.bad and c.article == b.article]
+            left = max(((j, labels[j]) for j in range(i) if labels[j] and not found[j].bad and found[j].article == b.article), default=None)
+            right = min(((j, labels[j]) for j in range(i + 1, len(found)) if labels[j] and not found[j].bad
+                         and found[j].article == b.article), default=None)
+            if b.label:
+                want.append(b.label)
+            elif not near:
+                want.append("good")
+            elif b.article:
+                want.append("bad" if left and right and left[1] == right[1] == "bad" else "good")
+            elif left and right:
+                gap = (i - left[0]) - (right[0] - i)
+                want.append(left[1] if left[1] == right[1] or gap < 0 else right[1] if gap > 0 else "good")
+            else:
+                want.append((left or right)[1])
+        inherit(found)
+        assert [b.label for b in found] == want
+
+
+LAYOUTS = [
+    "<nav>{links}</nav><article><h1>{t0}</h1>{main}</article><aside>{teasers}</aside><footer>{notice}</footer>",
+    "<div id=header>{links}</div><div id=content>{main}</div><div id=sidebar>{teasers}</div><div id=footer>{notice}</div>",
+    "<form id=aspnetForm><div class=navbar>{links}</div><div>{main}</div><div class=cookie-bar>{notice}</div></form>",
+    "<table><tr><td>{links}</td><td>{main}</td></tr></table><div class=comments>{comments}</div>",
+    "<div class=widget>{main}</div><div class='related-posts'>{teasers}</div><div class=comment-list>{comments}</div>",
+    "<main>{main}<div class='share-bar'>{links}</div></main><section class=newsletter>{notice}</section>",
+    "<a name=top><ul class=menu>{links}</ul><div class='post-body'>{main}</div><div class=reader-comments>{comments}</div>",
+    "<header>{links}</header><div class='social-science-blog'>{main}</div><footer>{links}{notice}</footer>",
+    "<div role=navigation>{links}</div><section id=discussion>{main}</section><div role=contentinfo>{notice}</div>",
+    "<div>{links}</div><div>{main}</div><div class='ad-slot'>{notice}</div><div class=promo>{teasers}</div>"]
+
+
+def test_labelled_pages():
+    """Block precision and recall on pages of ten layouts with known main text."""
+    rng = random.Random(8)
+    stop, rare = "the of and to in is was for that with on as it by at from this".split(), [f"w{chr(97 + i)}ord" for i in range(26)]
+
+    def prose(n):
+        return " ".join(rng.choice(stop) if rng.random() < 0.4 else rng.choice(rare) + rng.choice("abcdef") for _ in range(n)) + "."
+
+    hits = kept = wanted = 0
+    for layout in LAYOUTS:
+        for _ in range(20):
+            main = [prose(rng.choice([4, 20, 40, 80])) for _ in range(rng.randrange(3, 9))] + [prose(40)]
+            fill = {"t0": prose(5), "main": "".join(f"<p>{x}</p>" for x in main),
+                    "links": "".join(f"<li><a href=/{i}>{prose(3)}</a></li>" for i in range(6)),
+                    "teasers": "".join(f"<div><a href=/t{i}>{prose(12)}</a></div>" for i in range(3)),
+                    "notice": f"<p>{prose(30)}</p>", "comments": "".join(f"<p>{prose(25)}</p>" for _ in range(6))}
+            want = set(main) | ({fill["t0"]} if "{t0}" in layout else set())
+            got = set(main_text(f"<html><body>{layout.format(**fill)}</body></html>").split("\n"))
+            hits, kept, wanted = hits + len(got & want), kept + len(got), wanted + len(want)
+    assert hits / kept > 0.98 and hits / wanted > 0.98, (hits / kept, hits / wanted)

@@ -57,9 +57,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def staged(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``result``, which reads ``tables``: whoever has written it may pass it to
+    ``drop_shared``, which then deletes them."""
+    result._staged = tables
+    return result
+
+
 def drop_shared(*tables: DataFrame) -> None:
-    """Delete tables that ``shared_table`` wrote (others are left alone)."""
+    """Delete tables that ``shared_table`` wrote, and those that a ``staged``
+    result reads (others are left alone)."""
     for table in tables:
+        drop_shared(*getattr(table, "_staged", ()))
         if path := getattr(table, "_shared_path", None):
             sc = table.sparkSession.sparkContext
             place = sc._jvm.org.apache.hadoop.fs.Path(path)

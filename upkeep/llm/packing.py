@@ -1,7 +1,12 @@
 """Packing by optimal length buckets (operator 4).
 
+The unit of length (token, below) is a run of at most ``UNIT_CHARS`` characters
+of one word; ideographs, kana and Hangul syllables count one each.  So a text
+without spaces has a length like any other.
+
 Documents become pieces of at most ``MAX_TOKENS`` tokens (a longer one is cut
-into full pieces and a rest, so every token is in exactly one piece).  The
+into full pieces and a rest, so every token is in exactly one piece; with the
+texts given, the pieces of a document joined in order are its text).  The
 global histogram of piece lengths, which has at most ``MAX_TOKENS`` entries
 whatever the input, goes to the driver; dynamic programming chooses the bucket
 boundaries with the least padding over all pieces.  A batch holds pieces of one
@@ -10,29 +15,33 @@ bucket, each padded to the bucket's length, within a budget of tokens.
 Batches are filled by a global numbering inside each bucket.  It is made from
 ``SHARDS`` hashed shards of a bucket: numbers inside a shard plus the sizes of
 the shards before it, so no task holds a bucket and only the last batch of a
-bucket can be short.  The table of shard sizes has at most buckets x SHARDS
-rows and is broadcast on that bound.
+bucket can be short.  The shard comes from doc_id, text and piece, so many rows
+without a doc_id or with the same one are spread.  The table of shard sizes has
+at most buckets x SHARDS rows and is broadcast on that bound.
 
 Defined cases: a document without tokens (null or blank text) is one row with
-length 0 and null bucket, batch and slot; a null doc_id is kept; repeated rows
-are packed each for itself; an empty table gives an empty result; other
-columns are ignored.
+length 0 and null bucket, batch and slot; texts of any length are cut into
+pieces; a null doc_id is kept; repeated rows are packed each for itself; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from upkeep.llm.common import shared_table
+from upkeep.llm.common import shared_table, staged
 
 MAX_TOKENS = 2048
 BUCKETS = 8
 BUDGET = 16_384
 SHARDS = 1024
-WORD = r"[^ \t-\r]+"
+UNIT_CHARS = 8
+_SPACE = r" \t-\r"
+_SYLLABLES = r"\u2E80-\u9FFF\uA960-\uA97F\uAC00-\uD7FF\uF900-\uFAFF\uFE30-\uFE4F"
+UNIT = rf"[{_SYLLABLES}]|[^{_SPACE}{_SYLLABLES}]{{1,{UNIT_CHARS}}}"
 
 
 def best_boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -67,36 +76,62 @@ def best_boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[i
     return bounds[::-1]
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens``: words of each text."""
-    return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-                       .alias("n_tokens"))
+def token_counts(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``doc_id, doc_key, n_tokens``: a hash and the tokens of each text; with
+    ``keep_text`` also ``text``."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("doc_key"),
+                       F.regexp_count(text, F.lit(UNIT)).cast("bigint").alias("n_tokens"),
+                       *[text.alias("text")] * keep_text)
+
+
+def piece_texts(max_tokens: int) -> Column:
+    """The texts of a document's pieces: each reaches up to the first token of
+    the next, so that white space stays where it was."""
+    tokens = F.regexp_extract_all("text", F.lit(f"([{_SPACE}]*+(?:{UNIT}))"), 1)
+    bare = F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
+    tail = F.substring(F.col("text"), F.length(bare) + 1, F.length("text"))
+    cut = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")),
+                      lambda k: F.array_join(F.slice(tokens, k * max_tokens + 1, F.lit(max_tokens)), ""))
+    with_tail = F.transform(cut, lambda x, k: F.when(k == F.col("last"), F.concat(x, tail)).otherwise(x))
+    return F.when(F.col("last") == 0, F.array("text")).otherwise(with_tail)
 
 
 def pack(lengths: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Pack documents of ``lengths`` (``doc_id, n_tokens``).
+    """Pack documents of ``lengths`` (``doc_id, n_tokens``, as ``token_counts``
+    gives them, where there is one with ``doc_key`` and ``text``).
 
     Returns one row per piece: ``doc_id, piece, start_token, n_tokens,
-    bucket_tokens, batch, slot``.  ``batch`` counts from 0 inside a bucket.
+    bucket_tokens, batch, slot`` and, if texts are given, ``doc_key, text``.
+    ``batch`` counts from 0 inside a bucket.
     """
-    whole = shared_table(lengths.select("doc_id", "n_tokens"), "lengths")
+    names = [c for c in ("doc_id", "doc_key", "n_tokens", "text") if c in lengths.columns]
+    whole = shared_table(lengths.select(names), "lengths")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / max_tokens) - 1).cast("bigint")
-    pieces = (whole.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-              .withColumn("start_token", F.col("piece") * max_tokens)
+    keyed = whole.withColumn("last", last)
+    if "doc_key" not in names:
+        keyed = keyed.withColumn("doc_key", F.lit(0).cast("bigint"))
+    if "text" in names:
+        pieces = keyed.select("doc_id", "doc_key", "n_tokens", F.posexplode(piece_texts(max_tokens)).alias("piece", "text"))
+        pieces = pieces.withColumn("piece", F.col("piece").cast("bigint"))
+    else:
+        pieces = keyed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))).drop("last")
+    pieces = (pieces.withColumn("start_token", F.col("piece") * max_tokens)
               .withColumn("n_tokens", F.least(F.lit(max_tokens), F.col("n_tokens") - F.col("start_token"))
                           .cast("bigint")))
     histogram = {r["n_tokens"]: r["count"] for r in
                  pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()}
     bounds = best_boundaries(histogram, buckets)
-    columns = ["doc_id", "piece", "start_token", "n_tokens", "bucket_tokens", "batch", "slot"]
+    columns = ["doc_id", "piece", "start_token", "n_tokens", "bucket_tokens", "batch", "slot",
+               *(["doc_key", "text"] if "text" in names else [])]
     none = F.lit(None).cast("bigint")
     blank = (pieces.where("n_tokens = 0").withColumn("bucket_tokens", none).withColumn("batch", none)
              .withColumn("slot", none).select(columns))
     if not bounds:
-        return blank
+        return staged(blank, whole)
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds]).cast("bigint")
     placed = (pieces.where("n_tokens > 0").withColumn("bucket_tokens", bucket)
-              .withColumn("order", F.xxhash64("doc_id", "piece"))
+              .withColumn("order", F.xxhash64("doc_id", "doc_key", "piece"))
               .withColumn("shard", F.pmod("order", F.lit(SHARDS))))
     sizes = placed.groupBy("bucket_tokens", "shard").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket_tokens").orderBy("shard")
@@ -109,4 +144,4 @@ def pack(lengths: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKET
                 .withColumn("at", F.col("at") + F.col("offset"))
                 .withColumn("batch", F.floor(F.col("at") / rows).cast("bigint"))
                 .withColumn("slot", F.pmod(F.col("at"), rows).cast("bigint")))
-    return numbered.select(columns).unionByName(blank)
+    return staged(numbered.select(columns).unionByName(blank), whole)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import SLICE_BYTES, map_arrow, shared_table, slices
+from upkeep.llm.common import SLICE_BYTES, map_arrow, shared_table, slices, staged
 from upkeep.llm.words import run_hashes, word_hashes
 
 WINDOW = 8
@@ -156,25 +156,28 @@ def quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE,
                      .join(hosts, "source")
                      .where(F.col("n_docs") > share * F.col("n_texts"))
                      .select("source", "line", F.col("first.text_key").alias("first_key")))
-    removed = (lines.join(shared_table(frequent, "lines"), ["source", "line"])
+    frequent = shared_table(frequent, "lines")
+    removed = (lines.join(frequent, ["source", "line"])
                     .where("text_key <> first_key")
                     .groupBy("row").agg(F.sum("words").alias("removed_words")))
     left = F.col("n_words") - F.col("removed_words")
-    return (rows.drop("lines").join(removed, "row", "left")
+    judged = (rows.drop("lines").join(removed, "row", "left")
                 .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("bigint"))
                 .withColumn("base_failed", base_failed())
                 .withColumn("kept", ~F.col("base_failed")
                             & (100 * left >= min_left_percent * F.col("n_words")))
                 .select("doc_id", "source", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                         "n_repeat_words", "removed_words", "base_failed", "kept"))
+    return staged(judged, rows, frequent)
 
 
 def accepted(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose verdict is kept."""
-    kept = (quality(docs, **limits).where("kept")
+    judged = quality(docs, **limits)
+    kept = (judged.where("kept")
             .select(F.col("doc_id").alias("__llm_id"), F.col("source").alias("__llm_source"),
                     F.col("text_key").alias("__llm_key")).distinct())
     same = (F.col("doc_id").cast("bigint").eqNullSafe(F.col("__llm_id"))
             & (F.coalesce("source", F.lit(NO_SOURCE)) == F.col("__llm_source"))
             & (text_key() == F.col("__llm_key")))
-    return docs.join(kept, same, "left_semi")
+    return staged(docs.join(kept, same, "left_semi"), judged)

@@ -2,7 +2,15 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each result as Parquet to the shared folder and rereads it for the next
-stage.  All stages but the last return the columns of ``documents``.
+stage.  All stages but the last return the columns of ``documents``; the last
+returns the pieces with their (masked) texts, from which every document that
+was kept can be put together again.
+
+Defined cases: a document without a letter (null and empty ones among them)
+goes in the language stage; a null doc_id or source is kept; documents that
+repeat or reuse a doc_id are told apart by their texts; texts of any length are
+judged whole and packed in pieces; an empty table gives an empty result; other
+columns pass through to the fourth stage.
 """
 
 from __future__ import annotations
@@ -36,8 +44,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces dealt into token-budget batches."""
-    return packing.pack(packing.token_counts(docs))
+    """The documents' pieces, with their texts, dealt into token-budget batches."""
+    return packing.pack(packing.token_counts(docs, keep_text=True))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,7 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        done = shared_table(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_shared(docs)
+        result = stage(spark, docs, sf_dir)
+        done = shared_table(result, f"stage-{name}")
+        drop_shared(docs, result)
         docs = done
     return docs

@@ -81,9 +81,72 @@ def test_components_by_union(spark):
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
 
 
-def test_rows_that_reuse_a_doc_id(spark):
-    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
-    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "c d e f g h"), (1, a)]
-    out = {(r["doc_id"], r["class_id"]) for r in jaccard.join_classes(
-        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}
+def brute_rows(rows):
+    """The same by rows: (doc_id, class_id, copy_id, n_links) of every row."""
+    numbered = list(enumerate(t for _, t in rows))
+    sets = {i: shingles(t or "") for i, t in numbered}
+    ids = lambda found: min([rows[i][0] for i in found if rows[i][0] is not None], default=None)
+    near = {i: {j for j in sets if i != j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+            for i in sets}
+    out = []
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out.append((rows[i][0], ids(seen), ids({i} | {j for j in near[i] if sets[j] == sets[i]}), len(near[i])))
+    return out
+
+
+def rows_with_odd_ids():
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    return [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "c d e f g h"), (1, a), (1, a), (None, c), (None, c),
+            (None, c + " z"), (None, "own words of a row"), (7, c + " y"), (None, None), (None, ""), (8, " "), (1, c[:50]),
+            (None, "p q r s t u v"), (None, "p q r s t u v")]
+
+
+@pytest.mark.parametrize("bucket", [jaccard.BUCKET_ROWS, 2])
+def test_rows_that_reuse_or_lack_a_doc_id(spark, monkeypatch, bucket):
+    monkeypatch.setattr(jaccard, "BUCKET_ROWS", bucket)     # larger buckets are tied without a comparison
+    rows = rows_with_odd_ids()
+    out = [tuple(r) for r in jaccard.join_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(out, key=str) == sorted(brute_rows(rows), key=str)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = rows_with_odd_ids()
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, source string")
+    out = [(r["doc_id"], r["text"]) for r in jaccard.deduplicated(docs).collect()]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    want = [(1, a), (1, b), (4, "c d e f g h"), (7, c + " y"), (None, "own words of a row"), (None, None), (None, ""),
+            (8, " "), (1, c[:50]), (None, "p q r s t u v")]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def test_unlike_texts_are_not_tied(spark):
+    """A chain of texts at likeness about 0.35, many of which meet in a band:
+    nothing of it is left to compare exactly."""
+    rng, n = random.Random(11), 400
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100 * n + 200)]
+    # Neighbours share half of their 200 words: likeness 98 / 294.
+    docs = spark.createDataFrame([(i, " ".join(words[100 * i:100 * i + 200])) for i in range(n)], "doc_id bigint, text string")
+    sigs = jaccard.map_arrow(jaccard._rows(docs), jaccard._signatures, "doc_id bigint, text_hash bigint, "
+                             "set_key binary, n_shingles bigint, sig binary")
+    classes = jaccard.shared_table(sigs.selectExpr("doc_id as cid", "sig"), "test-classes")
+    rows = classes.collect()
+    bands = defaultdict(list)
+    for r in rows:
+        for k in range(32):
+            bands[k, r["sig"][16 * k:16 * k + 16]].append(r["cid"])
+    assert sum(len(x) > 1 for x in bands.values()) > n / 4         # the bands alone tie long chains
+    assert jaccard._candidates(classes).count() == 0
+
+
+def test_pairs_inside_buckets():
+    sizes = np.array([3, 1, 4, 2])
+    for limit in (1, 5, 1 << 20):
+        jaccard.PAIRS, before = limit, jaccard.PAIRS
+        pairs = [(int(x), int(y)) for i, j in jaccard.bucket_pairs(sizes) for x, y in zip(i, j)]
+        jaccard.PAIRS = before
+        assert sorted(pairs) == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7), (8, 9)]

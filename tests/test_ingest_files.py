@@ -165,3 +165,67 @@ def test_delete_all_batches(spark, tmp_path):
     assert I.delete_batch_files(spark, path, "B 2") and [r.x for r in spark.read.parquet(path).collect()] == [1]
     assert I.delete_batch_files(spark, path, "ALL") and not any(d.startswith("upload") for d in os.listdir(path))
     assert not I.delete_batch_files(spark, path, "ALL") and I.without_batch(spark.range(3), "ALL").count() == 0
+
+
+def test_headers_of_any_shape(spark, tmp_path):
+    """Line breaks inside a quoted header cell, a byte order mark, and a header
+    beyond the bytes that are read for one."""
+    many = ",".join(f"col {i} {'x' * 40}" for i in range(2500))
+    bodies = {"break.csv": '"Notifictn type","Notification","a\nname, with a break"\nM1,1,z\nM2,2,"y\ny"\n',
+              "bom.csv": "﻿Notifictn type,Notification\r\nM1,3\r\n", "wide.csv": f"Notifictn type,Notification,{many}\nM1,4\n",
+              "open.csv": '"Notifictn type,Notification\nM1,5\n' + "x\n" * 50_000}
+    for name, body in bodies.items():
+        (tmp_path / name).write_text(body, newline="")
+    paths = [str(tmp_path / n) for n in bodies]
+    for multi_line in (True, False):
+        root = str(tmp_path / f"lake-{multi_line}")
+        out = {os.path.basename(r.file): (r.status, r.kind, r.rows) for r in
+               I.ingest_files(spark, paths, "B1", root, multi_line=multi_line).collect()}
+        assert out == {"break.csv": ("ok", "notification", 2), "bom.csv": ("ok", "notification", 1),
+                       "wide.csv": ("error", "header", 0), "open.csv": ("error", "header", 0)}
+        assert sorted(r.notification for r in spark.read.parquet(f"{root}/notifications").collect()) == ["1", "2", "3"]
+
+
+def test_head_reads_are_bounded(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_bytes(b"a,b\n" + b"1,2\n" * 3_000_000)
+    assert len(I.file_head(spark, str(path))) == I.HEAD_BYTES + 1
+    assert I.read_header(spark, str(path)) == ["a", "b"] and I.file_head(spark, str(tmp_path / "none.csv")) is None
+
+
+def test_a_spoiled_data_page_costs_one_file(spark, tmp_path):
+    """A Parquet file with a good footer and a broken page beside good files of
+    the same layout."""
+    schema = "`Order Type` string, `Bas. start date` date, `Order` string"
+    paths = []
+    for k in range(5):
+        folder = str(tmp_path / f"p{k}")
+        spark.createDataFrame([(f"PT{i % 9}", dt.date(2001, 1, 2), f"{k}-{i}") for i in range(2000)], schema).coalesce(1).write.parquet(folder)
+        name = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
+        os.rename(f"{folder}/{name}", str(tmp_path / f"wo{k}.parquet"))
+        paths.append(str(tmp_path / f"wo{k}.parquet"))
+    with open(paths[3], "r+b") as f:
+        f.seek(4)
+        f.write(b"\xff" * 600)
+    root = str(tmp_path / "lake")
+    out = {r.file: (r.status, r.rows) for r in I.ingest_files(spark, paths, "B1", root).collect()}
+    assert out == {p: ("error", 0) if p == paths[3] else ("ok", 2000) for p in paths}
+    table = spark.read.parquet(f"{root}/work_orders")
+    assert table.count() == 8000 and table.where("order_no like '3-%'").count() == 0
+
+
+def test_exports_are_evaluated_once(spark):
+    """Counts are observed while the rows are written: each row passes once."""
+    from pyspark.sql import functions as F
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    raw = spark.range(500).select(F.lit("M1").alias("c0"), F.col("id").cast("string").alias("c1")).mapInArrow(count, "c0 string, c1 string")
+    tables, outcomes = I.ingest_exports([I.Export("e", raw, ("Notifictn type", "Notification"))], "B1")
+    assert [tuple(r) for r in outcomes.collect()] == [("e", "ok", "notification", 500)] and seen.value == 500
+    assert tables["notification"].count() == 500 and seen.value == 500
+    I.release(tables)

@@ -67,3 +67,18 @@ def long_text_flag(c: Column, source_type: T.DataType | None = None) -> Column:
     if isinstance(source_type, T.BooleanType):
         return F.coalesce(c, F.lit(False))
     return F.coalesce(strip_ws(c.cast("string")).isin(LONG_TEXT_TRUE), F.lit(False))
+
+
+def clean_cell(cell: Column, kind: str, scale: int | None = None) -> Column:
+    """A workbook cell (struct of kind and text) as a value of a layout column:
+    text as it would be written, dates from date cells only (a text that looks
+    like one is none), numbers also from booleans."""
+    text = cell["text"]
+    if kind == "d":
+        return F.when(cell["kind"] == "d", F.substring(text, 1, 10).try_cast("date"))
+    if kind == "n":
+        number = F.when(cell["kind"] == "b", F.when(text == "True", F.lit("1")).otherwise(F.lit("0"))).otherwise(text)
+        return clean_number(number, scale)
+    if kind == "b":
+        return long_text_flag(text)
+    return clean_string(text)

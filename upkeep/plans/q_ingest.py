@@ -13,6 +13,7 @@ from upkeep.session import ensure_checkpoint_dir
 from upkeep.sources import ingest as I
 from upkeep.sources.exports import LAYOUTS, header_position
 from upkeep.sources.raw_exports import RAW_LAYOUTS, raw_export
+from upkeep.sources.xlsx import cells_of, workbooks
 
 BATCH = "B-INGEST"
 STAMP = dt.datetime(2001, 7, 1)
@@ -97,6 +98,18 @@ for _v in ("notifications", "work_orders", "bom", "cost_lines"):
     _ingest(_v)
 
 
+@register("ingest_workbooks", typed_select("work_orders"))
+def q_ingest_workbooks(spark, sf):
+    """The work-order export as workbooks of about 5,000 rows with typed date
+    cells, read back through the workbook reader."""
+    ex = raw_export(spark, sf, "work_orders")
+    n = max(1, ex.raw.count() // 5000)
+    books = workbooks(ex.raw, ex.headers, F.pmod(F.xxhash64(f"c{KEY_POS}"), F.lit(n)), "work_orders")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex}"
+    cells_of(books).write.parquet(path)
+    return I.clean_export(I.workbook_export(spark.read.parquet(path), "work_orders"), BATCH, STAMP).drop(I.FILE)
+
+
 # Cleaners on their own, over the work-order export: text, date and number cells.
 WO_TEXT = [(i, h) for i, (h, _, c) in enumerate(RAW_LAYOUTS["work_orders"]) if c == "t"]
 WO_DATE = [(i, h) for i, (h, _, c) in enumerate(RAW_LAYOUTS["work_orders"]) if c == "d"]
@@ -138,14 +151,27 @@ def q_length_violations(spark, sf):
     return I.length_violations(typed, "work_order")
 
 
+LONG_TYPE = 7               # every so many rows of the over-long export have a type over its limit
+
+
 @register("ingest_summary", "\nUNION ALL\n".join(
     [f"SELECT '{v}_export' AS file, 'ok' AS status, '{KIND_OF_VIEW[v]}' AS kind, count(*) AS rows "
      f"FROM ({raw_sql(v)}) r" for v in ("notifications", "work_orders", "bom", "cost_lines")]
-    + ["SELECT 'asset_status_export', 'skip', 'unknown', cast(0 AS bigint)"]))
+    + ["SELECT 'asset_status_export', 'skip', 'unknown', cast(0 AS bigint)",
+       f"SELECT 'long_export', CASE WHEN max(length(trim(c0) || ' of a length beyond')) > 10 THEN 'error' ELSE 'ok' END, "
+       f"'notification', cast(0 AS bigint) FROM ({raw_sql('notifications')}) r "
+       f"WHERE cast(c16 AS bigint) % {LONG_TYPE} = 0",
+       "SELECT 'head_export', 'ok', 'work_order', cast(0 AS bigint)"]))
 def q_ingest_summary(spark, sf):
+    """Outcomes of seven exports; one has values over a limit, one only a header."""
     exports = [raw_export(spark, sf, v) for v in ("notifications", "work_orders", "bom", "cost_lines",
                                                    "asset_status")]
-    _, outcomes = I.ingest_exports(exports, BATCH, STAMP)
+    notif, orders = exports[:2]
+    longer = F.when(F.col("c16").cast("bigint") % LONG_TYPE == 0, F.concat("c0", F.lit(" of a length beyond"))).otherwise(F.col("c0"))
+    exports += [I.Export("long_export", notif.raw.withColumn("c0", longer), notif.headers),
+                I.Export("head_export", orders.raw.limit(0), orders.headers)]
+    tables, outcomes = I.ingest_exports(exports, BATCH, STAMP)
+    I.release(tables)
     return outcomes
 
 

@@ -15,22 +15,25 @@ import datetime as dt
 import io
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JError
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upkeep.session import ensure_checkpoint_dir
-from upkeep.functions.cleaners import clean_date, clean_number, clean_string, long_text_flag
+from upkeep.functions.cleaners import clean_cell, clean_date, clean_number, clean_string, long_text_flag
 from upkeep.sources.exports import LAYOUTS, TABLE_OF, detect_kind, header_position, normalise_headers  # noqa: F401
+from upkeep.sources.xlsx import read_cells
 
 FILE = "_file"              # the source file of a row, where an export has one
-HEADER_CHARS = 65_536       # a longer first line is no header
+HEAD_BYTES = 65_536         # read of a text file for its header; a longer header is an error
+READERS = 16                # heads and footers that are read at once
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,7 @@ class Export:
     name: str
     raw: DataFrame
     headers: tuple[str, ...]
+    typed_cells: bool = False       # cells are structs (kind, text) of a workbook
 
     @property
     def kind(self) -> str:
@@ -83,7 +87,9 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
             continue
         c = F.col(f"c{pos}")
         src_type = raw.schema[f"c{pos}"].dataType if types else None
-        if k == "s":
+        if export.typed_cells:
+            e = clean_cell(c, k, arg)
+        elif k == "s":
             e = clean_string(c)
         elif k == "d":
             e = clean_date(c, src_type)
@@ -114,24 +120,41 @@ def ingest_exports(exports: list[Export], batch: str, uploaded_at: dt.datetime |
     """Typed DataFrames per kind (one ``unionByName`` per kind) and the per-export
     outcome table ``(file, status, kind, rows)``; unknown kinds are skipped, and
     an export with a value over its column's limit is an error as a whole: none
-    of its rows are loaded."""
+    of its rows are loaded.
+
+    Each export is evaluated once: its typed rows are staged in the shared
+    folder, and the counts that decide about it are observed while they are
+    written.  ``release`` deletes the staged rows once the tables are loaded.
+    """
+    spark = exports[0].raw.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
     by_kind: dict[str, list[DataFrame]] = {}
     outcomes = []
     for pos, ex in enumerate(exports):
         kind = ex.kind
         if kind == "unknown":
-            outcomes.append(ex.raw.limit(0).agg(F.count(F.lit(1)).alias("rows"))
-                            .select(F.lit(ex.name).alias("file"), F.lit("skip").alias("status"),
-                                    F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("rows")))
+            outcomes.append((ex.name, "skip", kind, 0))
             continue
         typed = clean_export(ex, batch, uploaded_at, kind, f"{batch}-{pos}" if row_ids else None)
-        checked = typed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(over_long(kind)), F.lit(False)).alias("bad"))
-        by_kind.setdefault(kind, []).append(typed.filter(~checked.select("bad").scalar()))
-        outcomes.append(checked.select(
-            F.lit(ex.name).alias("file"), F.when(F.col("bad"), "error").otherwise("ok").alias("status"),
-            F.lit(kind).alias("kind"), F.when(F.col("bad"), 0).otherwise(F.col("n")).cast("bigint").alias("rows")))
+        seen = Observation()
+        counts = (F.count(F.lit(1)).alias("n"), F.count(F.when(over_long(kind), 1)).alias("bad"))
+        typed.observe(seen, *counts).write.parquet(f"{folder}/{pos}")
+        n, bad = seen.get["n"], seen.get["bad"] > 0
+        outcomes.append((ex.name, "error" if bad else "ok", kind, 0 if bad else n))
+        if not bad:
+            by_kind.setdefault(kind, []).append(spark.read.schema(typed.schema).parquet(f"{folder}/{pos}"))
     tables = {k: reduce(DataFrame.unionByName, v) for k, v in by_kind.items()}
-    return tables, reduce(DataFrame.unionByName, outcomes)
+    for table in tables.values():
+        table._staged_in = folder
+    return tables, spark.createDataFrame(outcomes, "file string, status string, kind string, rows bigint")
+
+
+def release(tables: dict[str, DataFrame]) -> None:
+    """Delete the staged rows behind the tables of ``ingest_exports``."""
+    for table in tables.values():
+        if folder := getattr(table, "_staged_in", None):
+            path, fs = _fs_path(table.sparkSession, folder)
+            fs.delete(path, True)
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:
@@ -152,26 +175,39 @@ def file_uri(spark: SparkSession, path: str) -> str:
     return uri_key(fs.makeQualified(p).toUri().toString())
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """The first line of every file, read by one distributed scan; by URI.
-    Empty files have none, and a line over ``HEADER_CHARS`` is cut there."""
-    lines = (spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0)
-             .select(F.col("_metadata.file_path").alias("uri"), F.monotonically_increasing_id().alias("at"),
-                     F.substring("value", 1, HEADER_CHARS).alias("line"))
-             .groupBy("uri").agg(F.min_by("line", "at").alias("line")))
-    return {uri_key(r["uri"]): r["line"].lstrip("\ufeff").rstrip("\r") for r in lines.collect()}
-
-
-def first_line(spark: SparkSession, path: str) -> str | None:
-    return first_lines(spark, [path]).get(file_uri(spark, path))
+def file_head(spark: SparkSession, path: str, size: int = HEAD_BYTES) -> bytes | None:
+    """The first bytes of a file (``size`` and one more at most), None if there
+    is no such file."""
+    p, fs = _fs_path(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(size + 1))
+    finally:
+        stream.close()
+
+
+def first_record(head: bytes, size: int = HEAD_BYTES) -> str | None:
+    """The first record of a CSV file with the given head: up to the first line
+    break outside quotes.  None if it does not end within ``size`` bytes."""
+    whole = len(head) <= size
+    text = head[:size].decode("utf-8", "strict" if whole else "ignore").removeprefix("\ufeff")
+    quoted = False
+    for m in re.finditer(r'["\r\n]', text):
+        if m[0] == '"':
+            quoted = not quoted
+        elif not quoted:
+            return text[:m.start()]
+    return text if whole else None
 
 
 def read_header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     """The header row of a CSV export, parsed as CSV."""
-    line = first_line(spark, path)
-    if line is None:
-        return []
-    return parse_header(line, sep)
+    record = first_record(file_head(spark, path) or b"")
+    if record is None:
+        raise ValueError(f"the header of {path} is longer than {HEAD_BYTES} bytes")
+    return parse_header(record, sep)
 
 
 def parse_header(line: str, sep: str = ",") -> list[str]:
@@ -251,59 +287,142 @@ def read_parquet_group(spark: SparkSession, paths: list[str], name: str | None =
     return Export(name or ",".join(paths), raw, headers)
 
 
+def read_xlsx_group(cells: DataFrame, headers: tuple[str, ...], files: list[str], name: str) -> Export:
+    """Workbooks sharing one header row, out of the staged cells of many.  What
+    stands to the right of the header is one more column, which only says that
+    a row is not empty."""
+    wanted = cells.sparkSession.createDataFrame([(f,) for f in files], "wanted string")
+    rows = cells.where("row > 1").join(wanted, F.col(FILE) == F.col("wanted"), "left_semi")
+    at = [F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(headers))]
+    beyond = F.get(F.filter(F.slice("cells", len(headers) + 1, F.greatest(F.size("cells"), F.lit(1))),
+                            lambda x: x.isNotNull()), F.lit(0))
+    return Export(name, rows.select(*at, beyond.alias(f"c{len(headers)}"), FILE), headers, True)
+
+
+def workbook_export(cells: DataFrame, name: str) -> Export:
+    """One workbook export out of its cells; the header is its first row."""
+    head = cells.where("row = 1").select(F.transform("cells", lambda x: x["text"]).alias("h")).first()
+    headers = tuple(normalise_headers(head["h"] if head else ()))
+    files = [r[FILE] for r in cells.select(FILE).distinct().collect()]
+    return read_xlsx_group(cells, headers, files, name)
+
+
+def read_xlsx_export(spark: SparkSession, path: str) -> Export:
+    """One workbook export (its active sheet) with positional cells."""
+    ex = workbook_export(read_cells(spark, [path]), path)
+    return Export(path, ex.raw.drop(FILE), ex.headers, True)
+
+
+def _heads(spark: SparkSession, paths: list[str], sep: str) -> dict[str, tuple[str, ...] | str]:
+    """Header row of each CSV or Parquet path, or the reason why it cannot be
+    had.  A bounded part of each file is read, several files at once."""
+    def one(path: str):
+        try:
+            if path.lower().endswith(".parquet"):
+                p, fs = _fs_path(spark, path)
+                return tuple(spark.read.parquet(path).columns) if fs.exists(p) else "missing"
+            head = file_head(spark, path)
+            if head is None:
+                return "missing"
+            record = first_record(head)
+            if record is None:
+                return "header"
+            return tuple(parse_header(record, sep)) if record.strip() else ()
+        except (AnalysisException, Py4JError, UnicodeDecodeError, csv.Error) as e:
+            return type(e).__name__
+
+    with ThreadPoolExecutor(READERS) as pool:
+        return dict(zip(paths, pool.map(one, paths)))
+
+
+def _staged(spark: SparkSession, files: list[str], typed, folder: str) -> tuple[list[DataFrame], dict[str, str]]:
+    """The typed rows of ``files`` in the shared folder, and the files that
+    could not be read with their errors.  A failure is narrowed down by halves,
+    so that it costs the good files beside it nothing but another write."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    rows = typed(files)
+    try:
+        rows.write.parquet(path)
+        return [spark.read.schema(rows.schema).parquet(path)], {}
+    except (PySparkException, Py4JError) as e:
+        if len(files) == 1:
+            return [], {files[0]: type(e).__name__}
+    half = len(files) // 2
+    left, right = (_staged(spark, part, typed, folder) for part in (files[:half], files[half:]))
+    return left[0] + right[0], left[1] | right[1]
+
+
 def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, mode: str = "append",
                  uploaded_at: dt.datetime | None = None, sep: str = ",", multi_line: bool = True) -> DataFrame:
-    """Read, detect, clean and write a set of CSV or Parquet export files;
-    returns the per-file outcome table ``(file, status, kind, rows)`` with the
-    paths as given.
+    """Read, detect, clean and write a set of CSV, Parquet or workbook (.xlsx)
+    export files; returns the per-file outcome table ``(file, status, kind,
+    rows)`` with the paths as given.
 
-    CSV headers come from one distributed scan, Parquet headers from the
-    files' footers.  Files are grouped by format and header row and each group
-    is read by one scan, so the plan does not grow with the number of files.
-    The typed rows are staged in the shared folder, where they are counted
-    and checked per file; the sources are not read again.
+    Of CSV files a bounded head is read for the header, of Parquet files the
+    footer; workbooks are read once, into staged cells.  Files are grouped by
+    format and header row and each group is read by one scan, so the plan does
+    not grow with the number of files.  The typed rows are staged in the shared
+    folder, where they are counted and checked per file; the sources are not
+    read again.  What is staged is deleted at the end.
 
     ``ok``: loaded, also with no rows (a header alone).  ``skip``: another kind
     of file, no header, or a header of no known kind.  ``error``: the file
-    cannot be read, or a value exceeds its column's limit; none of its rows
+    cannot be read (its header does not end within ``HEAD_BYTES``, it is missing
+    or broken anywhere), or a value exceeds its column's limit; none of its rows
     are loaded.  The other files are not affected.
     """
-    uris = {p: file_uri(spark, p) for p in paths}
-    outcome: dict[str, tuple[str, str, int]] = {}
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    outcome: dict[str, tuple[str, str, int]] = {p: ("skip", "unsupported", 0) for p in paths}
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    texts = []
-    for p in paths:
-        f, fs = _fs_path(spark, p)
-        if not p.lower().endswith((".csv", ".parquet")):
-            outcome[p] = ("skip", "unsupported", 0)
-        elif not fs.exists(f):
-            outcome[p] = ("error", "missing", 0)
-        elif p.lower().endswith(".csv"):
-            texts.append(p)
+    uris = {p: file_uri(spark, p) for p in paths}
+    plain = [p for p in paths if p.lower().endswith((".csv", ".parquet"))]
+    for p, head in _heads(spark, plain, sep).items():
+        if isinstance(head, str):
+            outcome[p] = ("error", head, 0)
         else:
-            try:
-                groups.setdefault(("parquet", tuple(spark.read.parquet(p).columns)), []).append(p)
-            except (AnalysisException, Py4JError) as e:
-                outcome[p] = ("error", type(e).__name__, 0)
-    lines = first_lines(spark, texts) if texts else {}
-    for p in texts:
-        line = lines.get(uris[p], "")
-        groups.setdefault(("csv", tuple(parse_header(line, sep)) if line.strip() else ()), []).append(p)
+            groups.setdefault((p.lower().rpartition(".")[2], head), []).append(p)
+    books, cells, own = [p for p in paths if p.lower().endswith(".xlsx")], None, {}
+    for p in [p for p in books if not _exists(spark, p)]:
+        outcome[p] = ("error", "missing", 0)
+        books.remove(p)
+    if books:
+        read_cells(spark, books).write.parquet(f"{folder}/cells")
+        cells = spark.read.parquet(f"{folder}/cells")
+        heads = cells.where("row = 1 or row = -1").select(
+            FILE, "error", F.transform("cells", lambda x: x["text"]).alias("head")).collect()
+        own = {uri_key(r[FILE]): r[FILE] for r in heads}
+        found = {uri_key(r[FILE]): tuple(normalise_headers(r["head"])) for r in heads if r["error"] is None}
+        failed = {uri_key(r[FILE]) for r in heads if r["error"] is not None}
+        for p in books:
+            if uris[p] in failed:
+                outcome[p] = ("error", "workbook", 0)
+            else:
+                groups.setdefault(("xlsx", found.get(uris[p], ())), []).append(p)
     staged: dict[str, list[DataFrame]] = {}
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
     for pos, ((fmt, header), files) in enumerate(groups.items()):
         kind = detect_kind(header)
         for p in files:
-            outcome[p] = ("skip", "unknown" if header else "empty", 0) if kind == "unknown" else ("ok", kind, 0)
+            outcome[p] = ("skip", "unknown" if any(header) else "empty", 0) if kind == "unknown" else ("ok", kind, 0)
         if kind == "unknown":
             continue
-        if fmt == "csv":
-            ex = read_csv_group(spark, files, list(header), sep, f"group-{pos}", multi_line)
-        else:
-            ex = read_parquet_group(spark, files, f"group-{pos}")
-        typed = clean_export(ex, batch, uploaded_at, kind, f"{batch}-{pos}").withColumn("_bad", over_long(kind))
-        typed.write.parquet(f"{folder}/{pos}")
-        staged.setdefault(kind, []).append(spark.read.schema(typed.schema).parquet(f"{folder}/{pos}"))
+
+        def typed(part: list[str]) -> DataFrame:
+            if fmt == "csv":
+                # A header with line breaks can only be skipped by the reader of whole records.
+                ex = read_csv_group(spark, part, list(header), sep, f"group-{pos}",
+                                    multi_line or any("\n" in h or "\r" in h for h in header))
+            elif fmt == "xlsx":
+                ex = read_xlsx_group(cells, header, [own[uris[p]] for p in part], f"group-{pos}")
+            else:
+                ex = read_parquet_group(spark, part, f"group-{pos}")
+            prefix = f"{batch}-{pos}" if part == files else f"{batch}-{pos}-{files.index(part[0])}"
+            return clean_export(ex, batch, uploaded_at, kind, prefix).withColumn("_bad", over_long(kind))
+
+        rows, failed = _staged(spark, files, typed, folder)
+        for p, error in failed.items():
+            outcome[p] = ("error", error, 0)
+        if rows:
+            staged.setdefault(kind, []).extend(rows)
     tables = {k: reduce(DataFrame.unionByName, v) for k, v in staged.items()}
     by_uri = {u: p for p, u in uris.items()}
     # One row per file reaches the driver, as the list of paths came from there.
@@ -318,9 +437,16 @@ def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, m
                 rejected.append(p)
     good = {k: _without_files(df, [uris[p] for p in rejected]).drop(FILE, "_bad") for k, df in tables.items()}
     write_tables(good, root, mode, batch)
+    place, fs = _fs_path(spark, folder)
+    fs.delete(place, True)
     return spark.createDataFrame([(p, *outcome[p]) for p in paths], "file string, status string, kind string, rows bigint")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs_path(spark, path)
+    return fs.exists(p)
+
+
 def _parents(uri: str) -> list[str]:
     parts = uri.split("/")
     return ["/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1)]

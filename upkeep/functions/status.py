@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,31 @@ def lacks_status(c, token: str) -> Column:
     return ~has_status(c, token)
 
 
+# The status words that operators test for.
+STATUS_WORDS = ["CRTD", "REL", "TECO", "CLSD", "OSNO"]
+
+
+def status_flag(token: str) -> str:
+    """Name of the flag column of a status word."""
+    return f"status_{token.lower()}"
+
+
+def with_status_flags(df: DataFrame, status: str = "system_status") -> DataFrame:
+    """``df`` with one boolean column per status word: the outcome of its text
+    test, NULL for a NULL status.  Written once with the table, a flag is a
+    filter that the scan can take, which the text test is not."""
+    return df.withColumns({status_flag(t): has_status(status, t) for t in STATUS_WORDS})
+
+
+def tests_status(df: DataFrame, token: str, alias: str | None = None) -> Column:
+    """``has_status`` on the rows of ``df`` (under ``alias``, if it is joined):
+    by its flag column where the table has one, else by the text."""
+    at = f"{alias}." if alias else ""
+    if status_flag(token) in df.columns:
+        return F.col(at + status_flag(token))
+    return has_status(at + "system_status", token)
+
+
 def lower_or_empty(c) -> Column:
     """``LOWER(COALESCE(x, ''))``."""
     return F.lower(F.coalesce(_c(c), F.lit("")))

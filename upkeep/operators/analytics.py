@@ -19,8 +19,7 @@ from pyspark.sql import types as T
 
 from upkeep.functions.buckets import aging_bucket
 from upkeep.functions.status import (
-    as_of_date, days_between, has_status, is_blank, lacks_status, month_floor,
-    month_label, not_blank,
+    as_of_date, days_between, is_blank, month_floor, month_label, not_blank, tests_status,
 )
 
 def _one() -> Column:
@@ -32,8 +31,8 @@ def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 
 
-def _done(status: Column) -> Column:
-    return has_status(status, "TECO") | has_status(status, "CLSD")
+def _done(w: DataFrame) -> Column:
+    return tests_status(w, "TECO") | tests_status(w, "CLSD")
 
 
 # ---------------------------------------------------------------- A1 / A2 funnel
@@ -53,10 +52,9 @@ def funnel_tail(n: DataFrame, w: DataFrame) -> DataFrame:
     """REL and TECO/CLSD counted over join rows (fan-out kept, overlap allowed)."""
     nk = (n.filter(not_blank("order_no")).groupBy("order_no")
           .agg(F.count(_one()).alias("n_cnt")))
-    st = F.col("system_status")
-    wk = (w.filter(not_blank("order_no") & (has_status(st, "REL") | _done(st))).groupBy("order_no")
-          .agg(count_if(has_status(st, "REL")).alias("w_rel"),
-               count_if(_done(st)).alias("w_done")))
+    wk = (w.filter(not_blank("order_no") & (tests_status(w, "REL") | _done(w))).groupBy("order_no")
+          .agg(count_if(tests_status(w, "REL")).alias("w_rel"),
+               count_if(_done(w)).alias("w_done")))
     j = nk.join(wk, "order_no", "inner")
     z = F.lit(0).cast("bigint")
     return j.agg(F.coalesce(F.sum(F.col("n_cnt") * F.col("w_rel")), z).cast("bigint").alias("rel"),
@@ -133,8 +131,8 @@ def lead_time_matrix(lead: DataFrame) -> DataFrame:
 WO_CATEGORIES = ["no_wo", "crtd", "rel", "teco"]
 
 
-def _wo_category(status: Column) -> Column:
-    return (F.when(_done(status), "teco").when(has_status(status, "REL"), "rel")
+def _wo_category(w: DataFrame) -> Column:
+    return (F.when(_done(w), "teco").when(tests_status(w, "REL"), "rel")
             .otherwise("crtd"))
 
 
@@ -144,7 +142,7 @@ def overdue_by_wo_status(n: DataFrame, w: DataFrame, as_of=None) -> DataFrame:
     Category precedence per join row: blank order -> no_wo, TECO/CLSD -> teco,
     REL -> rel, anything else (also no matching order) -> crtd.
     """
-    cat = _wo_category(F.col("system_status"))
+    cat = _wo_category(w)
     kinds = ("crtd", "rel", "teco")
     # One row per (type, key) meets one row per key: the join carries no
     # duplicates of a hot key, and each table is read once.
@@ -179,7 +177,7 @@ def trend_notifications(n: DataFrame, as_of=None, months: int = 6) -> DataFrame:
 
 def trend_finished(w: DataFrame, as_of=None, months: int = 6) -> DataFrame:
     f = w.filter((F.col("actual_finish") >= month_floor(as_of, months - 1))
-                 & _done(F.col("system_status")))
+                 & _done(w))
     return f.groupBy(month_label("actual_finish").alias("month")).agg(F.count(_one()).alias("cnt"))
 
 
@@ -205,8 +203,7 @@ def bad_actors(n: DataFrame, w: DataFrame, min_notifs: int = 3, top: int = 10) -
           .agg(F.count(_one()).alias("notif_cnt"))
           .filter(F.col("notif_cnt") >= min_notifs)
           .orderBy(F.desc("notif_cnt"), F.asc("equipment")).limit(top))
-    st = F.col("system_status")
-    stagnant = (w.filter(has_status(st, "REL") & F.col("actual_finish").isNull())
+    stagnant = (w.filter(tests_status(w, "REL") & F.col("actual_finish").isNull())
                 .join(F.broadcast(nk.select("equipment")), "equipment", "left_semi")
                 .groupBy("equipment").agg(F.count(_one()).alias("stagnant_wo")))
     return (nk.join(stagnant, "equipment", "left")
@@ -217,34 +214,31 @@ def bad_actors(n: DataFrame, w: DataFrame, min_notifs: int = 3, top: int = 10) -
 
 # ---------------------------------------------------------------- A8 WO status by type
 def wo_status_by_type(w: DataFrame) -> DataFrame:
-    st = F.col("system_status")
     return (w.filter(not_blank("order_type")).groupBy("order_type")
-            .agg(count_if(has_status(st, "CRTD") & lacks_status(st, "REL")).alias("crtd"),
-                 count_if(has_status(st, "REL")).alias("rel"),
-                 count_if(has_status(st, "TECO")).alias("teco"),
-                 count_if(has_status(st, "CLSD")).alias("clsd"))
+            .agg(count_if(tests_status(w, "CRTD") & ~tests_status(w, "REL")).alias("crtd"),
+                 count_if(tests_status(w, "REL")).alias("rel"),
+                 count_if(tests_status(w, "TECO")).alias("teco"),
+                 count_if(tests_status(w, "CLSD")).alias("clsd"))
             .orderBy("order_type"))
 
 
 def wo_kpi(w: DataFrame) -> DataFrame:
     """KPI "total WO" as the dashboard shows it (sum of the four non-exclusive
     counters over typed orders) next to the true row count."""
-    st = F.col("system_status")
     typed = not_blank("order_type")
     return w.agg(
-        (count_if(typed & has_status(st, "CRTD") & lacks_status(st, "REL"))
-         + count_if(typed & has_status(st, "REL"))
-         + count_if(typed & has_status(st, "TECO"))
-         + count_if(typed & has_status(st, "CLSD"))).alias("kpi_total_wo"),
+        (count_if(typed & tests_status(w, "CRTD") & ~tests_status(w, "REL"))
+         + count_if(typed & tests_status(w, "REL"))
+         + count_if(typed & tests_status(w, "TECO"))
+         + count_if(typed & tests_status(w, "CLSD"))).alias("kpi_total_wo"),
         F.count(_one()).alias("row_count"))
 
 
 # ---------------------------------------------------------------- A9 aging
 def overdue_open_orders(w: DataFrame, as_of=None) -> DataFrame:
     """Work orders past basic finish and neither TECO nor CLSD (NULL status drops)."""
-    st = F.col("system_status")
     return w.filter((F.col("basic_fin_date") < as_of_date(as_of))
-                    & lacks_status(st, "TECO") & lacks_status(st, "CLSD"))
+                    & ~tests_status(w, "TECO") & ~tests_status(w, "CLSD"))
 
 
 def wo_aging(w: DataFrame, as_of=None) -> DataFrame:
@@ -294,14 +288,13 @@ def source_summary(n: DataFrame, w: DataFrame, bom: DataFrame, cost: DataFrame)
 
 # ---------------------------------------------------------------- A13-A15 control-tower summaries
 def wo_summary_by_type(w: DataFrame, as_of=None) -> DataFrame:
-    st = F.col("system_status")
     overdue = ((F.col("basic_fin_date") < as_of_date(as_of))
-               & lacks_status(st, "TECO") & lacks_status(st, "CLSD"))
+               & ~tests_status(w, "TECO") & ~tests_status(w, "CLSD"))
     return (w.groupBy("order_type")
             .agg(F.count(_one()).alias("total"),
-                 count_if(has_status(st, "REL") & F.col("actual_finish").isNull()).alias("stagnant"),
-                 count_if(has_status(st, "TECO")).alias("teco"),
-                 count_if(has_status(st, "CLSD")).alias("closed"),
+                 count_if(tests_status(w, "REL") & F.col("actual_finish").isNull()).alias("stagnant"),
+                 count_if(tests_status(w, "TECO")).alias("teco"),
+                 count_if(tests_status(w, "CLSD")).alias("closed"),
                  count_if(overdue).alias("overdue"))
             .orderBy(F.asc_nulls_last("order_type")))
 

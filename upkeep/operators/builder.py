@@ -179,6 +179,25 @@ def pivot_chart(grouped: DataFrame, x_col: str, group_col: str, series: list[str
             .orderBy(F.asc_nulls_last(x_col)))
 
 
+def pivot_matrix(grouped: DataFrame, x_col: str, group_col: str) -> DataFrame:
+    """Wide form with the series found in the data: per x the ``legend`` (all
+    series, sorted, the same in every row) and ``cells``, one value for each.
+
+    Lazy and without a driver read: the legend is a scalar subquery, and a row
+    looks its values up in a map of its own cells.  A missing combination is
+    0, a NULL aggregate NULL, a NULL series the dash.
+    """
+    kind = grouped.schema["value"].dataType
+    own = grouped.select(F.col(x_col), F.coalesce(F.col(group_col).cast("string"), F.lit(NULL_MARK)).alias("_g"), "value")
+    legend = own.agg(F.sort_array(F.collect_set("_g"))).scalar()
+    # A series that is named like the dash meets the NULL one: one value of both.
+    rows = own.groupBy(x_col, "_g").agg(F.first("value").alias("value")).groupBy(x_col).agg(F.map_from_entries(F.collect_list(F.struct("_g", "value"))).alias("_of"))
+    return (rows.withColumn("legend", legend)
+            .select(x_col, "legend", F.transform("legend", lambda s: F.when(
+                F.map_contains_key("_of", s), F.element_at("_of", s)).otherwise(F.lit(0).cast(kind))).alias("cells"))
+            .orderBy(F.asc_nulls_last(x_col)))
+
+
 def filter_values(df: DataFrame, table: str, column: str, limit: int = 200) -> DataFrame:
     """Distinct non-blank values of a catalog filter column, sorted, first 200
     (the filter drop-down).  Unknown tables or columns raise ``ValueError``."""

@@ -9,13 +9,14 @@ pages ``page_after`` gives key-set paging that needs no offset scan.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.functions.buckets import bucket_dates
 from upkeep.functions.status import (
-    as_of_date, days_between, has_status, is_blank, in_month, lacks_status, not_blank, preview,
+    as_of_date, days_between, in_month, is_blank, not_blank, preview, tests_status,
 )
 
 DESC_LEN = 80
@@ -39,8 +40,8 @@ def _proj(df: DataFrame, cols, prefix=None) -> list[Column]:
     return out
 
 
-def _done(st: Column) -> Column:
-    return has_status(st, "TECO") | has_status(st, "CLSD")
+def _done(w: DataFrame, alias: str | None = None) -> Column:
+    return tests_status(w, "TECO", alias) | tests_status(w, "CLSD", alias)
 
 
 def _keyed(n: DataFrame, w: DataFrame, how: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,7 +77,7 @@ def funnel_has_wo(n: DataFrame, w: DataFrame) -> DataFrame:
 
 def funnel_rel(n: DataFrame, w: DataFrame) -> DataFrame:
     j, _, _ = _keyed(n, w, "inner")
-    j = j.filter(has_status(F.col("w.system_status"), "REL"))
+    j = j.filter(tests_status(w, "REL", "w"))
     return (j.select(F.col("n.notification").alias("notification"),
                      F.col("n.notif_type").alias("notif_type"),
                      F.col("n.criticality").alias("criticality"),
@@ -93,7 +94,7 @@ def funnel_rel(n: DataFrame, w: DataFrame) -> DataFrame:
 
 def funnel_done(n: DataFrame, w: DataFrame) -> DataFrame:
     j, _, _ = _keyed(n, w, "inner")
-    j = j.filter(_done(F.col("w.system_status")))
+    j = j.filter(_done(w, "w"))
     return (j.select(F.col("n.notification").alias("notification"),
                      F.col("n.notif_type").alias("notif_type"),
                      F.col("n.criticality").alias("criticality"),
@@ -138,9 +139,9 @@ def overdue_detail(n: DataFrame, w: DataFrame, notif_type: str = "M1", wo_cat: s
     """
     st = F.col("w.system_status")
     cat = {
-        "crtd": has_status(st, "CRTD") & lacks_status(st, "REL"),
-        "rel": has_status(st, "REL"),
-        "teco": _done(st),
+        "crtd": tests_status(w, "CRTD", "w") & ~tests_status(w, "REL", "w"),
+        "rel": tests_status(w, "REL", "w"),
+        "teco": _done(w, "w"),
     }
     nf = n.filter((F.col("required_end") < as_of_date(as_of)) & (F.col("notif_type") == notif_type))
     if wo_cat in cat:
@@ -183,18 +184,17 @@ def trend_notif_detail(n: DataFrame, month: str) -> DataFrame:
 
 
 def trend_done_detail(w: DataFrame, month: str) -> DataFrame:
-    f = w.filter(in_month("actual_finish", month) & _done(F.col("system_status")))
+    f = w.filter(in_month("actual_finish", month) & _done(w))
     return f.select(*_proj(f, W10), "id").orderBy(F.desc_nulls_last("actual_finish"), "id")
 
 
 # ------------------------------------------------------------------ D9 WO by type x status
 def wo_by_type_detail(w: DataFrame, order_type: str = "PT02", status: str = "rel") -> DataFrame:
-    st = F.col("system_status")
     preds = {
-        "crtd": has_status(st, "CRTD") & lacks_status(st, "REL"),
-        "rel": has_status(st, "REL"),
-        "teco": has_status(st, "TECO"),
-        "clsd": has_status(st, "CLSD"),
+        "crtd": tests_status(w, "CRTD") & ~tests_status(w, "REL"),
+        "rel": tests_status(w, "REL"),
+        "teco": tests_status(w, "TECO"),
+        "clsd": tests_status(w, "CLSD"),
     }
     pred = preds.get((status or "").lower(), preds["rel"])
     f = w.filter((F.col("order_type") == order_type) & pred)
@@ -214,10 +214,9 @@ AGING_COLS = ["order_no", "order_type", "system_status", "criticality", "descrip
 
 
 def aging_detail(w: DataFrame, bucket: str, as_of=None) -> DataFrame:
-    st = F.col("system_status")
     days = days_between(as_of_date(as_of), F.col("basic_fin_date"))
-    f = w.filter((F.col("basic_fin_date") < as_of_date(as_of)) & lacks_status(st, "TECO")
-                 & lacks_status(st, "CLSD")
+    f = w.filter((F.col("basic_fin_date") < as_of_date(as_of)) & ~tests_status(w, "TECO")
+                 & ~tests_status(w, "CLSD")
                  & bucket_dates(bucket, F.col("basic_fin_date"), as_of_date(as_of)))
     return (f.select(*_proj(f, AGING_COLS), days.alias("days_overdue"), "total_act_cost",
                      "main_workctr", "id")
@@ -248,6 +247,28 @@ def page(df: DataFrame, page_no: int = 1, per_page: int = 25) -> DataFrame:
     return df.offset((page_no - 1) * per_page).limit(per_page)
 
 
+def joined_page(build: Callable[[DataFrame, DataFrame], DataFrame], n: DataFrame, w: DataFrame,
+                order: list[tuple[str, bool]], page_no: int = 1, per_page: int = 25) -> DataFrame:
+    """One page of a drill-down that joins notifications and work orders
+    (``build``), in its ``order`` (which ends with ``id`` and ``wo_id``).
+
+    The page is found on the order's columns alone: they are all that is joined,
+    and a bounded top-k keeps the rows up to the page's end.  The page's row
+    numbers, ``per_page`` of them, come in as one scalar subquery, and only the
+    rows they name are joined again with the columns that are shown.
+    """
+    page_no, per_page = clamp_paging(page_no, per_page)
+    sort = [F.asc_nulls_last(c) if a else F.desc_nulls_last(c) for c, a in order]
+    keys = (build(n, w).select(*[c for c, _ in order]).orderBy(*sort)
+            .offset((page_no - 1) * per_page).limit(per_page))
+    pair = F.concat_ws(":", F.col("id").cast("string"), F.coalesce(F.col("wo_id").cast("string"), F.lit("")))
+    shown = keys.agg(F.struct(F.collect_list("id").alias("ids"), F.collect_list("wo_id").alias("wo_ids"),
+                              F.collect_list(pair).alias("pairs")).alias("shown")).scalar()
+    wide = build(n.filter(F.array_contains(shown["ids"], F.col("id"))),
+                 w.filter(F.array_contains(shown["wo_ids"], F.col("id"))))
+    return wide.filter(F.array_contains(shown["pairs"], pair)).orderBy(*sort)
+
+
 def page_info(df: DataFrame, per_page: int = 25) -> DataFrame:
     """``total`` rows and ``total_pages`` (at least 1) as a one-row DataFrame."""
     _, per_page = clamp_paging(1, per_page)

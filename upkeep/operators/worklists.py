@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from upkeep.functions.status import as_of_date, has_status, is_blank, lacks_status
+from upkeep.functions.status import as_of_date, has_status, is_blank, lacks_status, tests_status
 
 BACKLOG_COLS = ["notif_type", "notification", "system_status", "req_start", "required_end",
                 "main_workctr", "description", "equipment", "functional_loc", "criticality", "location"]
@@ -37,7 +37,7 @@ def _top(df: DataFrame, cols, order, limit):
 
 def backlog(n: DataFrame, limit: int | None = 50) -> DataFrame:
     """Notifications without an order and status OSNO, earliest required end first."""
-    f = n.filter(is_blank("order_no") & has_status(F.col("system_status"), "OSNO"))
+    f = n.filter(is_blank("order_no") & tests_status(n, "OSNO"))
     return _top(f, BACKLOG_COLS, [F.asc_nulls_last("required_end")], limit)
 
 
@@ -48,26 +48,24 @@ def overdue_notifications(n: DataFrame, as_of=None, limit: int | None = 30) -> D
 
 def stagnant(w: DataFrame, limit: int | None = 50) -> DataFrame:
     """Released orders without actual finish."""
-    f = w.filter(has_status(F.col("system_status"), "REL") & F.col("actual_finish").isNull())
+    f = w.filter(tests_status(w, "REL") & F.col("actual_finish").isNull())
     return _top(f, STAGNANT_COLS, [F.asc_nulls_last("basic_fin_date")], limit)
 
 
 def overdue_orders(w: DataFrame, as_of=None, limit: int | None = 30) -> DataFrame:
-    st = F.col("system_status")
     f = w.filter((F.col("basic_fin_date") < as_of_date(as_of))
-                 & lacks_status(st, "TECO") & lacks_status(st, "CLSD"))
+                 & ~tests_status(w, "TECO") & ~tests_status(w, "CLSD"))
     return _top(f, OVERDUE_WO_COLS, [F.asc_nulls_last("basic_fin_date")], limit)
 
 
 def pending_release(w: DataFrame, limit: int | None = 20) -> DataFrame:
-    st = F.col("system_status")
-    f = w.filter(has_status(st, "CRTD") & lacks_status(st, "REL"))
+    f = w.filter(tests_status(w, "CRTD") & ~tests_status(w, "REL"))
     return _top(f, PENDING_COLS, [F.asc_nulls_last("bas_start_date")], limit)
 
 
 def teco_without_finish(w: DataFrame, limit: int | None = None) -> DataFrame:
     """Data-consistency flag: technically completed but no actual finish date."""
-    f = w.filter(has_status(F.col("system_status"), "TECO") & F.col("actual_finish").isNull())
+    f = w.filter(tests_status(w, "TECO") & F.col("actual_finish").isNull())
     return _top(f, TECO_NO_FINISH_COLS, [F.asc_nulls_last("basic_fin_date")], limit)
 
 

@@ -136,9 +136,15 @@ _PACK = [
 ]
 
 
+# Sections without a limit: one row per item.
+_UNLIMITED = ("wo_summary_by_type", "notification_summary")
+
+
 def _pack_sql():
     parts = []
     for name, key, _, order in _PACK:
+        if name in _UNLIMITED:
+            continue
         raw = REGISTRY[key].raw_sql.strip()
         parts.append(f"SELECT '{name}' AS section, count(*) AS n_rows, "
                      f"coalesce(to_json(list(t ORDER BY {order})), '[]')::varchar AS payload FROM ({raw}) t")
@@ -149,17 +155,32 @@ def _pack_sql():
 def q_pack_json(spark, sf):
     n, w = views(spark, sf, "notifications", "work_orders")
     lists = W.control_tower_lists(AS_OF)
-    summaries = {
-        "wo_summary_by_type": (A.wo_summary_by_type(w, AS_OF), _order("wo_summary_by_type")),
-        "notification_summary": (A.notification_summary(n), _order("notification_summary")),
-        "repeated_equipment": (A.repeated_equipment(n), _order("repeated_equipment")),
-    }
+    summaries = {"repeated_equipment": (A.repeated_equipment(n), _order("repeated_equipment"))}
     # The five worklists come from one scan per table.
     return (P.pack_top_lists(n, lists["notifications"])
             .unionByName(P.pack_top_lists(w, lists["work_orders"]))
             .unionByName(P.pack_json(summaries)))
 
 
+def _items_sql():
+    parts = []
+    for name, key, _, order in _PACK:
+        if name in _UNLIMITED:
+            raw = REGISTRY[key].raw_sql.strip()
+            parts.append(f"SELECT '{name}' AS section, row_number() OVER (ORDER BY {order}) AS position, "
+                         f"to_json(t)::varchar AS payload FROM ({raw}) t")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("pack_items", _items_sql())
+def q_pack_items(spark, sf):
+    """The control-tower sections without a limit, item by item."""
+    n, w = views(spark, sf, "notifications", "work_orders")
+    return P.pack_items({
+        "wo_summary_by_type": (A.wo_summary_by_type(w, AS_OF), _order("wo_summary_by_type")),
+        "notification_summary": (A.notification_summary(n), _order("notification_summary"))})
+
+
 def _order(key):
     return next(order for _, k, order, _ in _PACK if k == key)()
 

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from upkeep.session import ensure_checkpoint_dir
 from upkeep.functions.cleaners import clean_cell, clean_date, clean_number, clean_string, long_text_flag
+from upkeep.functions.status import STATUS_WORDS, status_flag, with_status_flags
 from upkeep.sources.exports import LAYOUTS, TABLE_OF, detect_kind, header_position, normalise_headers  # noqa: F401
 from upkeep.sources.xlsx import read_cells
 
@@ -263,12 +264,15 @@ def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append",
     """Append (default) or replace.  Replace only touches the kinds present in
     this upload and swaps each table in after the new data is fully written;
     each table is partitioned by ``upload_batch`` so a batch can later be
-    dropped without rewriting the others."""
+    dropped without rewriting the others.  Status texts get their flag columns
+    (not in a table that was begun without them)."""
     if mode not in ("append", "replace"):
         raise ValueError(f"unknown mode {mode}")
     written = []
     for kind, df in tables.items():
         path = f"{root.rstrip('/')}/{TABLE_OF[kind]}"
+        if "system_status" in df.columns and _takes_flags(df.sparkSession, path, mode):
+            df = with_status_flags(df)
         if mode == "replace":
             replace_table(df.sparkSession, df, path, tag or uuid.uuid4().hex[:12])
         else:
@@ -277,6 +281,16 @@ def write_tables(tables: dict[str, DataFrame], root: str, mode: str = "append",
     return written
 
 
+def _takes_flags(spark: SparkSession, path: str, mode: str) -> bool:
+    """Whether rows written to a table may have flag columns: a new table, a
+    replaced one, or one whose rows have them."""
+    table, fs = _fs_path(spark, path)
+    if mode == "replace" or not fs.exists(table):
+        return True
+    old = [s.getPath() for s in fs.listStatus(table) if s.getPath().getName().startswith("upload_batch=")]
+    return not old or status_flag(STATUS_WORDS[0]) in spark.read.parquet(old[0].toString()).columns
+
+
 def read_parquet_group(spark: SparkSession, paths: list[str], name: str | None = None) -> Export:
     """Parquet exports sharing one column layout, read by one scan; column
     names are the header row, typed cells (dates, numbers) keep their type."""

@@ -65,3 +65,40 @@ def test_titles_of_pasted_bodies():
     assert names("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser "
                  "General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, "
                  "or (at your option) any later version.") == ["LGPL-2.1-or-later"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: Apache-2.0\ncode", ["Apache-2.0"]),
+    ("# SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", ["LGPL-2.1-or-later"]),
+    ("This project is MIT licensed.", ["MIT"]), ("MIT License\n\nCopyright (c) 2020 A. Body", ["MIT"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("Licensed under the EUPL, Version 1.2.", ["EUPL-1.2"]),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", ["EPL-2.0"]),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+     "damages arising from the use of this software.", ["Zlib"]),
+    ("This is not released under the MIT License.", []), ("This work was never licensed under the Apache License, Version 2.0.", []),
+    ("It is no longer released under the MIT License. Released under the MIT License.", ["MIT"]),
+    ("The MIT License is one that many people like to read about.", [])])
+def test_short_forms_and_negations(text, want):
+    assert names(text) == want
+
+
+def test_exact_notices_of_the_tables_by_search(spark):
+    """Every verbatim notice in the documents is reported at its place, and nothing elsewhere."""
+    import re
+
+    from ..conftest import SF_MID
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r["found"] for r in licenses.scan_licenses(docs).collect()}
+    wordings = sorted({(w, n) for n, _, w in licenses.TEMPLATES}, key=lambda x: -len(x[0]))
+    seen = 0
+    for r in docs.where("text is not null").collect():
+        taken, want = [], set()
+        for wording, name in wordings:
+            for m in re.finditer(re.escape(wording), r["text"]):
+                if not any(a < m.end() and m.start() < b for a, b in taken):
+                    taken.append(m.span())
+                    want.add((name, *m.span()))
+        assert {(f["license"], f["start"], f["end"]) for f in found[r["doc_id"]] if not f["lacks"] and not f["adds"]} >= want
+        seen += len(want)
+        assert bool(found[r["doc_id"]]) == bool(want)
+    assert seen > 10

@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upkeep.session import ensure_checkpoint_dir
+from upkeep.session import ensure_checkpoint_dir, ship_package
 
 # Bytes of text that one numpy step works on; bounds the temporary arrays of a task.
 SLICE_BYTES = 1 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the session's executors, once a session, so that
-    tasks can import it whatever is installed where they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_upkeep_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="upkeep-ship-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(path))
-    sc._upkeep_shipped = True
-
-
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors."""
-    ship(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

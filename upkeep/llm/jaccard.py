@@ -45,9 +45,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import drop_shared, map_arrow, shared_table, ship, slices, staged
+from upkeep.llm.common import drop_shared, map_arrow, shared_table, slices, staged
 from upkeep.llm.components import connected_components, local_components
 from upkeep.llm.words import U64, mix, run_hashes, word_hashes
+from upkeep.session import ship_package
 
 WORD = r"[^ \t-\r]"            # any character of a word
 SHINGLE = 5
@@ -253,7 +254,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     drop_shared(met)
     compared = members.where(F.col("n") <= BUCKET_ROWS).select("band", "cid")
     n_groups = max(64, compared.count() // (8 * BUCKET_ROWS))
-    ship(classes.sparkSession)
+    ship_package(classes.sparkSession)
     ties = (compared.join(classes.select("cid", "sig"), "cid")
             .groupBy(F.pmod(F.xxhash64("band"), F.lit(n_groups)).alias("g"))
             .applyInPandas(_ties, "u bigint, v bigint"))

@@ -5,16 +5,19 @@ line between) that hold license words.  A block is read in windows: sentences in
 row that start inside it and may go on behind it by the length of a template.
 A window is compressed alone and with each license template as a zstandard raw
 dictionary; templates are ranked by the reduction in size, as a share of the
-window's or the template's own compressed size, whichever is less.  The best
-ones are then confirmed by exact wording: the words of the template are aligned
-with the window, and the template wins only if its distinguishing words (names,
-numbers, clauses) all stand in the window in order and the share of its other
-words that differ is at most ``MOST_DIFFERENT``.  What differs is part of the
+window's or the template's own compressed size, whichever is less.  Those that
+save ``LEAST_REDUCTION`` are then confirmed by exact wording: the words of the
+template are aligned with the window, and the template wins only if its
+distinguishing words (names, numbers, clauses) all stand in the window in order,
+the share of its other words that differ is at most ``MOST_DIFFERENT``, and no
+negation stands in its sentence before or within it.  A title (``MIT License``)
+counts only where it is all of the window.  What differs is part of the
 result.  Of windows that overlap the one with the most words of its template
 stands; what it holds before and after its template is scanned again, so a
 block yields each of its licenses.
 
-A pasted license body is known by its title paragraph.
+A pasted license body is known by its title paragraph, a source file by its SPDX
+line (templates made from the list of identifiers).
 
 Defined cases: a null text is an empty one; a null doc_id is kept; repeated
 rows are each scanned; an empty table gives an empty result; texts are never
@@ -26,7 +29,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import zstandard
@@ -35,7 +38,6 @@ from pyspark.sql import DataFrame
 from upkeep.llm.common import map_arrow, slices
 
 LEVEL = 12
-TOP = 4
 LEAST_REDUCTION = 0.15
 MOST_DIFFERENT = 0.34
 
@@ -150,7 +152,24 @@ TEMPLATES: list[tuple[str, str, str]] = [
      "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "all rights reserved", "All rights reserved."),
     ("Proprietary", "all rights reserved", "Copyright (c) the author. All rights reserved."),
+    ("MIT", "MIT licensed", "This project is MIT licensed."),
+    ("Apache-2.0", "Apache 2 0 licensed", "This project is Apache 2.0 licensed."),
+    ("BSL-1.0", "boost software license 1 0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "eclipse public license 2 0",
+     "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("EUPL-1.2", "EUPL 1 2", "Licensed under the EUPL, Version 1.2."),
+    ("Zlib", "provided as is without express or implied warranty in no event authors held liable",
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+     "liable for any damages arising from the use of this software."),
 ]
+# Titles that stand alone on a line, and SPDX identifiers.
+TITLES = [("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("Zlib", "zlib License"),
+          ("Apache-2.0", "Apache License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+          ("BSL-1.0", "Boost Software License - Version 1.0")]
+SPDX = ["MIT", "ISC", "Zlib", "Unlicense", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "MPL-2.0", "EPL-2.0", "EUPL-1.2",
+        "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
+NEGATIONS = frozenset(["not", "never", "nor", "no", "cannot", "neither", "isn", "aren", "wasn", "without"])
 
 CUES = ("licen", "copyright", "spdx", "permission is hereby", "permission to use", "redistribution and use",
         "redistribute it and", "public domain", "rights reserved", "creative commons", "cc by", "cc-by", "cc0",
@@ -213,26 +232,31 @@ class Scanner:
     def __init__(self) -> None:
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.models, self.sizes = [], []
-        for name, must, wording in TEMPLATES:
+        lines = [(name, f"SPDX license identifier {name}", f"SPDX-License-Identifier: {name}") for name in SPDX]
+        for name, must, wording in [*TEMPLATES, *lines, *((name, title, title) for name, title in TITLES)]:
             data = zstandard.ZstdCompressionDict(wording.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.models.append((name, words_of(must), words_of(wording), zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)))
             self.sizes.append(len(self.alone.compress(wording.encode())))
+        self.titles = range(len(self.models) - len(TITLES), len(self.models))
         self.most_words = int((1 + MOST_DIFFERENT) * max(len(m[2]) for m in self.models)) + 1
 
     def reductions(self, block: str) -> list[tuple[float, int]]:
         """Share of the compressed size (of the block or the template, the
-        lesser one) that each template saves whose distinguishing words stand
-        in the block, best first (ties: as listed)."""
-        have = set(words_of(block))
-        models = [i for i, m in enumerate(self.models) if have.issuperset(m[1])]
-        if not models:
-            return []
+        lesser one) that each template saves, best first (ties: as listed)."""
         data = block.encode()
         size = len(self.alone.compress(data))
-        return sorted((((size - len(self.models[i][3].compress(data))) / min(size, self.sizes[i]), i) for i in models),
+        return sorted((((size - len(m[3].compress(data))) / min(size, self.sizes[i]), i) for i, m in enumerate(self.models)),
                       key=lambda x: (-x[0], x[1]))
 
+    @staticmethod
+    def negated(block: str, first: int, adds: list[str]) -> bool:
+        """Whether a negation stands among the words that a template does not
+        have, or in its sentence before its first word."""
+        place = next(islice(_WORDS.finditer(lowered(block)), first, None)).start()
+        before = re.split(r"[.!?\n]", block[:place])[-1]
+        return not NEGATIONS.isdisjoint(adds) or not NEGATIONS.isdisjoint(words_of(before))
+
     def differences(self, block: str, model: int) -> tuple[list[str], list[str], float, int, int] | None:
         """Words that the block lacks and adds inside the template's wording,
         their share, and the first and last word of the block that it takes;
@@ -256,15 +280,17 @@ class Scanner:
         return lacks, adds, (len(lacks) + len(adds)) / len(wording), first, last - 1
 
     def winner(self, block: str) -> dict | None:
-        """The confirmed template of a block: of the best ``TOP`` by reduction
-        the one with the fewest differing words (ties: the larger wording,
-        then the larger reduction)."""
-        found = []
+        """The confirmed template of a block: of those with a sufficient
+        reduction the one with the fewest differing words (ties: the larger
+        wording, then the larger reduction)."""
+        found, n = [], len(words_of(block))
         for reduction, i in self.reductions(block):
-            if reduction < LEAST_REDUCTION or len(found) >= TOP:
+            if reduction < LEAST_REDUCTION:
                 break
             diff = self.differences(block, i)
-            if diff and diff[2] <= MOST_DIFFERENT:
+            if not diff or diff[2] > MOST_DIFFERENT or self.negated(block, diff[3], diff[1]):
+                continue
+            if i not in self.titles or (diff[3] == 0 and diff[4] == n - 1):
                 found.append((len(diff[0]) + len(diff[1]), -len(self.models[i][2]), -reduction, i, diff))
         if not found:
             return None

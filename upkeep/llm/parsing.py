@@ -38,8 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import map_arrow, ship, slices
+from upkeep.llm.common import map_arrow, slices
 from upkeep.llm.words import U64, mix
+from upkeep.session import ship_package
 
 SKETCH = 48
 LEVELS = 3
@@ -184,7 +185,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     each part, ``MOST_PARTS`` at most.
     """
     spark = docs.sparkSession
-    ship(spark)
+    ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n, n_ids = rows.agg(F.count("*"), F.count("doc_id")).first()
     parts = int(min(MOST_PARTS, max(1, n // ROWS_PER_PART)))

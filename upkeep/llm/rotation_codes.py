@@ -44,8 +44,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upkeep.llm.common import drop_shared, map_arrow, shared_table, ship
+from upkeep.llm.common import drop_shared, map_arrow, shared_table
 from upkeep.llm.components import connected_components, local_components
+from upkeep.session import ship_package
 
 THRESHOLD = 0.93
 BLOCK_ENTRIES = 1 << 18         # entries (rows x dimensions) of a block
@@ -226,7 +227,7 @@ def near_duplicates(table: DataFrame) -> DataFrame:
              .withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
              .withColumn("bi", F.least("block", "with")).withColumn("bj", F.greatest("block", "with"))
              .drop("with", "n_blocks"))
-    ship(spark)
+    ship_package(spark)
     verified = shared_table(
         dealt.groupBy("label", "d", "bi", "bj").applyInPandas(_job, "cid bigint, links bigint, root bigint"),
         "vector-links")

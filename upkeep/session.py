@@ -54,10 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
     if configured:
-        sc.setCheckpointDir(configured)
+        if not current.isDefined():         # every call makes a folder of its own there
+            sc.setCheckpointDir(configured)
         return configured
-    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     if not sc.master.startswith("local[") and sc.master != "local":

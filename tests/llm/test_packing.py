@@ -73,7 +73,7 @@ def test_tokens_by_a_plain_count(spark):
 def test_pieces_make_the_text_again(spark):
     rows = list(enumerate(TEXTS)) + [(None, "one of many rows " * 30 + str(i)) for i in range(40)] + [(5, "reused " * 200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    out = packing.pack(packing.token_counts(docs, keep_text=True), 64, 4, 256).collect()
+    out = packing.pack(packing.token_counts(docs, keep_text=True, max_tokens=64), 64, 4, 256).collect()
     texts = {}
     for r in sorted(out, key=lambda r: r["piece"]):
         key = r["doc_id"], r["doc_key"]

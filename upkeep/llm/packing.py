@@ -27,21 +27,49 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from upkeep.llm.common import shared_table, staged
+from upkeep.llm.common import map_arrow, shared_table, slices, staged
 
 MAX_TOKENS = 2048
 BUCKETS = 8
 BUDGET = 16_384
 SHARDS = 1024
 UNIT_CHARS = 8
-_SPACE = r" \t-\r"
-_SYLLABLES = r"\u2E80-\u9FFF\uA960-\uA97F\uAC00-\uD7FF\uF900-\uFAFF\uFE30-\uFE4F"
-UNIT = rf"[{_SYLLABLES}]|[^{_SPACE}{_SYLLABLES}]{{1,{UNIT_CHARS}}}"
+# Blocks of ideographs, kana and Hangul syllables.
+SYLLABLES = ((0x2E80, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F))
+_SPACE = np.zeros(33, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def token_starts(text: str) -> np.ndarray:
+    """The places (code points) at which the tokens of ``text`` begin."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    alone = np.zeros(len(c), bool)
+    if len(c) and c.max() >= SYLLABLES[0][0]:
+        for low, high in SYLLABLES:
+            alone |= (c >= low) & (c <= high)
+    run = ~_SPACE[np.minimum(c, 32)] | (c > 32)
+    run &= ~alone
+    at = np.arange(len(c))
+    # Where the run that a character belongs to begins.
+    first = run.copy()
+    first[1:] &= ~run[:-1]
+    began = np.maximum.accumulate(np.where(first, at, 0)) if len(c) else at
+    return np.flatnonzero(alone | (run & ((at - began) % UNIT_CHARS == 0)))
+
+
+def pieces_of(text: str, starts: np.ndarray, max_tokens: int) -> list[str]:
+    """The text cut before every ``max_tokens``-th token but the first; what
+    stands between two tokens goes with the first of them."""
+    cuts = [0, *starts[max_tokens::max_tokens].tolist(), len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def best_boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -76,70 +104,77 @@ def best_boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[i
     return bounds[::-1]
 
 
-def token_counts(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def token_counts(docs: DataFrame, keep_text: bool = False, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, doc_key, n_tokens``: a hash and the tokens of each text; with
-    ``keep_text`` also ``text``."""
+    ``keep_text`` also ``pieces``, its texts of ``max_tokens`` tokens."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("doc_key"),
-                       F.regexp_count(text, F.lit(UNIT)).cast("bigint").alias("n_tokens"),
-                       *[text.alias("text")] * keep_text)
-
-
-def piece_texts(max_tokens: int) -> Column:
-    """The texts of a document's pieces: each reaches up to the first token of
-    the next, so that white space stays where it was."""
-    tokens = F.regexp_extract_all("text", F.lit(f"([{_SPACE}]*+(?:{UNIT}))"), 1)
-    bare = F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
-    tail = F.substring(F.col("text"), F.length(bare) + 1, F.length("text"))
-    cut = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")),
-                      lambda k: F.array_join(F.slice(tokens, k * max_tokens + 1, F.lit(max_tokens)), ""))
-    with_tail = F.transform(cut, lambda x, k: F.when(k == F.col("last"), F.concat(x, tail)).otherwise(x))
-    return F.when(F.col("last") == 0, F.array("text")).otherwise(with_tail)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for lo, hi in slices([len(x) for x in texts]):
+                part = texts[lo:hi]
+                # One text for all; the line break between two ends a token.
+                starts = token_starts("\n".join(part))
+                ends = np.cumsum([len(x) + 1 for x in part])
+                bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
+                cols = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64())]
+                if keep_text:
+                    cols.append(pa.array([pieces_of(x, starts[a:b] - (end - len(x) - 1), max_tokens) for x, a, b, end in
+                                          zip(part, bounds, bounds[1:], ends)], pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "doc_key", "n_tokens", "pieces"][:len(cols)])
+
+    return map_arrow(rows, run, "doc_id bigint, doc_key bigint, n_tokens bigint" + ", pieces array<string>" * keep_text)
 
 
 def pack(lengths: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Pack documents of ``lengths`` (``doc_id, n_tokens``, as ``token_counts``
-    gives them, where there is one with ``doc_key`` and ``text``).
+    """Pack documents of ``lengths`` (``doc_id, n_tokens``, and as ``token_counts``
+    gives them ``doc_key`` and ``pieces`` of ``max_tokens`` tokens).
 
     Returns one row per piece: ``doc_id, piece, start_token, n_tokens,
-    bucket_tokens, batch, slot`` and, if texts are given, ``doc_key, text``.
+    bucket_tokens, batch, slot`` and, if pieces are given, ``doc_key, text``.
     ``batch`` counts from 0 inside a bucket.
     """
-    names = [c for c in ("doc_id", "doc_key", "n_tokens", "text") if c in lengths.columns]
+    names = [c for c in ("doc_id", "doc_key", "n_tokens", "pieces") if c in lengths.columns]
     whole = shared_table(lengths.select(names), "lengths")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / max_tokens) - 1).cast("bigint")
     keyed = whole.withColumn("last", last)
     if "doc_key" not in names:
         keyed = keyed.withColumn("doc_key", F.lit(0).cast("bigint"))
-    if "text" in names:
-        pieces = keyed.select("doc_id", "doc_key", "n_tokens", F.posexplode(piece_texts(max_tokens)).alias("piece", "text"))
-        pieces = pieces.withColumn("piece", F.col("piece").cast("bigint"))
-    else:
-        pieces = keyed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))).drop("last")
-    pieces = (pieces.withColumn("start_token", F.col("piece") * max_tokens)
-              .withColumn("n_tokens", F.least(F.lit(max_tokens), F.col("n_tokens") - F.col("start_token"))
-                          .cast("bigint")))
+    start = F.col("piece") * max_tokens
+    size = F.least(F.lit(max_tokens), F.col("n_tokens") - start).cast("bigint")
+    pieces = (keyed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
+              .select("doc_id", "doc_key", "piece", start.alias("start_token"), size.alias("n_tokens")))
+    shown = pieces
+    if "pieces" in names:           # only what is returned carries texts
+        shown = (keyed.select("doc_id", "doc_key", "n_tokens", F.posexplode("pieces").alias("at", "text"))
+                 .withColumn("piece", F.col("at").cast("bigint"))
+                 .select("doc_id", "doc_key", "piece", start.alias("start_token"), size.alias("n_tokens"), "text"))
     histogram = {r["n_tokens"]: r["count"] for r in
                  pieces.where("n_tokens > 0").groupBy("n_tokens").count().collect()}
     bounds = best_boundaries(histogram, buckets)
     columns = ["doc_id", "piece", "start_token", "n_tokens", "bucket_tokens", "batch", "slot",
-               *(["doc_key", "text"] if "text" in names else [])]
+               *(["doc_key", "text"] if "pieces" in names else [])]
     none = F.lit(None).cast("bigint")
-    blank = (pieces.where("n_tokens = 0").withColumn("bucket_tokens", none).withColumn("batch", none)
+    blank = (shown.where("n_tokens = 0").withColumn("bucket_tokens", none).withColumn("batch", none)
              .withColumn("slot", none).select(columns))
     if not bounds:
         return staged(blank, whole)
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds]).cast("bigint")
-    placed = (pieces.where("n_tokens > 0").withColumn("bucket_tokens", bucket)
-              .withColumn("order", F.xxhash64("doc_id", "doc_key", "piece"))
-              .withColumn("shard", F.pmod("order", F.lit(SHARDS))))
-    sizes = placed.groupBy("bucket_tokens", "shard").agg(F.count("*").alias("n"))
+    order = F.xxhash64("doc_id", "doc_key", "piece")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return (rows.where("n_tokens > 0").withColumn("bucket_tokens", bucket).withColumn("order", order)
+                .withColumn("shard", F.pmod("order", F.lit(SHARDS))))
+
+    sizes = placed(pieces).groupBy("bucket_tokens", "shard").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket_tokens").orderBy("shard")
                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("bucket_tokens").alias("b"), F.col("shard").alias("s"), before.alias("offset"))
     inside = Window.partitionBy("bucket_tokens", "shard").orderBy("order", "doc_id", "piece")
     rows = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_tokens")))
-    numbered = (placed.withColumn("at", F.row_number().over(inside) - 1)
+    numbered = (placed(shown).withColumn("at", F.row_number().over(inside) - 1)
                 .join(F.broadcast(offsets), (F.col("bucket_tokens") == F.col("b")) & (F.col("shard") == F.col("s")))
                 .withColumn("at", F.col("at") + F.col("offset"))
                 .withColumn("batch", F.floor(F.col("at") / rows).cast("bigint"))

@@ -113,7 +113,8 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(2)
         lengths = np.array(column.value_lengths().fill_null(0), np.int64)
-        flat = column.flatten().to_numpy(zero_copy_only=False)
+        flat = column.flatten()
+        flat = (flat if pa.types.is_float32(flat.type) else flat.cast(pa.float64())).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
         labels = batch.column(1).to_pylist()
         key, vec = [None] * len(batch), [None] * len(batch)

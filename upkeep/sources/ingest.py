@@ -396,9 +396,10 @@ def ingest_files(spark: SparkSession, paths: list[str], batch: str, root: str, m
         else:
             groups.setdefault((p.lower().rpartition(".")[2], head), []).append(p)
     books, cells, own = [p for p in paths if p.lower().endswith(".xlsx")], None, {}
-    for p in [p for p in books if not _exists(spark, p)]:
-        outcome[p] = ("error", "missing", 0)
-        books.remove(p)
+    with ThreadPoolExecutor(READERS) as pool:
+        there = dict(zip(books, pool.map(lambda p: _exists(spark, p), books)))
+    outcome |= {p: ("error", "missing", 0) for p in books if not there[p]}
+    books = [p for p in books if there[p]]
     if books:
         read_cells(spark, books).write.parquet(f"{folder}/cells")
         cells = spark.read.parquet(f"{folder}/cells")

@@ -1,6 +1,7 @@
 """Edge cases on tiny in-memory frames: NULL/blank/tie/duplicate-key/overlap."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +273,16 @@ def test_pack_of_a_missing_table_has_an_empty_section(spark):
     assert sorted(r.section for r in out) == sorted(secs) and all((r.n_rows, r.payload) == (0, "[]") for r in out)
 
 
+def test_the_pack_has_every_section(spark):
+    from tests.conftest import SF_SMALL
+    from upkeep.plans import q_archive, registry
+    rows = {r.section: r for r in registry.queries()["pack_json"](spark, SF_SMALL).collect()}
+    names = {name for name, *_ in q_archive._PACK}
+    assert set(rows) == names and len(names) == 8
+    assert all(f"'{name}' AS section" in registry.oracle_sql()["pack_json"] for name in names)
+    assert all(len(json.loads(r.payload)) == r.n_rows for r in rows.values()) and rows["wo_summary_by_type"].n_rows > 1
+
+
 def test_months_are_half_open_ranges(spark):
     from upkeep.functions.status import in_month
     days = [D(2001, 1, 31), D(2001, 2, 1), D(2001, 2, 28), D(2001, 3, 1), None]

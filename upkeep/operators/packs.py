@@ -1,9 +1,9 @@
 """Section packs: named result sections rendered as JSON text.
 
-A limited section becomes one row ``(section, n_rows, payload)`` where
-``payload`` is a JSON array of the rows in the section's own order.  A section
-without a limit becomes one row per item, ``(section, position, payload)``: no
-task holds it as a whole.
+A section that is limited, or has one row per code, becomes one row
+``(section, n_rows, payload)`` where ``payload`` is a JSON array of the rows in
+the section's own order.  ``pack_items`` gives a section of any size as one row
+per item, ``(section, position, payload)``: no task holds it as a whole.
 """
 
 from __future__ import annotations

@@ -136,15 +136,13 @@ _PACK = [
 ]
 
 
-# Sections without a limit: one row per item.
+# Sections without a limit: pack_items has them item by item as well.
 _UNLIMITED = ("wo_summary_by_type", "notification_summary")
 
 
 def _pack_sql():
     parts = []
     for name, key, _, order in _PACK:
-        if name in _UNLIMITED:
-            continue
         raw = REGISTRY[key].raw_sql.strip()
         parts.append(f"SELECT '{name}' AS section, count(*) AS n_rows, "
                      f"coalesce(to_json(list(t ORDER BY {order})), '[]')::varchar AS payload FROM ({raw}) t")
@@ -155,7 +153,12 @@ def _pack_sql():
 def q_pack_json(spark, sf):
     n, w = views(spark, sf, "notifications", "work_orders")
     lists = W.control_tower_lists(AS_OF)
-    summaries = {"repeated_equipment": (A.repeated_equipment(n), _order("repeated_equipment"))}
+    # One row per order type or status text.
+    summaries = {
+        "wo_summary_by_type": (A.wo_summary_by_type(w, AS_OF), _order("wo_summary_by_type")),
+        "notification_summary": (A.notification_summary(n), _order("notification_summary")),
+        "repeated_equipment": (A.repeated_equipment(n), _order("repeated_equipment")),
+    }
     # The five worklists come from one scan per table.
     return (P.pack_top_lists(n, lists["notifications"])
             .unionByName(P.pack_top_lists(w, lists["work_orders"]))

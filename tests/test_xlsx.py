@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from upkeep.sources import ingest as I
@@ -154,3 +155,23 @@ def test_rows_are_streamed():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30_000_000
+
+
+def test_cells_of_one_export_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(str(i), f"2001-01-{i % 28 + 1:02d}", "a<b" if i % 3 else None) for i in range(50)], "c0 string, c1 string, c2 string")
+    books = X.workbooks(rows, ("Notification", "Notif.date", "Description"), F.col("c0").cast("int") % 3, "n")
+    ex = I.workbook_export(X.cells_of(books).localCheckpoint(), "n")
+    plan = ex.raw._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted((r.notification, str(r.notif_date), r.description) for r in I.clean_export(ex, "B").collect())
+    assert got == sorted((str(i), f"2001-01-{i % 28 + 1:02d}", "a<b" if i % 3 else None) for i in range(50))
+
+
+def test_columns_are_written_as_their_cells():
+    values = ["plain", " a&b<c>\x01", "2001-01-05", "2001-13-05", "2001-1&-05", "1999-12-31 23:59:58", "", None, float("nan"), 2.5, True, dt.date(2001, 1, 5)]
+    for column in ([v] for v in values), [values], [[v for v in values if v != " a&b<c>\x01"]]:
+        for part in column:
+            got = cells(X._zipped([c] for c in X._written_column(part)))
+            dates = {"2001-01-05": dt.date(2001, 1, 5), "1999-12-31 23:59:58": dt.datetime(1999, 12, 31, 23, 59, 58)}
+            want = cells(X.workbook_bytes([None if v != v else dates.get(v, v)] for v in part))
+            assert got == want

@@ -301,12 +301,15 @@ def read_parquet_group(spark: SparkSession, paths: list[str], name: str | None =
     return Export(name or ",".join(paths), raw, headers)
 
 
-def read_xlsx_group(cells: DataFrame, headers: tuple[str, ...], files: list[str], name: str) -> Export:
-    """Workbooks sharing one header row, out of the staged cells of many.  What
-    stands to the right of the header is one more column, which only says that
-    a row is not empty."""
-    wanted = cells.sparkSession.createDataFrame([(f,) for f in files], "wanted string")
-    rows = cells.where("row > 1").join(wanted, F.col(FILE) == F.col("wanted"), "left_semi")
+def read_xlsx_group(cells: DataFrame, headers: tuple[str, ...], files: list[str] | None, name: str) -> Export:
+    """Workbooks sharing one header row, out of the staged cells of many (all of
+    them: ``files`` is None).  What stands to the right of the header is one more
+    column, which only says that a row is not empty."""
+    rows = cells.where("row > 1")
+    if files is not None:
+        wanted = cells.sparkSession.createDataFrame([(f,) for f in files], "wanted string")
+        # The list came from the driver; without the hint all cells are shuffled to it.
+        rows = rows.join(F.broadcast(wanted), F.col(FILE) == F.col("wanted"), "left_semi")
     at = [F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(len(headers))]
     beyond = F.get(F.filter(F.slice("cells", len(headers) + 1, F.greatest(F.size("cells"), F.lit(1))),
                             lambda x: x.isNotNull()), F.lit(0))
@@ -317,8 +320,7 @@ def workbook_export(cells: DataFrame, name: str) -> Export:
     """One workbook export out of its cells; the header is its first row."""
     head = cells.where("row = 1").select(F.transform("cells", lambda x: x["text"]).alias("h")).first()
     headers = tuple(normalise_headers(head["h"] if head else ()))
-    files = [r[FILE] for r in cells.select(FILE).distinct().collect()]
-    return read_xlsx_group(cells, headers, files, name)
+    return read_xlsx_group(cells, headers, None, name)
 
 
 def read_xlsx_export(spark: SparkSession, path: str) -> Export:

@@ -81,3 +81,34 @@ def test_keyset_paging_equals_offset_paging(spark, keys, page_no):
         if rows:
             last = rows[-1]
     assert walked == pages
+
+
+def test_wide_cleaning_is_compiled_in_any_session(spark):
+    """A launcher's session has Spark's own limit, above which methods stay interpreted."""
+    from tests.conftest import SF_SMALL
+    from upkeep.sources import ingest
+    from upkeep.sources.raw_exports import raw_export
+    key, kept = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        for given, want in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, given)
+            ex = raw_export(spark, SF_SMALL, "work_orders")
+            assert spark.conf.get(key) == want
+            spark.conf.set(key, given)
+            ingest.clean_export(ex, "B")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, kept)
+
+
+def test_trimmed_ends_of_every_kind(spark):
+    from pyspark.sql import functions as F
+    from upkeep.functions.cleaners import WHITESPACE, clean_number, clean_string
+    ends = ["", "a", "~", "!", "\x7f", "é", "\u200b", *WHITESPACE]
+    texts = [a + mid + b for a in ends for b in ends for mid in ("", "x y")] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", clean_string(F.col("t")).alias("v")).collect()}
+    assert got == {i: (t.strip() or None) if t is not None else None for i, t in enumerate(texts)}
+    numbers = spark.createDataFrame([(x,) for x in ("n/a", "NaN", "Infinity", " 1.005 ", "+2", "-.5", "1e2", "", "[", "٣", None)], "t string")
+    plain = F.btrim("t", F.lit(WHITESPACE)).try_cast("decimal(18,2)")
+    assert all(r.a == r.b for r in numbers.select(clean_number(F.col("t")).alias("a"), plain.alias("b")).collect())

@@ -44,6 +44,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def limit_methods(spark: SparkSession) -> None:
+    """Hold a launcher's session to the method size of ``DEFAULT_CONF``.
+
+    A projection of some twenty cleaned cells makes a method that HotSpot leaves
+    interpreted; the setting can be changed while the session runs, and a lower
+    one is kept.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key)) > int(DEFAULT_CONF[key]):
+        spark.conf.set(key, DEFAULT_CONF[key])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

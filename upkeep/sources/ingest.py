@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from upkeep.session import ensure_checkpoint_dir
+from upkeep.session import ensure_checkpoint_dir, limit_methods
 from upkeep.functions.cleaners import clean_cell, clean_date, clean_number, clean_string, long_text_flag
 from upkeep.functions.status import STATUS_WORDS, status_flag, with_status_flags
 from upkeep.sources.exports import LAYOUTS, TABLE_OF, detect_kind, header_position, normalise_headers  # noqa: F401
@@ -77,6 +77,7 @@ def clean_export(export: Export, batch: str, uploaded_at: dt.datetime | None = N
     kind = kind or export.kind
     if kind not in LAYOUTS:
         raise ValueError(f"unknown export kind for {export.name}")
+    limit_methods(export.raw.sparkSession)
     headers = normalise_headers(export.headers)
     raw = export.raw.na.drop(how="all", subset=[c for c in export.raw.columns if c != FILE])
     types = dict(raw.dtypes)

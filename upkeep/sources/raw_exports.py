@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from upkeep.session import limit_methods
 from upkeep.sources import fixtures as fx
 from upkeep.sources.ingest import Export
 
@@ -89,6 +90,7 @@ def spoil(v: Column, k: Column, cls: str) -> Column:
 
 def raw_export(spark: SparkSession, sf_dir: str, view: str) -> Export:
     """The spoiled all-text export of a fixture view."""
+    limit_methods(spark)
     base = fx.view(spark, sf_dir, view)
     extra = _extra(view)
     base = base.select("*", *[e.alias(n) for n, e in extra.items() if n not in base.columns])

@@ -139,8 +139,9 @@ def ingest_exports(exports: list[Export], batch: str, uploaded_at: dt.datetime |
             continue
         typed = clean_export(ex, batch, uploaded_at, kind, f"{batch}-{pos}" if row_ids else None)
         seen = Observation()
-        counts = (F.count(F.lit(1)).alias("n"), F.count(F.when(over_long(kind), 1)).alias("bad"))
-        typed.observe(seen, *counts).write.parquet(f"{folder}/{pos}")
+        # The test is a column: observed expressions are not compiled.
+        counts = (F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_bad"), 1)).alias("bad"))
+        typed.withColumn("_bad", over_long(kind)).observe(seen, *counts).drop("_bad").write.parquet(f"{folder}/{pos}")
         n, bad = seen.get["n"], seen.get["bad"] > 0
         outcomes.append((ex.name, "error" if bad else "ok", kind, 0 if bad else n))
         if not bad:

@@ -26,14 +26,18 @@ WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def strip_ws(c: Column) -> Column:
-    """Trim leading/trailing whitespace of any kind (space, tab, newline, NBSP...)."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim leading/trailing whitespace of any kind (space, tab, newline, NBSP...).
+
+    A text that begins and ends with a printing ASCII character, the usual cell,
+    is left as it is: ``btrim`` with a list looks every character up in it.
+    """
+    plain = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def clean_string(c: Column) -> Column:
     """NULL -> NULL; trimmed; blank -> NULL."""
-    s = strip_ws(c.cast("string"))
-    return F.when(s != F.lit(""), s)
+    return F.nullif(strip_ws(c.cast("string")), F.lit(""))
 
 
 def clean_date(c: Column, source_type: T.DataType | None = None,
@@ -57,8 +61,12 @@ def clean_date(c: Column, source_type: T.DataType | None = None,
 def clean_number(c: Column, scale: int = 2, precision: int = 18) -> Column:
     """Number or NULL (text, ``n/a``, overflow) as DECIMAL(precision, scale),
     rounded half-up from the decimal text (no binary floating point step,
-    so ``0.285`` becomes 0.29 as a NUMERIC column stores it)."""
-    return strip_ws(c.cast("string")).try_cast(T.DecimalType(precision, scale))
+    so ``0.285`` becomes 0.29 as a NUMERIC column stores it).  No number begins
+    with an ASCII letter: such a cell is not handed to the cast, whose way of
+    refusing a text is an exception."""
+    text = strip_ws(c.cast("string"))
+    return F.when(~F.coalesce(F.substring(text, 1, 1).between("A", "z"), F.lit(False)),
+                  text.try_cast(T.DecimalType(precision, scale)))
 
 
 def long_text_flag(c: Column, source_type: T.DataType | None = None) -> Column:

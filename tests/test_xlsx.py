@@ -175,3 +175,105 @@ def test_columns_are_written_as_their_cells():
             dates = {"2001-01-05": dt.date(2001, 1, 5), "1999-12-31 23:59:58": dt.datetime(1999, 12, 31, 23, 59, 58)}
             want = cells(X.workbook_bytes([None if v != v else dates.get(v, v)] for v in part))
             assert got == want
+
+
+def listed(batches):
+    return [(r, [c and (c["kind"], c["text"]) for c in row]) for b in batches for r, row in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def parsed(data):
+    """Rows by the XML parser, or its error."""
+    try:
+        return list(X.Workbook(data).rows()), None
+    except X.BROKEN as e:
+        return None, type(e)
+
+
+PLAIN = [
+    '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c><c r="AB1" t="inlineStr"><is><t>x</t></is></c></row>'
+    '<row r="4" spans="1:3"><c r="B4" s="1"><v>36896.5</v></c></row>\n <row r="6"/><row><c r="A7"/></row>',
+    '<row><c t="n"><v>12</v></c><c><v>1.50</v></c><c t="b"><v>1</v></c><c t="e"><v>#N/A</v></c><c t="str"><v>a&amp;lt; &quot;x&quot; &lt;é</v></c>'
+    '<c t="d"><v>2001-02-03T04:05:06</v></c><c/><c t="s"><v>2</v></c><c t="str"><v></v></c><c t="inlineStr"><is><t></t></is></c></row>',
+    '<row><c t="inlineStr"><v>x</v></c><c t="str"><is><t>a</t></is></c><c></c></row>', "", " \n", "<row/>", '<row></row><row r="3"/><row/>',
+    '<row><c t="str"><v>a\r\nb\rc\n</v></c></row>', '<row xml:space="preserve"><c s="1"><v>99999999999</v></c><c s="1"><v>0.25</v></c></row>']
+OTHER = [
+    "x", '<row><c t="str"><v>a\x01</v></c></row>', '<row><c t="str"><v>&#65;</v></c></row>', '<row><c t="str"><v>&foo;</v></c></row>',
+    '<row><c t="str"><v>a & b</v></c></row>', "<row><c><v>abc</v></c></row>", '<row><c t="s"><v>77</v></c></row>', '<row><c s="x"><v>1</v></c></row>',
+    '<row><c r="C1"><v>1</v></c><c><v>2</v></c></row>', '<row><c r="C1"><v>1</v></c><c r="B1"><v>2</v></c></row>',
+    "<row><c><v>1</v></c></row><!-- <row> --><row><c><v>2</v></c></row>", "<row><c><v>1</v></c></row><row><c><v>2</v></row>",
+    '<row><c t="str"><v><![CDATA[<x>]]></v></c></row>', '<row><c t="str"><v>a>b</v></c></row>', "<row r='3'><c t='str'><v>a</v></c></row>",
+    '<row a:b="1"><c/></row>', '<row r="1" r="2"><c/></row>', '<row xmlns="urn:x"><c><v>1</v></c></row>', '<row><c t="str"><v>￿</v></c></row>',
+    '<row><c t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c></row>', "<row><c><f>A1</f><v>5</v></c> <c> <v>5</v> </c></row>"]
+
+
+@pytest.mark.parametrize("sheet", PLAIN + OTHER)
+def test_blocks_and_the_parser_read_the_same(sheet, monkeypatch):
+    data = book(sheet, "<si><t>plain</t></si><si><r><t>in </t></r><r><t>runs</t></r></si><si/>", STYLES)
+    want, error = parsed(data)
+    if error:
+        with pytest.raises(error):
+            listed(X.Workbook(data).batches())
+    else:
+        assert listed(X.Workbook(data).batches()) == want
+    if sheet in PLAIN:
+        monkeypatch.setattr(X.Workbook, "rows", None)           # no need of the parser
+        assert listed(X.Workbook(data).batches()) == want
+
+
+def test_a_sheet_that_stops_being_plain_is_read_on(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(X, "BATCH_ROWS", 7)
+    rows = [f"<row><c><v>{i}</v></c><c t=\"str\"><v>{'é' * (i % 50)}</v></c></row>" for i in range(300)]
+    for odd in ("<row><c t='str'><v>odd</v></c></row>", ""):
+        data = book("".join(rows + [odd] + rows))
+        got = X.Workbook(data).batches()
+        assert [len(b) for b in got][:-1] == [7] * (len(parsed(data)[0]) // 7 - (len(parsed(data)[0]) % 7 == 0))
+        assert listed(X.Workbook(data).batches()) == parsed(data)[0]
+    data = book("".join(rows + ["<row><c></row>"] + rows))          # what comes before is read in whole batches
+    got = []
+    with pytest.raises(X.ParseError):
+        for batch in X.Workbook(data).batches():
+            got.append(batch)
+    assert listed(got) == list(zip(range(1, 295), (r for _, r in parsed(book("".join(rows)))[0])))
+
+
+def test_blocks_are_streamed():
+    import tracemalloc
+    data = X.workbook_bytes([[f"{i}", i, "some text of a cell"] for i in range(60_000)])
+    tracemalloc.start()
+    assert sum(len(b) for b in X.Workbook(data).batches()) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+
+
+def test_workbooks_of_so_many_rows(spark):
+    """Rows stay where they are, null and repeated keys among them."""
+    rows = spark.range(0, 45, 1, 2).selectExpr("cast(null as string) as c0", "if(id % 5 = 0, null, concat('a<', id)) as c1",
+                                               "date_add(date'2001-01-05', cast(id as int)) as c2", "timestamp'2001-01-05 06:00:00' as c3", "if(id = 3, null, id) as c4")
+    made = X.workbooks(rows, ("Key", "Text", "Date", "At", "No"), 10, "n")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    books = {r.path: bytes(r.content) for r in made.collect()}
+    assert sorted(len(cells(b)) - 1 for b in books.values()) == [2, 3, 10, 10, 10, 10]
+    got = sorted((tuple(c and c[1] for c in row[1:4]) for b in books.values() for _, row in cells(b)[1:]), key=str)
+    assert got == sorted(((None if i % 5 == 0 else f"a<{i}", str(dt.datetime(2001, 1, 5) + dt.timedelta(i)), "2001-01-05 06:00:00")
+                          for i in range(45)), key=str)
+
+
+def test_dates_and_marks_are_written_by_column():
+    values = ["plain", " a&b<c>\x01", "2001-01-05", "2001-13-05", "2001-02-30", "0000-01-01", "1-001-0105", "1999-12-31 23:59:58", "1999-12-31 24:00:00",
+              "2001-01-05T00:00:00", "", None, "é\n&amp;", "2001-01-0é"]
+    for some in ([v] for v in values), [values], [[None] * 3]:
+        for part in some:
+            assert X._written_array(X.pa.array([None, *part], X.pa.string()).slice(1)).to_pylist() == X._written_column(part)
+
+
+def test_rows_are_dealt_for_workbooks(spark):
+    from upkeep.plans.q_ingest import _dealt
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 50)
+    cores = spark.sparkContext.defaultParallelism
+    assert _dealt(many, 20).rdd.getNumPartitions() == 5 and _dealt(many, 1000).rdd.getNumPartitions() == 1
+    spread = _dealt(few, 1)
+    assert sorted(r.id for r in spread.collect()) == list(range(100)) and spread.columns == ["id"]
+    assert spread.rdd.getNumPartitions() > 1 or cores <= 2

@@ -98,16 +98,35 @@ for _v in ("notifications", "work_orders", "bom", "cost_lines"):
     _ingest(_v)
 
 
+def _dealt(rows, least):
+    """Rows in partitions of ``least`` rows at least (on average) that keep all
+    cores busy.  Rows are shuffled only where a partition has over twice its
+    share, as a file that cannot be split does, and then by their number: keys may
+    be null or repeat."""
+    counts = [r["count"] for r in rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    total, cores = sum(counts), rows.sparkSession.sparkContext.defaultParallelism
+    most = max(1, total // least)
+    if max(counts, default=0) > 2 * max(least, total / cores):
+        return rows.withColumn("_number", F.monotonically_increasing_id()).repartition(min(most, 4 * cores), "_number").drop("_number")
+    return rows.coalesce(most)
+
+
+BOOK_ROWS = 5000            # of a workbook
+FILE_BOOKS = 16             # workbooks of a staged file, which a reader may hold at once
+
+
 @register("ingest_workbooks", typed_select("work_orders"))
 def q_ingest_workbooks(spark, sf):
     """The work-order export as workbooks of about 5,000 rows with typed date
-    cells, read back through the workbook reader."""
+    cells, read back through the workbook reader.  The workbooks are staged in
+    the shared folder; their cells are not."""
     ex = raw_export(spark, sf, "work_orders")
-    n = max(1, ex.raw.count() // 5000)
-    books = workbooks(ex.raw, ex.headers, F.pmod(F.xxhash64(f"c{KEY_POS}"), F.lit(n)), "work_orders")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex}"
-    cells_of(books).write.parquet(path)
-    return I.clean_export(I.workbook_export(spark.read.parquet(path), "work_orders"), BATCH, STAMP).drop(I.FILE)
+    books = workbooks(_dealt(ex.raw, BOOK_ROWS), ex.headers, BOOK_ROWS, "work_orders")
+    books.write.option("maxRecordsPerFile", FILE_BOOKS).option("compression", "none").parquet(path)
+    staged = spark.read.parquet(path)
+    ex = I.workbook_export(cells_of(staged), "work_orders", cells_of(staged.limit(1)))
+    return I.clean_export(ex, BATCH, STAMP).drop(I.FILE)
 
 
 # Cleaners on their own, over the work-order export: text, date and number cells.

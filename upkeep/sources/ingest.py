@@ -318,9 +318,12 @@ def read_xlsx_group(cells: DataFrame, headers: tuple[str, ...], files: list[str]
     return Export(name, rows.select(*at, beyond.alias(f"c{len(headers)}"), FILE), headers, True)
 
 
-def workbook_export(cells: DataFrame, name: str) -> Export:
-    """One workbook export out of its cells; the header is its first row."""
-    head = cells.where("row = 1").select(F.transform("cells", lambda x: x["text"]).alias("h")).first()
+def workbook_export(cells: DataFrame, name: str, some: DataFrame | None = None) -> Export:
+    """One workbook export out of its cells; the header is its first row (looked
+    for in ``some`` of them, all cells of few workbooks, where that costs less)."""
+    heads = (cells if some is None else some).where("row = 1").select(F.transform("cells", lambda x: x["text"]).alias("h"))
+    # All of few workbooks: a reader stopped halfway complains.
+    head = heads.first() if some is None else next(iter(heads.collect()), None)
     headers = tuple(normalise_headers(head["h"] if head else ()))
     return read_xlsx_group(cells, headers, None, name)
 
